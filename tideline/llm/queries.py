@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from tideline.llm.decontaminate import op8_decontaminate
 from tideline.llm.language_id import op4_language_id
 from tideline.llm.quality import op1_quality
+from tideline.llm.simhash import op7_simhash
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_language_id": op4_language_id,
+    "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLES: dict[str, str] = {}
