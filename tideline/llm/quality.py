@@ -62,16 +62,22 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, flo
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict:
     """Dictionaries and curve from documents (doc_id, text) and labels (doc_id, quality)."""
-    label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    joined = docs.where("text <> ''").select("doc_id", "text").join(label, "doc_id")
-    share = label.agg(F.avg("quality")).first()[0]
-    texts: dict[int, list[str]] = {}
-    for q in (0, 1):
-        picked = joined.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        texts[q] = [r.text for r in picked.select("text").collect()]
+    label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality in (0, 1)")
+    counts = {r.quality: r.n for r in label.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / (sum(counts.values()) or 2) or (0.0 if counts else 0.5)
+    # ids first, so that only the picked texts leave their files: about twice as many by hash, then exactly so many
+    roll = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    picked: list = []
+    for q, n in counts.items():
+        some = label.where((F.col("quality") == q) & (roll < int(min(1, 2 * rows / n + 1e-4) * 1_000_000)))
+        picked += some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    few = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int")
+    found = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").collect()
+    texts: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.text)):
+        texts[r.quality].append(r.text)
     if min(map(len, texts.values())) < 2:
-        return {"share": 0.5 if share is None else float(share), "dicts": None}
-    share = float(share)
+        return {"share": share, "dicts": None}
     dicts, feats = {}, {}
     for q, t in texts.items():
         half = [b for x in t[::2] for b in _blocks(x.encode("utf-8", "replace"))]
