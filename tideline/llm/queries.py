@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from tideline.llm.decontaminate import op8_decontaminate
 from tideline.llm.language_id import op4_language_id
+from tideline.llm.packing import op9_best_fit_packing
 from tideline.llm.quality import op1_quality
 from tideline.llm.simhash import op7_simhash
+from tideline.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
