@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tideline.llm.decontaminate import op8_decontaminate
+from tideline.llm.fingerprint import op6_fingerprint
 from tideline.llm.language_id import op4_language_id
 from tideline.llm.packing import op9_best_fit_packing
 from tideline.llm.quality import op1_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_fingerprint": op6_fingerprint,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
