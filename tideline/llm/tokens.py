@@ -1,18 +1,24 @@
-"""Token ids with the tokenizers library, a word at a time.
+"""Token ids with the tokenizers library, each distinct word encoded once.
 
 Both vocabularies used here cut a text before a single space that stands between two characters other than white
-space, and no token crosses that cut. So a text's ids are those of its space-separated words, and each distinct word
-of a Python worker is encoded once; its word table is begun anew when it holds ``WORDS`` words. A text with any other white space
-beside a space is encoded as a whole. The tests compare with encoding whole texts.
+space, and no token crosses that cut. So a text's ids are those of its space-separated words. Each distinct word of a
+Python worker is encoded once, many new words in one call; as the tokens of a call spell its bytes, the bytes tell
+where a word's tokens end. A word with a final comma or full stop is its stem and that sign, which no token spans
+either. The word table is begun anew when it holds ``WORDS`` words. A text with other white space beside a space is
+encoded as a whole. The tests compare with encoding whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
+from collections.abc import Hashable
 
 import numpy as np
 
-WORDS = 500_000
+WORDS = 600_000
+#: New words in one call.
+CALL = 256
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
@@ -24,35 +30,93 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        added = self.tokenizer.get_added_tokens_decoder()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # that each token spells
+        for s, k in vocab.items():
+            self.bytes[k] = len(added[k].content.encode()) if k in added else len(s.removesuffix("" if spaced else "</w>"))
+        self.signs = {c: self._one(c)[0] for c in ",."}
         self._clear()
 
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[Hashable, int] = {}  # word, or (word,) for one without a space before it
         self.flat = np.zeros(1 << 20, np.int32)
         self.starts = np.zeros(WORDS + 1, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Words with all their ids one after another and the number of each."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        n = len(self.known)
+        self.starts[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _length(self, word: str) -> int:
+        """Bytes that the tokens of a word in a call spell."""
+        if self.spaced:
+            return len(word.encode()) + 1
+        return len("".join(unicodedata.normalize("NFC", word).lower().split()).encode())
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Adds distinct words, none of which ends in white space."""
+        for i in range(0, len(words), 64 * CALL):
+            some = words[i : i + 64 * CALL]
+            calls = [some[k : k + CALL] for k in range(0, len(some), CALL)]
+            got = self.tokenizer.encode_batch_fast(["".join(" " + w for w in c) for c in calls], add_special_tokens=False)
+            for c, e in zip(calls, got, strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.cumsum(self.bytes[ids])
+                cuts = np.cumsum([self._length(w) for w in c])
+                at = np.searchsorted(ends, cuts, side="right")
+                if (len(ends) and ends[-1]) != cuts[-1] or (np.concatenate(([0], ends))[at] != cuts).any():
+                    rows = [self._one(" " + w if self.spaced else w) for w in c]  # some character changes its size
+                    ids, at = np.array([x for r in rows for x in r], np.int32), np.cumsum([len(r) for r in rows])
+                self._add(c, ids, np.diff(at, prepend=0))
+
+    def _learn(self, words: list) -> None:
         """Makes every one of the words known."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(fresh) > WORDS:
+        known = self.known
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(fresh) > WORDS * 7 // 8:
             self._clear()
+            known = self.known
             fresh = list(dict.fromkeys(words))
-        for e, w in zip(self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), fresh, strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            n = len(self.known)
-            self.known[w] = n
-            self.starts[n + 1] = self.used
+        plain, alone, signed = [], [], []
+        for w in fresh:
+            if w.__class__ is tuple or not w or w[-1].isspace():
+                alone.append(w)
+            elif w[-1] in ",." and w[-2:-1].isalpha():
+                signed.append(w)
+            else:
+                plain.append(w)
+        stems = [w[:-1] for w in signed]
+        self._encode_words([w for w in dict.fromkeys(plain + stems) if w not in known])
+        rows = [self._one(w[0]) if w.__class__ is tuple else self._one(" " + w if self.spaced else w) for w in alone]
+        self._add(alone, np.array([x for r in rows for x in r], np.int32), np.array([len(r) for r in rows], np.int64))
+        if signed:
+            no = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
+            n = self.starts[no + 1] - self.starts[no] + 1
+            ids = self._gather(no, n)
+            ids[np.cumsum(n) - 1] = [self.signs[w[-1]] for w in signed]
+            self._add(signed, ids, n)
+
+    def _gather(self, no: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The first n ids from where each word's begin."""
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[no] - (ends - n), n)
+        return self.flat[np.minimum(at, len(self.flat) - 1)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin (one more at the end)."""
         parts: list[np.ndarray] = []
         counts = np.zeros(len(texts) + 1, np.int64)
-        words: list[str] = []
+        words: list = []
         sizes: list[int] = []
 
         def look_up(end: int) -> None:
@@ -60,17 +124,16 @@ class Encoder:
             self._learn(words)
             no = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             n = self.starts[no + 1] - self.starts[no]
-            to = np.concatenate(([0], np.cumsum(n)))
-            parts.append(self.flat[np.arange(to[-1]) + np.repeat(self.starts[no] - to[:-1], n)])
-            counts[end - len(sizes) + 1 : end + 1] = np.diff(to[np.cumsum([0, *sizes])])
+            parts.append(self._gather(no, n))
+            counts[end - len(sizes) + 1 : end + 1] = np.diff(np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *sizes])])
             words.clear(), sizes.clear()
 
         for k, text in enumerate(texts):
             w = self._words(text)
-            if w is None or len(words) + len(w) > WORDS // 2:
+            if w is None or len(words) + len(w) > WORDS // 8:
                 look_up(k)
-            if w is None or len(w) > WORDS // 2:
-                parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
+            if w is None or len(w) > WORDS // 8:
+                parts.append(np.array(self._one(text), np.int32))
                 counts[k + 1] = len(parts[-1])
             else:
                 words += w
@@ -78,15 +141,15 @@ class Encoder:
         look_up(len(texts))
         return np.concatenate(parts), np.cumsum(counts)
 
-    def _words(self, text: str | None) -> list[str] | None:
+    def _words(self, text: str | None) -> list | None:
         """None if the text has to be encoded as a whole."""
         if not text:
             return []
-        words = text.split(" ")
-        if self.spaced and len(words) > 1:
-            if not words[0] or not words[-1] or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER):
+        words: list = text.split(" ")
+        if self.spaced:
+            if len(words) > 1 and (not words[0] or not words[-1] or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER)):
                 return None
-            return [words[0], *[" " + w for w in words[1:]]]
+            words[0] = (words[0],)
         return words
 
 
