@@ -8,6 +8,7 @@ from tideline.llm.language_id import op4_language_id
 from tideline.llm.packing import op9_best_fit_packing
 from tideline.llm.quality import op1_quality
 from tideline.llm.simhash import op7_simhash
+from tideline.llm.suffix_dedup import op10_suffix_dedup
 from tideline.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_fingerprint": op6_fingerprint,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
