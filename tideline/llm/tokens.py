@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Hashable
+from itertools import repeat
 
 import numpy as np
 
@@ -79,14 +80,23 @@ class Encoder:
                     ids, at = np.array([x for r in rows for x in r], np.int32), np.cumsum([len(r) for r in rows])
                 self._add(c, ids, np.diff(at, prepend=0))
 
-    def _learn(self, words: list) -> None:
-        """Makes every one of the words known."""
+    def _numbers(self, words: list) -> np.ndarray:
+        """The words' places in the table, into which new ones go first."""
+        no = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(no < 0)
+        if len(new):
+            some = [words[i] for i in new.tolist()]
+            fresh = list(dict.fromkeys(some))
+            if len(self.known) + 2 * len(fresh) > WORDS:
+                self._clear()
+                new, some, fresh = slice(None), words, list(dict.fromkeys(words))
+            self._learn(fresh)
+            no[new] = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+        return no
+
+    def _learn(self, fresh: list) -> None:
+        """Adds distinct words."""
         known = self.known
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(fresh) > WORDS * 7 // 8:
-            self._clear()
-            known = self.known
-            fresh = list(dict.fromkeys(words))
         plain, alone, signed = [], [], []
         for w in fresh:
             if w.__class__ is tuple or not w or w[-1].isspace():
@@ -121,8 +131,7 @@ class Encoder:
 
         def look_up(end: int) -> None:
             """The texts whose words are gathered; they end before text ``end``."""
-            self._learn(words)
-            no = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            no = self._numbers(words)
             n = self.starts[no + 1] - self.starts[no]
             parts.append(self._gather(no, n))
             counts[end - len(sizes) + 1 : end + 1] = np.diff(np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *sizes])])
