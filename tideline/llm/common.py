@@ -12,7 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of bounded size to Python, unless the session has sizes of its own: texts can be very long."""
+    for key, given, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20))):
+        if spark.conf.get(key, given) == given:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and rereads it, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
+    bounded(spark)
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import column, held_out, slices, table
+from tideline.llm.common import bounded, column, held_out, slices, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: N-grams that evidence is scaled to before it becomes a score: neighbouring n-grams overlap, so their sum is too sure.
 EVIDENCE = 64
-CHARS = 1 << 19
+CHARS = 1 << 18
 UNDETERMINED = "und"
 
 
@@ -73,6 +73,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
             b = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": [l] * (len(b) + 1), "bucket": np.append(b, -1), "n": np.append(total[b], docs_of[l])})
 
+    bounded(docs.sparkSession)
     rows = (
         docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
         .where("text is not null and lang is not null")
@@ -92,7 +93,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     """``docs`` with the predicted language and a score of 0 to 1."""
     langs, prior, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, prior, logp))
-    schema = f"_lang string, _score double"
+    schema = "_lang string, _score double"
+    bounded(docs.sparkSession)
 
     @F.pandas_udf(schema)
     def scored(texts):  # noqa: ANN001, ANN202
