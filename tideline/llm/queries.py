@@ -5,20 +5,24 @@ from __future__ import annotations
 from tideline.llm.decontaminate import op8_decontaminate
 from tideline.llm.fingerprint import op6_fingerprint
 from tideline.llm.language_id import op4_language_id
+from tideline.llm.licenses import op3_license_scan
 from tideline.llm.packing import op9_best_fit_packing
 from tideline.llm.quality import op1_quality
 from tideline.llm.simhash import op7_simhash
-from tideline.llm.suffix_dedup import op10_suffix_dedup
 from tideline.llm.substring_dedup import op5_substring_dedup
+from tideline.llm.suffix_dedup import op10_suffix_dedup
+from tideline.llm.token_file import op2_token_file
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_token_file": op2_token_file,
+    "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
-    "op10_suffix_dedup": op10_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
