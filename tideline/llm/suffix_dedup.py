@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tideline.llm.common import table
 
 WIDTH = 50
-GRAM = 16
+GRAM = 32
 GROUP = 16 << 20
-COLLECTION = 1 << 20
+COLLECTION = 1 << 17
 #: Windows of one piece at most: in text that repeats itself all windows can have one minimiser.
 MOST = 64
 CHUNK = 1 << 20
@@ -197,20 +197,21 @@ def _send(buckets: int, width: int):  # noqa: ANN202
 def columnwise(pieces: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece number, start) of every suffix of at least ``width`` bytes in sorted order, and whether its first ``width`` bytes are those of the one before."""
     size = np.array([len(p) for p in pieces], np.int64)
-    text = np.frombuffer(b"".join(pieces), np.uint8)
-    end = np.cumsum(size)
-    begin = end - size
-    # a suffix is where it starts in the joined text; an empty one is where its piece ends
-    empty = end.copy()
-    who = np.arange(len(pieces), dtype=np.int32)
-    at, whose = empty, who
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    # a suffix is where it starts in the joined text; an empty one is the byte after its piece
+    begin = np.cumsum(size + 1) - size - 1
+    empty = (begin + size).astype(np.int32)
+    before = np.empty(len(text), np.uint8)
+    before[1:] = text[:-1]
+    grows = np.ones(len(text), bool)
+    grows[begin] = False
+    at = empty
     for _ in range(int(size.max())):
-        grows = at > begin[whose]
-        at, whose = at[grows] - 1, whose[grows]
-        order = np.argsort(text[at], kind="stable")
-        at, whose = np.concatenate((empty, at[order])), np.concatenate((who, whose[order]))
-    long = end[whose] - at >= width
-    at, whose = at[long], whose[long]
+        at = at[grows[at]]
+        at = np.concatenate((empty, at[np.argsort(before[at], kind="stable")] - np.int32(1)))
+    whose = np.repeat(np.arange(len(pieces)), size + 1)[at]
+    long = empty[whose] - at >= width
+    at, whose = at[long].astype(np.int64), whose[long]
     words = np.zeros((len(text) + 8,), np.uint8)
     words[: len(text)] = text
     same = np.zeros(len(at), bool)
@@ -248,8 +249,12 @@ def _find(width: int):  # noqa: ANN202
         windows = size - width + 1
         base = np.cumsum(windows) - windows
         best = np.repeat(least_, windows)  # of each window of each piece
-        order = np.argsort(np.array(low), kind="stable")
-        key = np.array(low)[order]
+        # a minimiser with one piece only has nothing to compare
+        keys = np.array(low, np.int64)
+        _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.argsort(keys, kind="stable")
+        order = order[n[inverse[order]] > 1]
+        key = keys[order]
         volume = np.cumsum(size[order])
         i = 0
         while i < len(order):  # collections of whole minimisers
@@ -257,8 +262,6 @@ def _find(width: int):  # noqa: ANN202
             j = int(np.searchsorted(key, key[j - 1], side="right"))
             some = order[i:j]
             i = j
-            if len(some) < 2 and windows[some].sum() < 2:
-                continue
             whose, at, same = columnwise([every[k] for k in some.tolist()], width)
             heads = np.flatnonzero(~same)
             if len(heads) == len(same):
