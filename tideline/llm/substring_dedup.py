@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import bounded, table
 
 UNITS = {
     "sentence": re.compile(r"[^\n.!?]+[.!?]*"),
@@ -45,26 +45,27 @@ def units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, s
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, spans array<struct<a,b>>): what is to be removed of each document that loses anything, in order."""
+    """(k, h, spans array<struct<a,b>>): what is to be removed, in order; k is the key and h the XXH64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts, ends, his, los = [], [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, rows, starts, ends, his, los = [], [], [], [], [], []
+            for k, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for a, e, norm in units_of(t or "", unit, min_words):
                     d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
                     ids.append(k)
+                    rows.append(h)
                     starts.append(a)
                     ends.append(e)
                     his.append((d >> 64) - (1 << 63))
                     los.append((d & (2**64 - 1)) - (1 << 63))
-            yield pa.RecordBatch.from_pydict({"k": pa.array(ids, pa.int64()), "a": pa.array(starts, pa.int32()), "b": pa.array(ends, pa.int32()), "hi": pa.array(his, pa.int64()), "lo": pa.array(los, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(ids, pa.int64()), "h": pa.array(rows, pa.int64()), "a": pa.array(starts, pa.int32()), "b": pa.array(ends, pa.int32()), "hi": pa.array(his, pa.int64()), "lo": pa.array(los, pa.int64())})
 
-    units = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t is not null").mapInArrow(run, "k long, a int, b int, hi long, lo long")
+    units = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t is not null").mapInArrow(run, "k long, h long, a int, b int, hi long, lo long")
     rank = F.struct(F.col("k").isNull().alias("late"), F.col("k").alias("k"), F.col("a").alias("a"))
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first")
     gone = units.join(first, ["hi", "lo"]).where(~F.col("first").eqNullSafe(rank))
-    return gone.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")).withColumnRenamed("k", key)
+    return gone.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -82,8 +83,9 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the kept text in ``text`` and the removed spans in ``removed`` (array<struct<a,b>>, original offsets)."""
-    spans = repeats(docs, key, text, unit, min_words).select(F.col(key).alias("_k"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs[key].eqNullSafe(F.col("_k")), "left")
+    bounded(docs.sparkSession)
+    spans = repeats(docs, key, text, unit, min_words).select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    joined = docs.join(spans, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h")), "left")
 
     @F.pandas_udf("string")
     def kept(texts, spans):  # noqa: ANN001, ANN202
