@@ -169,7 +169,7 @@ def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarr
             k = np.flatnonzero(wide < _U(1 << 44))
             if not len(k):
                 break
-            w = words[at[k]].astype(_U)
+            w = words[np.minimum(at[k], len(words) - 1)].astype(_U)  # a damaged block can run on
             x[k] = (x[k] << _U(16)) | (held[k] << _U(12)) | (w >> _U(4))
             held[k] = w & _U(15)
             at[k] += 1
