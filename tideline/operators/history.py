@@ -11,7 +11,7 @@ p AS (SELECT *, CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END AS point
 
 sql_query("hist_form_frames", "O-105: points and goals over the matches before each kickoff; matches of the same instant are not seen.", SIDES + """
 SELECT uid, team, CAST(coalesce(sum(points) OVER w, 0) AS BIGINT) AS points_before, CAST(count(*) OVER w AS BIGINT) AS played, round(coalesce(avg(CAST(gf AS DOUBLE)) OVER w30, 1.2), 6) AS goals_month FROM p
-WINDOW w AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '1' SECOND PRECEDING), w30 AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND INTERVAL '1' SECOND PRECEDING)""")
+WINDOW w AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '1' SECOND PRECEDING), w30 AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN INTERVAL '2592000' SECOND PRECEDING AND INTERVAL '1' SECOND PRECEDING)""")
 sql_query("hist_last_n", "O-105: points of the last five matches in order of kickoff and id.", SIDES + " SELECT uid, team, CAST(coalesce(sum(points) OVER (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS form5, CAST(coalesce(sum(points) OVER (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS form10 FROM p")
 sql_query("hist_venue_frame", "O-106: the last ten at the same venue.", SIDES + " SELECT uid, team, venue, round(coalesce(avg(CAST(points AS DOUBLE)) OVER (PARTITION BY team, venue ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0e0), 6) AS venue_points FROM p")
 sql_query("hist_head_to_head_frame", "O-107, O-57: the last ten meetings, seen from the home side.", """

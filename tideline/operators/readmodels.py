@@ -13,7 +13,7 @@ WITH {POSTS}
 SELECT id, created_at, score FROM posts WHERE created_at < TIMESTAMP[[_NTZ||]] '2000-06-01 00:00:00' OR (created_at = TIMESTAMP[[_NTZ||]] '2000-06-01 00:00:00' AND id > 500) ORDER BY created_at DESC, id ASC LIMIT 51""")
 sql_query("read_visible", "O-40: soft deletes and visibility.", f"WITH {POSTS} SELECT id, author_id FROM posts WHERE status <> 'P' AND kind IN ('1-URGENT', '2-HIGH')")
 sql_query("read_activity_union", "O-124: four activity sources in one order.", """
-SELECT * FROM (SELECT 'order' AS kind, o_orderkey AS id, o_orderdate AS at FROM {orders} UNION ALL SELECT 'shipment', l_orderkey * 10 + l_linenumber, l_shipdate FROM {lineitem} UNION ALL SELECT 'event', event_id, ts FROM {events} UNION ALL SELECT 'page', page_id, TIMESTAMP[[_NTZ||]] '2024-01-15 00:00:00' FROM {pages}) ORDER BY at DESC, kind, id LIMIT 100""")
+SELECT * FROM (SELECT 'order' AS kind, o_orderkey AS id, o_orderdate AS happened FROM {orders} UNION ALL SELECT 'shipment', l_orderkey * 10 + l_linenumber, l_shipdate FROM {lineitem} UNION ALL SELECT 'event', event_id, ts FROM {events} UNION ALL SELECT 'page', page_id, TIMESTAMP[[_NTZ||]] '2024-01-15 00:00:00' FROM {pages}) ORDER BY happened DESC, kind, id LIMIT 100""")
 sql_query("read_entity_timeline", "O-125: branches of a timeline, each filtered for its entity.", """
 SELECT 'order' AS kind, o_orderkey AS id, o_orderdate AS at FROM {orders} WHERE o_custkey = 42 UNION ALL SELECT 'shipment', l_orderkey, l_shipdate FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey = 42 UNION ALL SELECT event_type, event_id, ts FROM {events} WHERE user_id = 42""")
 sql_query("read_feed_sections", "O-130: followed agents, followed users, then public rows not seen and not muted.", f"""
