@@ -17,6 +17,8 @@ by that symbol. Each round is one sequential pass, and a bucket takes its pieces
 bytes that share no minimiser. When the rounds end, neighbours with a common prefix of WIDTH bytes are one string, and
 the least doc_id among them goes back to the groups, which mark and cut their texts.
 
+Of copies of a whole text only the one with the least doc_id is looked into; the others lose all they have.
+
 The text moves between executors once, compressed; what the steps send each other are arrays in binary rows.
 
 Defined results: null text is empty; shorter texts lose nothing; a null doc_id ranks after all others; of rows with
@@ -102,10 +104,15 @@ def _unpack(b: bytes):  # noqa: ANN202
     return pickle.loads(zstd.ZstdDecompressor().decompress(b))  # noqa: S301  written by this job
 
 
-def _texts(t: pa.Table):  # noqa: ANN202
+def _texts(t: pa.Table, notes: pa.Table):  # noqa: ANN202
+    """(doc_id, text, whether the text is that of a document with a smaller doc_id)."""
     d = zstd.ZstdDecompressor()
+    copies = {x for _, x in _notes(notes, 4)}
+    ids = {x[:8] for x in copies}
     for k, z in zip(t.column("doc_id").to_pylist(), t.column("z").to_pylist(), strict=True):
-        yield (_LAST if k is None else k), d.decompress(z) if z else b""
+        doc, data = (_LAST if k is None else k), d.decompress(z) if z else b""
+        name = doc.to_bytes(8, "big", signed=True)
+        yield doc, data, name in ids and name + hashlib.sha256(data).digest() in copies
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -118,8 +125,10 @@ MESSAGE = "bucket int, g int, kind int, blob binary"
 def _name(buckets: int, width: int):  # noqa: ANN202
     """Of a group of documents: its distinct minimisers by bucket, and whether two of its documents have them."""
 
-    def run(t: pa.Table) -> pa.Table:
-        each = [np.unique(_runs(d, buckets, width)[2]) for _, d in _texts(t)]
+    def run(t: pa.Table, notes: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _rows([])
+        each = [np.unique(_runs(d, buckets, width)[2]) for _, d, copy in _texts(t, notes) if not copy]
         keys, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0))
         cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         g = t.column("g")[0].as_py()
@@ -179,8 +188,8 @@ def _send(buckets: int, width: int):  # noqa: ANN202
             return _rows([])
         shared = _shared_keys(notes)
         held: dict[bytes, list[int]] = {}
-        for doc, data in _texts(t):
-            for _, piece, key in _suspects(data, shared, buckets, width):
+        for doc, data, copy in _texts(t, notes):
+            for _, piece, key in () if copy else _suspects(data, shared, buckets, width):
                 if (x := held.get(piece)) is None:
                     held[piece] = [key, doc, doc]
                 else:
@@ -298,9 +307,9 @@ def _cut(buckets: int, width: int, keep_text: bool):  # noqa: ANN202
             for x, *y in zip(names, a.tolist(), b.tolist(), d.tolist(), strict=True):
                 found.setdefault(x, []).append(tuple(y))
         out: list[tuple] = []
-        for doc, data in _texts(t):
-            spans: list[list[int]] = []
-            for s, piece, _ in _suspects(data, shared, buckets, width) if found else ():
+        for doc, data, copy in _texts(t, notes):
+            spans: list[list[int]] = [[0, len(data)]] if copy and len(data) >= width else []
+            for s, piece, _ in _suspects(data, shared, buckets, width) if found and not copy else ():
                 for a, b, d in found.get(xxhash.xxh3_128_digest(piece), ()):
                     if d < doc:
                         if spans and s + a <= spans[-1][1]:
@@ -330,9 +339,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.compress(x) for x in b.column(2).to_pylist()], pa.binary())], ["g", "doc_id", "z"])
 
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g"), "doc_id", "text").mapInArrow(squeeze, "g int, doc_id long, z binary").repartition(n, "g")
-    named = dealt.groupBy("g").applyInArrow(_name(n, width), MESSAGE)
-    shared = named.groupBy("bucket").applyInArrow(_shared, MESSAGE)
+    placed = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    # copies of whole texts: only the first of them is looked into
+    small = placed.select("g", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.sha2("text", 256).alias("sha"))
+    first = small.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    name = F.concat(F.unhex(F.lpad(F.hex("doc"), 16, "0")), F.unhex("sha"))
+    copies = small.join(first, "sha").where("doc > first").select(F.lit(0).alias("bucket"), "g", F.lit(4).alias("kind"), name.alias("blob"))
+    dealt = placed.select("g", "doc_id", "text").mapInArrow(squeeze, "g int, doc_id long, z binary").repartition(n, "g")
+    named = dealt.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(_name(n, width), MESSAGE)
+    shared = named.groupBy("bucket").applyInArrow(_shared, MESSAGE).unionByName(copies)
     sent = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(n, width), MESSAGE)
     found = sent.groupBy("bucket").applyInArrow(_find(width), MESSAGE)
     cut = dealt.groupBy("g").cogroup(shared.unionByName(found).groupBy("g"))
