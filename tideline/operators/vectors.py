@@ -1 +1,138 @@
-"""Being written."""
+"""Cosine search over embeddings, its confidence, and learnt models over vectors.
+
+Queries are a stated set (every vector whose id is divisible by 100) against all rows: the query side is collected into
+blocks of bounded size that are broadcast, each block scans the corpus once, and every task keeps only its own k best
+of each query before the k best of all are taken. So the shuffle carries k rows a query and task, not all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tideline.registry import load, query, sql_query
+
+K = 10
+#: Queries of one block; a block of 4096 queries of 1024 doubles is 32 MB.
+BLOCK = 4096
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(q, vec_id, sim): the k nearest other vectors of each query; ties go to the lower id. Null vectors match nothing."""
+    spark = corpus.sparkSession
+    n = queries.count()
+    parts = []
+    for b in range(max(1, -(-n // block))):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))) == b).select("vec_id", "embedding").collect()
+        if not rows:
+            continue
+        q = np.array([r.embedding for r in rows], np.float64)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), q / np.where(norm > 0, norm, 1)))
+
+        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            ids, q = shared.value
+            best: pd.DataFrame | None = None
+            for pdf in batches:
+                pdf = pdf[pdf.embedding.notna()]
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
+                x /= np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, 1)
+                sim = np.round(q @ x.T, 9)
+                own = pdf.vec_id.to_numpy()
+                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, : k + 1]
+                i = np.repeat(np.arange(len(ids)), order.shape[1])
+                new = pd.DataFrame({"q": ids[i], "vec_id": own[order.ravel()], "sim": sim[i, order.ravel()]})
+                new = new[new.q != new.vec_id]
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["q", "sim", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
+            if best is not None:
+                yield best
+
+        parts.append(corpus.select("vec_id", "embedding").mapInPandas(near, "q long, vec_id long, sim double"))
+    if not parts:
+        return spark.createDataFrame([], "q long, vec_id long, sim double")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("sim").desc(), "vec_id"))
+    return found.withColumn("rk", rank).where(F.col("rk") <= k).drop("rk")
+
+
+_NEAR = """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT q.vec_id AS q, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rk FROM p),
+t AS (SELECT * FROM r WHERE rk <= 10)"""
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = load(spark, sf_dir, "embeddings")
+    return v.where("vec_id % 100 = 0"), v
+
+
+@query("knn_topk", _NEAR + " SELECT q, vec_id, round(sim, 6) AS sim FROM t")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-117, O-118, O-140, O-186: cosine top-k with tie-break by id."""
+    return cosine_topk(*_queries(spark, sf_dir)).select("q", "vec_id", F.round("sim", 6).alias("sim"))
+
+
+@query("knn_confidence", _NEAR + """, a AS (SELECT q, max(sim) AS best, avg(sim) AS mean, max(sim) - min(sim) AS spread, avg(1 - sim) AS distance, count(*) / 10e0 AS coverage FROM t GROUP BY q)
+SELECT q, round(best, 6) AS best, round(mean, 6) AS mean, round(1 - least(1.0, spread / distance), 6) AS agreement, round(least(0.99, (0.6 * best + 0.4 * mean) * (0.5 + 0.25 * (1 - least(1.0, spread / distance)) + 0.25 * coverage)), 6) AS confidence FROM a""")
+def knn_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-99, O-187: best and mean similarity, agreement and confidence of the neighbours."""
+    t = cosine_topk(*_queries(spark, sf_dir))
+    a = t.groupBy("q").agg(F.max("sim").alias("best"), F.avg("sim").alias("mean"), (F.max("sim") - F.min("sim")).alias("spread"), F.avg(1 - F.col("sim")).alias("distance"), (F.count("*") / 10.0).alias("coverage"))
+    agree = 1 - F.least(F.lit(1.0), F.col("spread") / F.col("distance"))
+    sure = F.least(F.lit(0.99), (0.6 * F.col("best") + 0.4 * F.col("mean")) * (0.5 + 0.25 * agree + 0.25 * F.col("coverage")))
+    return a.select("q", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), F.round(agree, 6).alias("agreement"), F.round(sure, 6).alias("confidence"))
+
+
+@query("knn_compatible_labels", _NEAR + ", w AS (SELECT vec_id AS q, label AS wanted FROM v) SELECT t.q, CAST(count(*) FILTER (WHERE label = wanted) AS BIGINT) AS same, CAST(count(DISTINCT label) AS BIGINT) AS labels FROM t JOIN w ON w.q = t.q GROUP BY t.q")
+def knn_compatible_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-41, O-172, O-188: neighbours of the query's own label, and how many labels there are among them."""
+    q, v = _queries(spark, sf_dir)
+    t = cosine_topk(q, v).join(v.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("q"), F.col("label").alias("wanted")), "q")
+    return t.groupBy("q").agg(F.count(F.when(F.col("label") == F.col("wanted"), 1)).alias("same"), F.count_distinct("label").alias("labels"))
+
+
+@query("knn_profile_similarity", """
+WITH s AS (SELECT l_suppkey, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_quantity) / 50 AS q, CAST(l_suppkey % 5 AS INT) AS c FROM lineitem GROUP BY l_suppkey),
+p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, 0.5 * (1 - abs(a.d - b.d)) + 0.3 * (1 - abs(a.t - b.t)) + 0.2 * (1 - abs(a.q - b.q)) + CASE WHEN a.c = b.c THEN 0.05 ELSE -0.08 END AS s FROM s a JOIN s b ON b.l_suppkey <> a.l_suppkey WHERE a.l_suppkey % 100 = 0)
+SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.97""")
+def knn_profile_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-190: weighted closeness of profiles, a bonus for the same competition and a malus otherwise, above a threshold."""
+    s = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), (F.avg("l_quantity") / 50).alias("q"))
+    s = s.withColumn("c", (F.col("l_suppkey") % 5).cast("int"))
+    q = s.where("l_suppkey % 100 = 0").select(F.col("l_suppkey").alias("a"), *[F.col(c).alias(f"{c}0") for c in "dtqc"])
+    close = lambda c: 1 - F.abs(F.col(f"{c}0") - F.col(c))
+    score = 0.5 * close("d") + 0.3 * close("t") + 0.2 * close("q") + F.when(F.col("c") == F.col("c0"), 0.05).otherwise(-0.08)
+    return q.join(s.withColumnRenamed("l_suppkey", "b"), F.col("a") != F.col("b")).withColumn("s", score).where("s >= 0.97").select("a", "b", F.round("s", 6).alias("similarity"))
+
+
+sql_query("knn_encoder", "O-189: deterministic unit vector of a match's measures, at least three of them known.", """
+WITH m AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS a, avg(CASE WHEN event_type = 'view' THEN value END) AS b, avg(CASE WHEN event_type = 'error' THEN value END) AS c, avg(CASE WHEN event_type = 'signup' THEN value END) AS d FROM {events} GROUP BY user_id),
+n AS (SELECT *, sqrt(coalesce(a * a, 0) + coalesce(b * b, 0) + coalesce(c * c, 0) + coalesce(d * d, 0)) AS norm, CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END + CASE WHEN d IS NULL THEN 0 ELSE 1 END AS known FROM m)
+SELECT user_id, round(coalesce(a, 0) / norm, 6) AS x0, round(coalesce(b, 0) / norm, 6) AS x1, round(coalesce(c, 0) / norm, 6) AS x2, round(coalesce(d, 0) / norm, 6) AS x3 FROM n WHERE known >= 3""")
+
+
+@query("ml_kmeans_sizes")
+def ml_kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-231: k-means clusters of the embeddings (pyspark.ml), their sizes and commonest label."""
+    v = load(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    fitted = KMeans(k=8, seed=7, maxIter=20).fit(v).transform(v)
+    return fitted.groupBy("prediction").agg(F.count("*").alias("n"), F.mode("label", deterministic=True).alias("label"))
+
+
+sql_query("ml_anomaly_zscore", "O-231: rows more than three deviations from their type's mean.", """
+WITH s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS d FROM {events} GROUP BY event_type)
+SELECT event_id, round((value - m) / d, 6) AS z FROM {events} e JOIN s ON e.event_type = s.event_type WHERE abs((value - m) / d) > 3""")
+sql_query("ml_bootstrap_labels", "O-232: rule labels and clamped relevance grades.", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.07 THEN 'strong' WHEN l_discount >= 0.03 THEN 'fair' ELSE 'weak' END AS label, CAST(greatest(0, least(4, [[bround||round_even]](l_tax * 50, 0))) AS INT) AS relevance FROM {lineitem}""")
