@@ -36,7 +36,7 @@ SEGMENT = 8 << 20
 PART = 24 << 20
 END = 2
 MAGIC = b"TIDE1"
-_SLOTS = 12  # bits of a table's size
+_SLOTS = 11  # bits of a table's size
 _U = np.uint64
 
 
@@ -54,7 +54,7 @@ class _Model:
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of order 2 and 1, and their shares of 4096; at least 64 are left."""
-        self.at1 = self.base + (self.last * 40503 >> 4 & 4095)
+        self.at1 = self.base + (self.last * 40503 >> 4 & ((1 << _SLOTS) - 1))
         self.at2 = self.base + self.hash
         self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
         self.r2 = self.lane + (self.e2 & 3)
@@ -74,7 +74,7 @@ class _Model:
             conf = e & 3
             # a wrong prediction loses its confidence first and its place then
             table_[at] = np.where(hit, e + (conf < 3), np.where(conf > 1, e - 2, new))
-        self.hash = (self.last * 2654435761 + ids * 40503 >> 7) & 4095
+        self.hash = (self.last * 2654435761 + ids * 40503 >> 7) & ((1 << _SLOTS) - 1)
         self.last = ids
 
 
