@@ -1 +1,265 @@
-"""Being written."""
+"""Sequential state per key: gates that compare with the last accepted row, limits, lifecycle, Elo.
+
+A gate's answer depends on its own earlier answers, so no window function gives it. Each key's rows are folded in the
+total order (ts, event_id) inside ``applyInPandas``; the oracles are recursive queries. The same folds run as
+stateful stream processors in ``tideline.streaming``. Keys are matches, providers or agents, whose rows are bounded by
+their season or day; a table is dealt by key before the fold.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable, Iterable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.registry import load, query, run_sql
+
+
+def cooldown(times: Iterable[int], gap: int, last: int | None = None) -> tuple[list[bool], int | None]:
+    """O-210: a row passes if at least ``gap`` has gone by since the last row that passed."""
+    out = []
+    for t in times:
+        ok = last is None or t - last >= gap
+        if ok:
+            last = t
+        out.append(ok)
+    return out, last
+
+
+def change_gate(values: Iterable[float], share: float, last: float | None = None) -> tuple[list[bool], float | None]:
+    """O-216: a row passes if it differs from the last published value by at least ``share`` of it."""
+    out = []
+    for v in values:
+        ok = last is None or (abs(v - last) / abs(last) >= share if last else v != last)
+        if ok:
+            last = v
+        out.append(ok)
+    return out, last
+
+
+def sliding_limit(times: Iterable[int], limits: list[tuple[int, int]]) -> list[bool]:
+    """O-217: a call passes if every window (length, most) has room; only calls that pass are counted."""
+    allowed: deque[int] = deque()
+    longest = max(w for w, _ in limits)
+    out = []
+    for t in times:
+        while allowed and t - allowed[0] >= longest:
+            allowed.popleft()
+        ok = all(sum(1 for a in allowed if t - a < w) < most for w, most in limits)
+        if ok:
+            allowed.append(t)
+        out.append(ok)
+    return out
+
+
+def antispam(rows: Iterable[tuple[int, int, str]], agent_gap: int, story_gap: int, type_gap: int, hourly: int, daily: int) -> list[str]:
+    """O-219: first rule that stops a post; rows are (time, story, type), and only allowed posts are remembered."""
+    posts: deque[int] = deque()
+    story_last: dict[int, int] = {}
+    type_last: dict[str, int] = {}
+    out = []
+    for t, story, kind in rows:
+        while posts and t - posts[0] >= 86_400:
+            posts.popleft()
+        if posts and t - posts[-1] < agent_gap:
+            out.append("agent_cooldown")
+        elif story in story_last and t - story_last[story] < story_gap:
+            out.append("story_cooldown")
+        elif kind in type_last and t - type_last[kind] < type_gap:
+            out.append("type_cooldown")
+        elif sum(1 for p in posts if t - p < 3600) >= hourly:
+            out.append("hourly_limit")
+        elif len(posts) >= daily:
+            out.append("daily_limit")
+        else:
+            out.append("allowed")
+            posts.append(t)
+            story_last[story], type_last[kind] = t, t
+    return out
+
+
+class Lifecycle:
+    """O-212, O-213: open instances of one match by trend type; each tick expires, confirms, fails, then observes."""
+
+    def __init__(self, expiry: int = 86_400, sustain: int = 3, confirms: str = "purchase", eps: float = 0.05) -> None:
+        self.open: dict[str, dict] = {}
+        self.expiry, self.sustain, self.confirms, self.eps, self.serial = expiry, sustain, confirms, eps, 0
+
+    def tick(self, t: int, kind: str, direction: int, strength: float, impact: bool) -> list[tuple[int, str, str]]:
+        """Closed or touched instances as (serial, type, state)."""
+        out = []
+        for k in sorted(self.open):
+            if t - self.open[k]["seen"] > self.expiry:
+                out.append((self.open.pop(k)["serial"], k, "EXPIRED"))
+        if impact:
+            for k in sorted(self.open):
+                if k != kind:
+                    out.append((self.open.pop(k)["serial"], k, "CONFIRMED"))
+        held = self.open.get(kind)
+        if held and held["direction"] and direction == -held["direction"]:
+            out.append((self.open.pop(kind)["serial"], kind, "FAILED"))
+            held = None
+        if held is None:
+            self.serial += 1
+            self.open[kind] = {"serial": self.serial, "direction": direction, "strength": strength, "seen": t, "n": 1}
+            out.append((self.serial, kind, "ACTIVE"))
+            return out
+        change = strength - held["strength"]
+        held |= {"seen": t, "strength": strength, "n": held["n"] + 1, "direction": direction or held["direction"]}
+        if held["n"] >= self.sustain:
+            out.append((self.open.pop(kind)["serial"], kind, "CONFIRMED"))
+        else:
+            out.append((held["serial"], kind, "STRENGTHENING" if change > self.eps else "WEAKENING" if change < -self.eps else "ACTIVE"))
+        return out
+
+
+def _fold(df: DataFrame, key: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return df.groupBy(key).applyInPandas(lambda pdf: fold(pdf.sort_values(["t", "event_id"])), schema)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+_ORDERED = "e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query("state_cooldown_gate", "WITH RECURSIVE " + _ORDERED.format(key="user_id") + """,
+g AS (SELECT user_id, event_id, i, t AS last, TRUE AS passed FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t - g.last >= 21600000000 THEN e.t ELSE g.last END, e.t - g.last >= 21600000000 FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
+SELECT user_id, event_id FROM g WHERE passed""")
+def state_cooldown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-210: at most one row a match in six hours, counted from the last one that passed."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        ok, _ = cooldown(pdf.t.tolist(), 21_600_000_000)
+        return pdf.loc[ok, ["user_id", "event_id"]]
+
+    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "t"), "user_id", fold, "user_id long, event_id long")
+
+
+@query("state_change_gate", "WITH RECURSIVE " + _ORDERED.format(key="user_id, event_type") + """,
+g AS (SELECT user_id, event_type, event_id, i, value AS last, TRUE AS passed FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.i, CASE WHEN abs(e.value - g.last) / abs(g.last) >= 0.5 THEN e.value ELSE g.last END, abs(e.value - g.last) / abs(g.last) >= 0.5 FROM g JOIN e ON e.user_id = g.user_id AND e.event_type = g.event_type AND e.i = g.i + 1)
+SELECT event_id FROM g WHERE passed""")
+def state_change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-216: a lane's price is published when it moved by half of the last published one."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        ok, _ = change_gate(pdf.value.tolist(), 0.5)
+        return pdf.loc[ok, ["event_id"]]
+
+    e = _events(spark, sf_dir).select(F.struct("user_id", "event_type").alias("lane"), "event_id", "t", "value")
+    return e.withColumn("lane", F.to_json("lane")).groupBy("lane").applyInPandas(lambda p: fold(p.sort_values(["t", "event_id"])), "event_id long")
+
+
+@query("state_sliding_limit")
+def state_sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-217: calls of each provider within limits of a quarter hour, an hour and a day (brute force in the tests)."""
+    limits = [(900_000_000, 3), (3_600_000_000, 9), (86_400_000_000, 180)]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[sliding_limit(pdf.t.tolist(), limits), ["event_id"]]
+
+    e = _events(spark, sf_dir).select("event_type", "event_id", "t")
+    return e.groupBy("event_type").applyInPandas(lambda p: fold(p.sort_values(["t", "event_id"])), "event_id long")
+
+
+@query("state_antispam")
+def state_antispam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-219: first violated rule of each post of an agent."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = zip((pdf.t // 1_000_000).tolist(), (pdf.event_id % 7).tolist(), pdf.event_type.tolist(), strict=True)
+        return pd.DataFrame({"event_id": pdf.event_id, "verdict": antispam(rows, 1800, 14_400, 7200, 6, 30)})
+
+    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "t"), "user_id", fold, "event_id long, verdict string")
+
+
+@query("state_lifecycle")
+def state_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-212, O-213, O-215: every state an instance goes through, in order."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, out = Lifecycle(), []
+        for r in pdf.itertuples():
+            for serial, kind, state in m.tick(r.t // 1_000_000, r.event_type, int(r.event_id % 3) - 1, r.value / 100, r.event_type == m.confirms):
+                out.append((r.user_id, r.event_id, serial, kind, state))
+        return pd.DataFrame(out, columns=["user_id", "event_id", "serial", "trend_type", "state"])
+
+    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "t"), "user_id", fold, "user_id long, event_id long, serial long, trend_type string, state string")
+
+
+@query("state_checkpoints", """
+WITH e AS (SELECT user_id, event_id, ts, CAST(event_id % 95 AS INT) AS minute FROM events),
+c AS (SELECT unnest([15, 30, 45, 60, 75, 90]) AS checkpoint)
+SELECT user_id, CAST(checkpoint AS INT) AS checkpoint, min_by(event_id, (ts, event_id)) AS event_id FROM e JOIN c ON minute >= checkpoint GROUP BY user_id, checkpoint""")
+def state_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-214: each checkpoint fires once, at the first row that reaches it."""
+    e = load(spark, sf_dir, "events").withColumn("minute", (F.col("event_id") % 95).cast("int"))
+    c = e.select("user_id", "event_id", "ts", F.explode(F.filter(F.array(*map(F.lit, (15, 30, 45, 60, 75, 90))), lambda x: x <= F.col("minute"))).alias("checkpoint"))
+    return c.groupBy("user_id", "checkpoint").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("state_threshold_window", """
+WITH c AS (SELECT event_id, event_type, user_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW) AS n FROM events)
+SELECT event_id, CAST(n AS BIGINT) AS n FROM c WHERE n >= 3""")
+def state_threshold_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-209: rows at which a sliding window of two days holds at least three of their kind."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("t").rangeBetween(-172_800_000_000, 0)
+    return _events(spark, sf_dir).withColumn("n", F.count("*").over(w)).where("n >= 3").select("event_id", "n")
+
+
+@query("state_recalculation", """
+WITH e AS (SELECT user_id, event_id, ts, event_type, CAST(event_id % 95 AS INT) AS minute, lag(CAST(event_id % 95 AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'critical' WHEN abs(step) >= 80 THEN 'odds' WHEN minute // 15 <> before // 15 THEN 'time' END AS cause FROM e WHERE event_type = 'error' OR abs(step) >= 80 OR minute // 15 <> before // 15""")
+def state_recalculation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-215: what makes a context be worked out anew: a critical event, the odds, or the clock, in this order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = load(spark, sf_dir, "events").withColumn("minute", (F.col("event_id") % 95).cast("int"))
+    e = e.withColumn("before", F.lag("minute").over(w)).withColumn("step", F.col("value") - F.lag("value").over(w))
+    quarter = lambda c: F.floor(F.col(c) / 15)
+    cause = F.when(F.col("event_type") == "error", "critical").when(F.abs("step") >= 80, "odds").when(quarter("minute") != quarter("before"), "time")
+    return e.withColumn("cause", cause).where("cause is not null").select("event_id", "cause")
+
+
+@query("state_story_sessions", """
+WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) > INTERVAL '36' HOUR AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS story FROM e)
+SELECT user_id, event_type, min(ts) AS opened, CAST(count(*) AS BIGINT) AS n, max(value) AS peak FROM s GROUP BY user_id, event_type, story""")
+def state_story_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-220, O-221: stories are session windows that close after a day and a half without a row."""
+    e = load(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    s = e.groupBy("user_id", "event_type", F.session_window("at", "129600 seconds 1 microsecond")).agg(F.count("*").alias("n"), F.max("value").alias("peak"))
+    return s.select("user_id", "event_type", F.col("session_window.start").cast("timestamp_ntz").alias("opened"), "n", "peak")
+
+
+def elo(pdf: pd.DataFrame, k: float = 20.0, edge: float = 65.0) -> pd.DataFrame:
+    """O-199: ratings before each match of one competition; matches of one kickoff are all rated before any is recorded."""
+    pdf = pdf.sort_values(["kickoff_at", "uid"])
+    rating: dict[int, float] = {}
+    out = []
+    for _, same in pdf.groupby("kickoff_at", sort=True):
+        rows = list(same.itertuples())
+        out += [(r.uid, round(rating.get(r.home, 1500.0), 6), round(rating.get(r.away, 1500.0), 6)) for r in rows]
+        for r in rows:
+            h, a = rating.get(r.home, 1500.0), rating.get(r.away, 1500.0)
+            margin = abs(r.home_goals - r.away_goals)
+            score = 1.0 if r.home_goals > r.away_goals else 0.5 if margin == 0 else 0.0
+            step = k * (1 + 0.15 * min(margin, 4)) * (score - 1 / (1 + 10 ** ((a - h - edge) / 400)))
+            rating[r.home], rating[r.away] = h + step, a - step
+    return pd.DataFrame(out, columns=["uid", "home_elo", "away_elo"])
+
+
+@query("state_elo")
+def state_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-199, O-198: Elo of both sides before each match. Both sides move with every match, so the unit is a competition."""
+    m = run_sql(spark, sf_dir, "SELECT * FROM {matches}").withColumn("kickoff_at", F.unix_micros(F.col("kickoff_at").cast("timestamp")))
+    return m.groupBy("competition").applyInPandas(lambda p: elo(p), "uid long, home_elo double, away_elo double")
