@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  #
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """The document with the least doc_id of each group of near-duplicates (five-word shingles)."""
-    of = simhash.cluster(docs, size=5)
+    """The document with the least doc_id of each group of near-duplicates: five-word shingles, at most 6 of 64 bits apart."""
+    of = simhash.cluster(docs, size=5, distance=6)
     later = of.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

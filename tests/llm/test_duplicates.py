@@ -20,7 +20,7 @@ def brute_fp(t):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def brute_components(fps, ids):
+def brute_components(fps, ids, distance=4):
     parent = list(range(len(fps)))
 
     def find(x):
@@ -30,7 +30,7 @@ def brute_components(fps, ids):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 4:
+            if bin(fps[i] ^ fps[j]).count("1") <= distance:
                 parent[find(i)] = find(j)
     roots = [find(i) for i in range(len(fps))]
     least = {r: min((ids[i] for i in range(len(fps)) if roots[i] == r and ids[i] is not None), default=None) for r in roots}
@@ -49,15 +49,15 @@ def test_simhash_awkward_and_spark_hash(spark):
     assert simhash.cluster(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [50_000, 60])
-def test_links_find_all_pairs(spark, group):
+@pytest.mark.parametrize(("group", "distance"), [(50_000, 4), (60, 4), (50_000, 6), (500, 6), (50_000, 2)])
+def test_links_find_all_pairs(spark, group, distance):
     """Random fingerprints, dense clusters and chains; a small group bound takes the way of split groups."""
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(150)]
     for base in list(fps[:12]):
         x = base
         for _ in range(25):
-            for b in rng.sample(range(64), rng.randint(1, 5)):
+            for b in rng.sample(range(64), rng.randint(1, distance + 1)):
                 x ^= 1 << b
             fps.append(x)
     centre = fps[20]
@@ -65,13 +65,13 @@ def test_links_find_all_pairs(spark, group):
     fps = sorted(set(fps))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
-    edges = simhash.links(frame, group)
+    edges = simhash.links(frame, group, distance)
     ids = {f: i for i, f in enumerate(signed)}
     rows = edges.collect()
-    assert all(bin((r.a ^ r.b) % 2**64).count("1") <= 4 for r in rows)
+    assert all(bin((r.a ^ r.b) % 2**64).count("1") <= distance for r in rows)
     root = {r.node: r.root for r in components(edges).collect()}
     got = [root.get(f, f) for f in signed]
-    want = brute_components(fps, list(range(len(fps))))
+    want = brute_components(fps, list(range(len(fps))), distance)
     assert len(set(got)) == len(set(want)) and len(set(zip(got, want, strict=True))) == len(set(want)) and len(ids) == len(fps)
 
 
