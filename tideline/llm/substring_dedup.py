@@ -3,8 +3,8 @@
 A unit is normalised (lower case, white space runs to one space, outer punctuation off) and digested to 128 bits.
 Digests are grouped over all documents; the occurrence with the least rank (doc_id, start) stays, every other
 occurrence is removed, and its place in the original text (code points) is kept. Sentences are the finest unit, so that
-a passage copied into the middle of another line is caught as well. Units below ``min_words`` words are left alone:
-they recur by chance.
+a passage copied into the middle of another line is caught as well. Shorter units than ``min_words`` words recur by
+chance, so they count only together with what follows them; the spans of such units overlap and are removed as one.
 
 A digest that occurs everywhere costs one row a task in the grouping (partial aggregation) and is a split-able side of
 the join that follows.
@@ -35,13 +35,25 @@ _EDGE = " .,;:!?\"'()[]{}-"
 
 
 def units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised unit), without the white space around it."""
+    """(start, end, normalised unit), without the white space around it.
+
+    A sentence, line or paragraph of fewer than ``min_words`` words is taken together with as many of those after it as
+    make up that number; so units begin at every one of them, and a passage has the same units wherever it stands.
+    """
+    parts = []
     for m in UNITS[unit].finditer(text):
         raw = m.group()
-        words = raw.split()
-        if len(words) >= min_words:
+        if words := raw.split():
             a = m.start() + len(raw) - len(raw.lstrip())
-            yield a, m.end() - (len(raw) - len(raw.rstrip())), " ".join(words).lower().strip(_EDGE)
+            parts.append((a, m.end() - (len(raw) - len(raw.rstrip())), words))
+    for i, (a, b, words) in enumerate(parts):
+        j = i + 1
+        while len(words) < min_words and j < len(parts):
+            words = words + parts[j][2]
+            b = parts[j][1]
+            j += 1
+        if len(words) >= min_words:
+            yield a, b, " ".join(words).lower().strip(_EDGE)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
