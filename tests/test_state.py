@@ -91,3 +91,15 @@ def test_topk_in_blocks_with_ties(spark):
     assert one == sorted(map(tuple, cosine_topk(q, v, 4, block=3).collect()))
     assert all(sum(1 for r in one if r[0] == i) == 4 for i in {r[0] for r in one})
     assert cosine_topk(q.limit(0), v).count() == 0
+
+
+def test_guard_and_policy(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.operators.extension import categorise, guard_columns
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id long, kind string")
+    assert {r.id: r.category for r in categorise(df, "kind", {"a": "first"}, "other").collect()} == {1: "first", 2: "other", 3: "other"}
+    assert guard_columns(df) is df
+    with pytest.raises(ValueError):
+        guard_columns(df.select(F.struct(F.lit(1).alias("predicted_goals")).alias("s")))

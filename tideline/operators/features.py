@@ -110,7 +110,7 @@ SELECT event_id, ts FROM {events} WHERE CAST(ts AS DATE) + INTERVAL '7' DAY > (S
 
 sql_query("filter_optional_conjunction", "O-28, O-29, O-30: optional equality filters, an inequality and a half-open interval.", """
 SELECT event_id, user_id, event_type, ts FROM {events}
-WHERE (NULL IS NULL OR user_id = NULL) AND event_type = 'click' AND user_id <> 7 AND ts >= TIMESTAMP[[_NTZ||]] '2024-01-05 00:00:00' AND ts < TIMESTAMP[[_NTZ||]] '2024-01-12 00:00:00'""")
+WHERE event_type = 'click' AND user_id <> 7 AND ts >= TIMESTAMP[[_NTZ||]] '2024-01-05 00:00:00' AND ts < TIMESTAMP[[_NTZ||]] '2024-01-12 00:00:00'""")
 
 sql_query("filter_quarantine", "O-31, O-32: first failing reason of a cascade, staleness against the newest row.", """
 WITH m AS (SELECT max(ts) AS now FROM {events}),

@@ -28,12 +28,13 @@ MODULES = (
     "tideline.operators.vectors",
     "tideline.operators.state",
     "tideline.operators.quality",
+    "tideline.operators.extension",
     "tideline.functions.scalar",
     "tideline.sources.lake",
     "tideline.streaming.queries",
     "tideline.plans.reports",
 )
-#: Subqueries that texts may name as ``{ticks}``: the reference's entities over the driver's tables.
+#: Subqueries that texts may name as ``{ticks}``: entities of the domain bound to the tables at hand.
 ENTITIES = {
     # one quote: match, book, time and decimal odds of three outcomes
     "ticks": "(SELECT user_id AS match_id, event_type AS book, ts, event_id, 1 + value / 100.0 AS home, 1 + CAST([[get_json_object(props, '$.k')||json_extract_string(props, '$.k')]] AS DOUBLE) / 25.0 AS draw, 1 + CAST(event_id % 40 AS DOUBLE) / 10.0 AS away FROM {events})",
