@@ -24,8 +24,9 @@ a AS (SELECT 0 AS section, id, created_at FROM posts WHERE author_id % 4 = 0 AND
 u AS (SELECT 1 AS section, id, created_at FROM posts WHERE author_id % 4 <> 0 AND author_id IN (SELECT target FROM follows) AND author_id NOT IN (SELECT target FROM muted)),
 pub AS (SELECT 2 AS section, id, created_at FROM posts WHERE kind = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM a WHERE a.id = posts.id) AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = posts.id) AND author_id NOT IN (SELECT target FROM muted))
 SELECT section, id FROM (SELECT *, row_number() OVER (ORDER BY section, created_at DESC, id) AS rk FROM (SELECT * FROM a UNION ALL SELECT * FROM u UNION ALL SELECT * FROM pub)) WHERE rk <= 500""")
-sql_query("read_reciprocal_rank", "O-131: rankings of categories merged by reciprocal rank, category order and id.", """
-WITH r AS (SELECT 0 AS pri, 'user' AS category, c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM {customer} UNION ALL SELECT 1, 'agent', s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) FROM {supplier} UNION ALL SELECT 2, 'part', p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) FROM {part})
+sql_query("read_reciprocal_rank", "O-131: rankings of categories merged by reciprocal rank, category order and id. Only rows that can be among the merged 60 are ranked, so no task sorts a whole category.", """
+WITH c AS (SELECT c_custkey AS id, c_acctbal AS v FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 60), a AS (SELECT s_suppkey AS id, s_acctbal AS v FROM {supplier} ORDER BY s_acctbal DESC, s_suppkey LIMIT 60), p AS (SELECT p_partkey AS id, p_retailprice AS v FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 60),
+r AS (SELECT 0 AS pri, 'user' AS category, id, row_number() OVER (ORDER BY v DESC, id) AS pos FROM c UNION ALL SELECT 1, 'agent', id, row_number() OVER (ORDER BY v DESC, id) FROM a UNION ALL SELECT 2, 'part', id, row_number() OVER (ORDER BY v DESC, id) FROM p)
 SELECT category, id, round(1 / (1e0 + pos), 9) AS score FROM r ORDER BY 1 / (1e0 + pos) DESC, pri, id LIMIT 60""")
 sql_query("read_topk_both_ends", "O-119: the eight strongest and weakest of each group.", """
 WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS top, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS low FROM {events})
@@ -51,7 +52,7 @@ sql_query("read_moderation_lens", "O-234, O-235: rows of hidden, banned or suspe
 WITH hidden AS (SELECT c_custkey AS id FROM {customer} WHERE c_acctbal < 0 UNION SELECT s_suppkey FROM {supplier} WHERE s_acctbal < 0 UNION SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P' AND o_totalprice > 495000)
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND (o_orderdate IS NULL OR o_orderdate > TIMESTAMP[[_NTZ||]] '2001-01-01 00:00:00') THEN 'suspended' WHEN o_orderstatus = 'F' THEN 'banned' ELSE 'ok' END AS state FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM hidden WHERE hidden.id = o_custkey)""")
 sql_query("read_saved_posts", "O-239: saved rows newest first.", "SELECT o_orderkey, o_orderdate FROM {orders} JOIN {customer} ON o_custkey = c_custkey AND c_acctbal >= 0 WHERE c_mktsegment = 'MACHINERY' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
-sql_query("read_competition_highlights", "O-241: four-key editorial order.", "SELECT p_partkey, p_brand, p_type, p_size, row_number() OVER (ORDER BY p_size DESC, p_brand, p_type, p_partkey) AS place FROM {part} WHERE p_size >= 45")
+sql_query("read_competition_highlights", "O-241: the first hundred by a four-key editorial order.", "SELECT p_partkey, p_brand, p_type, p_size FROM {part} WHERE p_size >= 45 ORDER BY p_size DESC, p_brand, p_type, p_partkey LIMIT 100")
 sql_query("read_lineage", "O-242: raws of a canonical row in order.", "SELECT o_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate, l_linenumber, l_suppkey, l_partkey) AS place FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
 sql_query("read_due_lanes", "O-244, O-245: enabled competitions by adapters and policies, those due by their interval band.", """
 WITH lanes AS (SELECT n_nationkey, s_suppkey, CASE WHEN (n_nationkey + s_suppkey) % 90 < 15 THEN 30 WHEN (n_nationkey + s_suppkey) % 90 < 45 THEN 300 ELSE 3600 END AS every, (n_nationkey * 37 + s_suppkey * 11) % 4000 AS since FROM {nation} CROSS JOIN (SELECT s_suppkey FROM {supplier} WHERE s_suppkey % 10 = 0) x WHERE n_regionkey <> 2)
