@@ -1,7 +1,7 @@
 """Trend detectors and the stages after them.
 
 A detector is a filtered select over one wide tick frame (``WIDE``): each row holds a match's scores now and at its
-previous tick. Detectors of a family are the branches of one union, so a family reads its frame's partitioning once.
+previous tick. Detectors of one frame are unpivoted in one pass over it.
 """
 
 from __future__ import annotations
@@ -25,13 +25,26 @@ x AS (SELECT *, lag(consensus) OVER o AS consensus0, lag(divergence) OVER o AS d
   WINDOW o AS (PARTITION BY match_id ORDER BY ts, event_id))"""
 
 
-def branch(kind: str, where: str, direction: str, strength: str, confidence: str, source: str = "x") -> str:
-    return f"SELECT match_id, event_id, ts, '{kind}' AS trend_type, CAST(coalesce({direction}, 0) AS INT) AS direction, CAST({clamp(strength)} AS DOUBLE) AS strength, CAST({clamp(confidence)} AS DOUBLE) AS confidence FROM {source} WHERE {where}"
+def branch(kind: str, where: str, direction: str, strength: str, confidence: str, source: str = "x") -> tuple[str, ...]:
+    """A detector: its type, when it fires, and the direction, strength and confidence of what it finds."""
+    return kind, where, f"coalesce({direction}, 0)", f"CAST({clamp(strength)} AS DOUBLE)", f"CAST({clamp(confidence)} AS DOUBLE)", source
 
 
-def finish(branches: list[str]) -> str:
-    """Union of detectors with the severity of each strength (O-143)."""
-    return ",\nd AS (" + "\nUNION ALL ".join(branches) + ")\nSELECT match_id, event_id, trend_type, direction, round(strength, 6) AS strength, round(confidence, 6) AS confidence, CASE WHEN strength < 0.35 THEN 'low' WHEN strength < 0.6 THEN 'medium' WHEN strength < 0.85 THEN 'high' ELSE 'critical' END AS severity FROM d"
+def detect(branches: list[tuple[str, ...]]) -> str:
+    """The frame ``d`` of what the detectors find: detectors of one source read it once, every row meeting each of them."""
+    parts = []
+    for source in dict.fromkeys(b[5] for b in branches):
+        own = [b for b in branches if b[5] == source]
+        kinds = ", ".join(f"'{b[0]}'" for b in own)
+        pick = lambda i, own=own: "CASE kind " + " ".join(f"WHEN '{b[0]}' THEN {b[i]}" for b in own) + " END"
+        each = f"SELECT * FROM {source} [[LATERAL VIEW explode(array({kinds})) k0 AS kind||CROSS JOIN (SELECT unnest([{kinds}]) AS kind) k0]]"
+        parts.append(f"SELECT match_id, event_id, ts, kind AS trend_type, CAST({pick(2)} AS INT) AS direction, {pick(3)} AS strength, {pick(4)} AS confidence FROM ({each}) f WHERE {pick(1)}")
+    return ",\nd AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def finish(branches: list[tuple[str, ...]]) -> str:
+    """Detections with the severity of each strength (O-143)."""
+    return detect(branches) + "\nSELECT match_id, event_id, trend_type, direction, round(strength, 6) AS strength, round(confidence, 6) AS confidence, CASE WHEN strength < 0.35 THEN 'low' WHEN strength < 0.6 THEN 'medium' WHEN strength < 0.85 THEN 'high' ELSE 'critical' END AS severity FROM d"
 
 
 INTELLIGENCE = [
@@ -85,7 +98,7 @@ sql_query("trend_ninja", "O-158, O-159, O-160, O-161, O-171: shift, acceleration
     branch("historical_deviation", "points >= 3 AND abs(since_open) >= 0.07", "sign(since_open)", "abs(since_open) / 0.25", "0.55 + 0.03 * points", "base"),
 ]))
 
-DETECTED = WIDE + ",\nd AS (" + "\nUNION ALL ".join(INTELLIGENCE + PULSE + SENTINEL + ECHO) + ")"
+DETECTED = WIDE + detect(INTELLIGENCE + PULSE + SENTINEL + ECHO)
 
 # The pairs of trend types that fuse, and whether their directions must agree.
 RULES = [
