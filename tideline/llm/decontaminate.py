@@ -148,14 +148,30 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """``keep`` columns of docs, n_words, spans (of word numbers, merged) and items (ids as strings, sorted)."""
+def _without(data: bytes, spans: list[dict]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    if not spans:
+        return data
+    at = [m.span() for m in _WORD.finditer(data.lower())]
+    kept, p = [], 0
+    for s in spans:
+        kept.append(data[p : at[s["a"]][0]])
+        p = at[s["b"] - 1][1]
+    return b"".join([*kept, data[p:]])
+
+
+def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard: int = SHARD, cut_text: bool = False) -> DataFrame:
+    """``keep`` columns of docs, n_words, spans (of word numbers, merged) and items (ids as strings, sorted).
+
+    With ``cut_text`` also ``cut``: the text without the spans, made in the same pass.
+    """
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard))
     names = [*keep, "n_words", "spans", "items"]
     schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL("n_words long, spans array<struct<a:long,b:long>>, items array<string>").fields])
+    done = T.StructType([*schema.fields, *([T.StructField("cut", T.StringType())] if cut_text else [])])
     out = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
@@ -175,9 +191,12 @@ def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",),
                     spans.append([{"a": x, "b": y} for x, y in _merge([*((z["a"], z["b"]) for z in s0), *s])] if s or s0 else [])
                     found.append(sorted({*i0, *(x for x in i if x is not None)}))
                 new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new, *([] if last else [b.column("_text")])], [*names, *([] if last else ["_text"])])
+                more = {} if last else {"_text": b.column("_text")}
+                if last and cut_text:
+                    more["cut"] = pa.array([d if d is None else _without(d, s) for d, s in zip(b.column("_text").to_pylist(), spans, strict=True)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new, *more.values()], [*names, *more])
 
-        out = out.mapInArrow(run, schema if k == n - 1 else T.StructType([*schema.fields, T.StructField("_text", T.BinaryType())]))
+        out = out.mapInArrow(run, done if k == n - 1 else T.StructType([*schema.fields, T.StructField("_text", T.BinaryType())]))
         if k < n - 1:
             out = durable(out, "hits")
     return out
@@ -185,32 +204,10 @@ def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",),
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = 0.5, **how) -> DataFrame:  # noqa: ANN003
     """``docs`` without the hit spans; a document whose hit words pass ``max_coverage`` of its words goes as a whole."""
-    columns = docs.columns
-    keep = tuple(c if c != text else "_whole" for c in columns)
-    found = hits(docs.withColumn("_whole", F.col(text)), items, keep=keep, text=text, **how)
+    keep = tuple(c for c in docs.columns if c != text)
+    found = hits(docs, items, keep=keep, text=text, cut_text=True, **how)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    found = found.where(n_hit <= F.col("n_words") * max_coverage)
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is None or not len(s):
-                out.append(t)
-                continue
-            data = t.encode("utf-8")
-            at = [m.span() for m in _WORD.finditer(data.lower())]
-            kept, p = [], 0
-            for x in s:
-                kept.append(data[p : at[x["a"]][0]])
-                p = at[x["b"] - 1][1]
-            out.append(b"".join([*kept, data[p:]]).decode("utf-8"))
-        return pd.Series(out, dtype=object)
-
-    done = found.withColumn(text, F.when(F.size("spans") > 0, cut("_whole", "spans")).otherwise(F.col("_whole")))
-    return done.select(*columns)
+    return found.where(n_hit <= F.col("n_words") * max_coverage).select(*[F.col("cut").alias(c) if c == text else c for c in docs.columns])
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
