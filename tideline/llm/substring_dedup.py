@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded, table
+from tideline.llm.common import bounded, durable, table
 
 UNITS = {
     "sentence": re.compile(r"[^\n.!?]+[.!?]*"),
@@ -75,7 +75,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str
 
     units = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t is not null").mapInArrow(run, "k long, h long, a int, b int, hi long, lo long")
     rank = F.struct(F.col("k").isNull().alias("late"), F.col("k").alias("k"), F.col("a").alias("a"))
-    first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first")
+    # a table of its own: Spark splits a hot digest's rows only where both sides of the join come straight from a shuffle
+    first = durable(units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first"), "repeated")
     gone = units.join(first, ["hi", "lo"]).where(~F.col("first").eqNullSafe(rank))
     return gone.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
