@@ -37,7 +37,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import durable, table
 
 WIDTH = 50
 GRAM = 32
@@ -342,7 +342,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     placed = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     # copies of whole texts: only the first of them is looked into
     small = placed.select("g", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.sha2("text", 256).alias("sha"))
-    first = small.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a table of its own: Spark splits a hot text's rows only where both sides of the join come straight from a shuffle
+    first = durable(small.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     name = F.concat(F.unhex(F.lpad(F.hex("doc"), 16, "0")), F.unhex("sha"))
     copies = small.join(first, "sha").where("doc > first").select(F.lit(0).alias("bucket"), "g", F.lit(4).alias("kind"), name.alias("blob"))
     dealt = placed.select("g", "doc_id", "text").mapInArrow(squeeze, "g int, doc_id long, z binary").repartition(n, "g")
