@@ -204,10 +204,13 @@ def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",),
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = 0.5, **how) -> DataFrame:  # noqa: ANN003
     """``docs`` without the hit spans; a document whose hit words pass ``max_coverage`` of its words goes as a whole."""
-    keep = tuple(c for c in docs.columns if c != text)
-    found = hits(docs, items, keep=keep, text=text, cut_text=True, **how)
+    # under names of their own, as a document's column may have the name of a result
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
+    found = hits(rows, items, keep=tuple(n for c, n in named.items() if c != text), text=named[text], cut_text=True, **how)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    return found.where(n_hit <= F.col("n_words") * max_coverage).select(*[F.col("cut").alias(c) if c == text else c for c in docs.columns])
+    kept = found.where(n_hit <= F.col("n_words") * max_coverage)
+    return kept.select(*[F.col("cut" if c == text else n).alias(c) for c, n in named.items()])
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

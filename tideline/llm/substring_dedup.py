@@ -95,7 +95,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the kept text in ``text`` and the removed spans in ``removed`` (array<struct<a,b>>, original offsets)."""
+    """``docs`` with the kept text in ``text`` and the removed spans in ``removed`` (array<struct<a,b>>, original offsets).
+
+    A column ``removed`` that ``docs`` has already gives way.
+    """
+    docs = docs.drop("removed")
     bounded(docs.sparkSession)
     spans = repeats(docs, key, text, unit, min_words).select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     joined = docs.join(spans, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h")), "left")
