@@ -47,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # n
     """One row per piece with its training sequence and its place there."""
     import public_tokenizers
 
-    return packing.pack(durable(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
+    return packing.pack(durable(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), reuse=False), "pieces"))
 
 
 STAGES = [

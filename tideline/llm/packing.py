@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import durable, table
-from tideline.llm.tokens import encoder
+from tideline.llm.tokens import encoder, release
 
 CAP = 1024
 GROUPS = 64
@@ -42,8 +42,11 @@ END = 2
 SALT_ROWS = 50_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", cap: int = CAP, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", cap: int = CAP, end: int = END, reuse: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document.
+
+    ``reuse``: a Python worker keeps its word table for later tasks (about 200 MB); else each task lets it go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced=True)
@@ -60,6 +63,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     who = b.column(0)[i + k].as_py()
                     rows += [(who, p, s, e - s, zlib.crc32(ids[s:e])) for p, (s, e) in enumerate(zip(edges, edges[1:]))]  # noqa: B905
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not reuse:
+            del enc
+            release()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
