@@ -57,3 +57,17 @@ def test_pipeline_awkward(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         e = durable(stage(spark, e, sf), name)
     assert e.count() == 0
+
+
+def test_oracles(spark, sf):
+    import duckdb
+
+    from tideline.llm.queries import ORACLES, QUERIES
+
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, sf).toPandas()
+        c = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        want = c.sql(sql).df()[got.columns]
+        assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist())), name
