@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, language_id, packing, simhash, substring_dedup
+from tideline.llm import decontaminate, language_id, near_duplicates as near, packing, substring_dedup
 from tideline.llm.common import durable, held_out, table
 
 #: A language prediction below this score is no language the model knows.
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  #
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """The document with the least doc_id of each group of near-duplicates: five-word shingles, at most 6 of 64 bits apart."""
-    of = simhash.cluster(docs, size=5, distance=6)
+    """The document with the least doc_id of each group of near-duplicates: links of an exact five-word similarity of 0.8 or more."""
+    of = near.cluster(docs)
     later = of.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
