@@ -3,8 +3,9 @@
 A unit is normalised (lower case, white space runs to one space, outer punctuation off) and digested to 128 bits.
 Digests are grouped over all documents; the occurrence with the least rank (doc_id, start) stays, every other
 occurrence is removed, and its place in the original text (code points) is kept. Sentences are the finest unit, so that
-a passage copied into the middle of another line is caught as well. Shorter units than ``min_words`` words recur by
-chance, so they count only together with what follows them; the spans of such units overlap and are removed as one.
+a passage copied into the middle of another line is caught as well. Shorter sentences than ``min_words`` words recur by
+chance, so they count only together with what follows them; whole lines and paragraphs are units of any length beside
+them. The spans of units overlap and are removed as one. Scripts without spaces have ``CODE_POINTS`` code points a word.
 
 A digest that occurs everywhere costs one row a task in the grouping (partial aggregation) and is a split-able side of
 the join that follows.
@@ -26,34 +27,64 @@ from pyspark.sql import functions as F
 from tideline.llm.common import bounded, durable, table
 
 UNITS = {
-    "sentence": re.compile(r"[^\n.!?]+[.!?]*"),
+    "sentence": re.compile(r"[^\n.!?。！？｡]+[.!?。！？｡]*"),
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"[^\n]+(?:\n(?!\n)[^\n]+)*"),
 }
 MIN_WORDS = 8
-_EDGE = " .,;:!?\"'()[]{}-"
+#: What counts as a word where a script has no spaces: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
+CODE_POINTS = 2
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_EDGE = " .,;:!?\"'()[]{}-。！？｡、，"
+
+
+def _length(words: list[str]) -> int:
+    """Words, or code points by ``CODE_POINTS`` in scripts without spaces."""
+    return sum(max(1, len(_UNSPACED.findall(w)) // CODE_POINTS) for w in words)
+
+
+def _norm(words: list[str]) -> str:
+    whole = " ".join(words).lower()
+    return whole.strip(_EDGE) or whole
 
 
 def units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised unit), without the white space around it.
+    """(start, end, normalised unit) in order, without the white space around it.
 
     A sentence, line or paragraph of fewer than ``min_words`` words is taken together with as many of those after it as
     make up that number; so units begin at every one of them, and a passage has the same units wherever it stands.
+    Beside sentences every whole line and paragraph is a unit, beside lines every line, whatever its length.
     """
-    parts = []
-    for m in UNITS[unit].finditer(text):
-        raw = m.group()
-        if words := raw.split():
-            a = m.start() + len(raw) - len(raw.lstrip())
-            parts.append((a, m.end() - (len(raw) - len(raw.rstrip())), words))
-    for i, (a, b, words) in enumerate(parts):
-        j = i + 1
-        while len(words) < min_words and j < len(parts):
-            words = words + parts[j][2]
-            b = parts[j][1]
+    length = len if text.isascii() or not _UNSPACED.search(text) else _length
+
+    def parts(kind: str) -> Iterator[tuple[int, int, list[str]]]:
+        for m in UNITS[kind].finditer(text):
+            raw = m.group()
+            if words := raw.split():
+                yield m.start() + len(raw) - len(raw.lstrip()), m.end() - (len(raw) - len(raw.rstrip())), words
+
+    own = list(parts(unit))
+    units = {}
+    for i, (a, b, words) in enumerate(own):
+        j, n = i + 1, length(words)
+        while n < min_words and j < len(own):
+            words = words + own[j][2]
+            n += length(own[j][2])
+            b = own[j][1]
             j += 1
-        if len(words) >= min_words:
-            yield a, b, " ".join(words).lower().strip(_EDGE)
+        if n >= min_words:
+            units[a, b] = words
+    for kind in {"sentence": ("line", "paragraph"), "line": ("line",), "paragraph": ("paragraph",)}[unit]:
+        for a, b, words in own if kind == unit else parts(kind):
+            units.setdefault((a, b), words)
+    ends: dict[str, int] = {}  # a unit inside one of the same words, but for outer punctuation, is no repeat of it
+    kept = []
+    for (a, b), words in sorted(units.items(), key=lambda u: (u[0][0], -u[0][1])):
+        norm = _norm(words)
+        if ends.get(norm, -1) < b:
+            ends[norm] = b
+            kept.append((a, b, norm))
+    yield from sorted(kept)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
