@@ -1,19 +1,21 @@
 """Token-id files: adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 Ids of documents in ascending doc_id order are cut into segments at document ends and a segment into blocks of
-``BLOCK`` ids. A segment's header holds its documents, their lengths, and the order-0 distribution of its ids; every
-block starts from that header alone, has its own CRC-32, and can be decoded without the others.
+``BLOCK`` ids. A segment's header holds its documents, their lengths, and the shares that its ids have in ``CLASSES``
+classes of about equal mass; the header and every block have their own CRC-32. Every block starts from the header
+alone and can be decoded without the others.
 
 Model of one id: an order-2 table names the id that last followed the hash of the two ids before, an order-1 table the
-one that followed the last id, each with a confidence; order 0 is the distribution of the header. A block learns how
-often each confidence was right, and these rates mix the three: their shares of the range are the rate of order 2, the
-rate of order 1 in what is left, and the order-0 distribution in the rest. One range-coding step codes one id.
+one that followed the last id, each with a confidence; order 0 gives every class the share it had so far in the block
+(made anew after every ``RENEW`` ids) and an id its share of the class. A block learns how often each confidence was
+right, and these rates mix the three: the rate of order 2, the rate of order 1 in what is left, and order 0 in the
+rest. One range-coding step codes one id.
 
 All blocks of a segment are coded abreast in numpy, one id of each per step, so Python's cost is shared by some
 thousand blocks. Files are Parquet tables with a binary column in the given folder, written and committed by Spark.
 
 Defined results: null and empty texts are the end id alone; rows with equal doc_id follow each other by text; a null
-doc_id comes first.
+doc_id comes first; other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,16 +30,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import durable, table
+from tideline.llm.common import durable, gathered, table
 from tideline.llm.tokens import encoder
 
 BLOCK = 4096
 SEGMENT = 8 << 20
 PART = 24 << 20
 END = 2
-MAGIC = b"TIDE1"
-_SLOTS = 11  # bits of a table's size
+MAGIC = b"TIDE2"
+CLASSES = 32
+RENEW = 32
+_SLOTS = 10  # bits of a table's size
+_AHEAD = 64  # rows of the encoder that are prepared at a time
 _U = np.uint64
+#: What a wrong (first four) or right prediction does to an entry of each confidence, unless it loses its place.
+_MOVE = np.array([0, 0, -2, -2, 1, 1, 1, 0], np.int32)
+
+
+def _hash1(last: np.ndarray) -> np.ndarray:
+    return last * 40503 >> 4 & ((1 << _SLOTS) - 1)
+
+
+def _hash2(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (before * 2654435761 + last * 40503 >> 7) & ((1 << _SLOTS) - 1)
 
 
 class _Model:
@@ -45,37 +60,53 @@ class _Model:
 
     def __init__(self, lanes: int) -> None:
         self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
-        self.one = np.zeros(lanes << _SLOTS, np.uint32)  # id and 2 bits of confidence
-        self.two = np.zeros(lanes << _SLOTS, np.uint32)
+        self.one = np.zeros(lanes << _SLOTS, np.int32)  # id and 2 bits of confidence
+        self.two = np.zeros(lanes << _SLOTS, np.int32)
         self.rate = np.full(lanes * 8, 1 << 14, np.int32)  # how often each confidence of either order is right, of 65536
         self.lane = np.arange(lanes, dtype=np.int64) * 8
-        self.last = np.zeros(lanes, np.int64)
-        self.hash = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of order 2 and 1, and their shares of 4096; at least 64 are left."""
-        self.at1 = self.base + (self.last * 40503 >> 4 & ((1 << _SLOTS) - 1))
-        self.at2 = self.base + self.hash
-        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        self.r2 = self.lane + (self.e2 & 3)
-        self.r1 = self.lane + (self.e1 & 3) + 4
-        a = self.rate[self.r2] * 63 >> 10
-        b = (4032 - a) * (self.rate[self.r1] >> 4) >> 12
-        return self.e2 >> 2, self.e1 >> 2, a + 1, b + 1
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray) -> None:
-        hit1 = (self.e1 >> 2) == ids
-        self.rate[self.r2] += ((hit2.astype(np.int32) << 16) - self.rate[self.r2]) >> 5
-        miss = np.flatnonzero(~hit2)
-        r1 = self.r1[miss]
-        self.rate[r1] += ((hit1[miss].astype(np.int32) << 16) - self.rate[r1]) >> 5
-        new = ids.astype(np.uint32) << 2
-        for hit, e, table_, at in ((hit1, self.e1, self.one, self.at1), (hit2, self.e2, self.two, self.at2)):
-            conf = e & 3
-            # a wrong prediction loses its confidence first and its place then
-            table_[at] = np.where(hit, e + (conf < 3), np.where(conf > 1, e - 2, new))
-        self.hash = (self.last * 2654435761 + ids * 40503 >> 7) & ((1 << _SLOTS) - 1)
-        self.last = ids
+        self.count = np.full((CLASSES, lanes), 2, np.int32)  # of each class, in quarters of an id
+        self.which = np.arange(lanes, dtype=np.int64)
+        self.seen: list[np.ndarray] = []
+        self._renew()
+
+    def _renew(self) -> None:
+        """Shares of the classes, of 1024, and what is below each."""
+        for c in self.seen:
+            self.count[c, self.which] += 4
+        self.seen = []
+        share = 1 + (self.count * ((1024 - CLASSES) / self.count.sum(0))).astype(np.int16)
+        self.below = np.zeros((CLASSES + 1, len(self.which)), np.int16)
+        np.cumsum(share, axis=0, dtype=np.int16, out=self.below[1:])
+        self.below[CLASSES] = 1024  # the last class has what is left over
+        self.flat = self.below.ravel()
+
+    def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of order 2 and 1, and their shares of 1024; at least 15 are left."""
+        self.at1, self.at2 = at1, at2
+        self.e1, self.e2 = self.one.take(at1), self.two.take(at2)
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
+        self.r1, self.r2 = self.lane + self.c1, self.lane + self.c2
+        self.r1 += 4
+        self.q1, self.q2 = self.rate.take(self.r1), self.rate.take(self.r2)
+        a = self.q2 * 1006 >> 16
+        b = (1007 - a) * (self.q1 >> 2) >> 14
+        a += 1
+        b += 1
+        return self.e2 >> 2, self.e1 >> 2, a, b
+
+    def learn(self, ids: np.ndarray, classes: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``ids`` as int32; hit1: order 1 is right, whatever order 2 is."""
+        new = ids << 2
+        h2, h1 = hit2.view(np.int8).astype(np.int32), hit1.view(np.int8).astype(np.int32)
+        self.rate[self.r2] = self.q2 + ((h2 << 16) - self.q2 >> 5)
+        self.rate[self.r1] = self.q1 + np.where(hit2, 0, (h1 << 16) - self.q1 >> 5)
+        # a wrong prediction loses its confidence first and its place then
+        for table_, at, e, c, h in ((self.one, self.at1, self.e1, self.c1, h1), (self.two, self.at2, self.e2, self.c2, h2)):
+            kind = (h << 2) + c
+            table_[at] = np.where(kind < 2, new, e + _MOVE.take(kind))
+        self.seen.append(classes)
+        if len(self.seen) == RENEW:
+            self._renew()
 
 
 def _prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +117,33 @@ def _prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, share
 
 
+def _classes(prior: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct id: its class, its share of 65536 there, and what is below it there."""
+    _, share = prior
+    order = np.argsort(-share, kind="stable")
+    begin = np.cumsum(share[order]) - share[order]
+    cls = np.empty(len(share), np.int64)
+    cls[order] = begin * CLASSES >> 16
+    order = np.lexsort((np.arange(len(share)), cls))
+    c, s = cls[order], share[order]
+    first = np.flatnonzero(np.diff(c, prepend=-1))
+    size = np.diff(first, append=len(c))
+    mass = np.repeat(np.add.reduceat(s, first), size)
+    mine = 1 + s * (65536 - np.repeat(size, size)) // mass
+    mine[first] += 65536 - np.add.reduceat(mine, first)
+    below = np.cumsum(mine) - mine
+    below -= np.repeat(below[first], size)
+    out = np.empty((3, len(share)), np.int64)
+    out[:, order] = c, mine, below
+    return out[0], out[1], out[2]
+
+
 def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
-    names, share = prior
-    size, start = np.zeros(names[-1] + 1, np.int64), np.zeros(names[-1] + 1, np.int64)
-    size[names], start[names] = share, np.cumsum(share) - share
+    names = prior[0]
+    facts = np.zeros((3, names[-1] + 1), np.int32)
+    facts[:, names] = _classes(prior)
     lanes = -(-len(ids) // BLOCK)
-    rows = np.full(lanes * BLOCK, names[0], np.int64)
+    rows = np.full(lanes * BLOCK, names[0], np.int32)
     rows[: len(ids)] = ids
     rows = np.ascontiguousarray(rows.reshape(lanes, BLOCK).T)
     model, low, wide = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
@@ -111,32 +163,57 @@ def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list
         used[k] += 1
         low[k] = (low[k] & _U((1 << 44) - 1)) << _U(16)
 
-    for now in rows:
-        p2, p1, a, b = model.predict()
-        hit2 = p2 == now
-        hit1 = (p1 == now) & ~hit2
-        rest = 4096 - a - b
-        part = np.where(hit2, a << 16, np.where(hit1, b << 16, size[now] * rest))
-        below = np.where(hit2, 0, np.where(hit1, a << 16, (a + b << 16) + start[now] * rest))
-        step = wide >> _U(28)
-        low += step * below.view(_U)
-        wide = step * part.view(_U)
-        for _ in range(2):
-            k = np.flatnonzero(wide < _U(1 << 44))
-            if not len(k):
-                break
-            put(k)
-            wide[k] <<= _U(16)
-        model.learn(now, hit2)
+    last = np.zeros((2, lanes), np.int64)
+    for p in range(0, BLOCK, _AHEAD):
+        some = rows[p : p + _AHEAD]
+        cls, share, begin = facts[:, some]
+        past = np.concatenate([last, some])
+        at1, at2 = model.base + _hash1(past[1:-1]), model.base + _hash2(past[:-2], past[1:-1])
+        last = past[-2:]
+        place = cls * np.int64(lanes) + model.which
+        for i, now in enumerate(some):
+            p2, p1, a, b = model.predict(at1[i], at2[i])
+            hit2, hit1 = p2 == now, p1 == now
+            under = model.flat.take(place[i]).astype(np.int64)
+            size = model.flat.take(place[i] + lanes) - under
+            rest = (1024 - a - b).astype(np.int64)
+            part = np.where(hit2, a << np.int64(26), np.where(hit1, b << np.int64(26), rest * size * share[i]))
+            below = np.where(hit2, 0, np.where(hit1, a << np.int64(26), (a + b << np.int64(26)) + rest * ((under << np.int64(16)) + size * begin[i])))
+            step = wide >> _U(36)
+            low += step * below.view(_U)
+            wide = step * part.view(_U)
+            for _ in range(3):
+                k = np.flatnonzero(wide < _U(1 << 44))
+                if not len(k):
+                    break
+                put(k)
+                wide[k] <<= _U(16)
+            model.learn(now, cls[i], hit2, hit1)
     for _ in range(4):
         put(np.arange(lanes))
     return [out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
 
 
+def _quotient(x: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """x // step, below 2 ** 36, of x below 2 ** 60: by floats, which are off by one at most."""
+    q = (x / step).astype(np.int64)
+    left = x - q * step
+    q -= left < 0
+    q += left >= step
+    return np.minimum(q, (1 << 36) - 1)
+
+
 def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    names, share = prior
-    begin = np.cumsum(share) - share
-    which = np.repeat(np.arange(len(names)), share)  # of each of 65536 places
+    names = prior[0]
+    classes, share, begin = _classes(prior)
+    order = np.lexsort((begin, classes))
+    held = np.bincount(classes, minlength=CLASSES)
+    table_ = np.zeros((CLASSES, 65536), np.int32)  # which distinct id has each place of each class
+    table_[held > 0] = np.repeat(order, share[order]).reshape(-1, 65536)
+    table_ = table_.ravel()
+    names = names.astype(np.int32)
+    class_of = np.zeros(names[-1] + 1, np.int32)
+    class_of[names] = classes
     lanes = len(blocks)
     words = np.zeros((lanes, max(len(b) for b in blocks) // 2 + 8), np.uint16)
     for k, b in enumerate(blocks):
@@ -148,34 +225,46 @@ def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarr
         x = (x << _U(16)) | words[at + k]
     at += 4
     # the first word holds the upper 16 of 60 bits, so that the last of four words is 4 bits short
-    x, held = x >> _U(4), x & _U(15)
+    x, rest4 = x >> _U(4), x & _U(15)
     model, wide = _Model(lanes), np.full(lanes, 1 << 60, _U)
-    rows = np.empty((BLOCK, lanes), np.int64)
+    rows = np.empty((BLOCK, lanes), np.int32)
+    before = last = np.zeros(lanes, np.int64)
     for row in rows:
-        p2, p1, a, b = model.predict()
-        step = wide >> _U(28)
-        v = np.minimum(x // step, _U((1 << 28) - 1)).view(np.int64)
+        p2, p1, a, b = model.predict(model.base + _hash1(last), model.base + _hash2(before, last))
+        step = wide >> _U(36)
+        v = _quotient(x.view(np.int64), step.view(np.int64))
         ab = a + b
-        hit2 = v < a << 16
-        hit1 = ~hit2 & (v < ab << 16)
-        rest = 4096 - ab
-        s = which[np.clip((v - (ab << 16)) // rest, 0, 65535)]
-        row[:] = np.where(hit2, p2, np.where(hit1, p1, names[s]))
-        part = np.where(hit2, a << 16, np.where(hit1, b << 16, share[s] * rest))
-        below = np.where(hit2, 0, np.where(hit1, a << 16, (ab << 16) + begin[s] * rest))
+        top = (v >> np.int64(26)).astype(np.int32)
+        hit2 = top < a
+        hit1 = (top < ab) & ~hit2
+        rest = (1024 - ab).astype(np.int64)
+        # quotients of numbers below 2 ** 36, which floats give exactly
+        u = (np.maximum(v - (ab << np.int64(26)), 0) / rest).astype(np.int64)  # of 1024 * 65536
+        c = np.add.reduce((model.below[1:CLASSES] <= (u >> 16).astype(np.int16)).view(np.int8), 0, np.int8).astype(np.int64)
+        place = c * lanes + model.which
+        under = model.flat.take(place).astype(np.int64)
+        size = model.flat.take(place + lanes) - under
+        inside = np.minimum(((u - (under << np.int64(16))) / size).astype(np.int64), 65535)
+        found = table_.take((c << np.int64(16)) + inside)
+        id0, share0, begin0 = names.take(found), share.take(found), begin.take(found)
+        row[:] = np.where(hit2, p2, np.where(hit1, p1, id0))
+        part = np.where(hit2, a << np.int64(26), np.where(hit1, b << np.int64(26), rest * size * share0))
+        below = np.where(hit2, 0, np.where(hit1, a << np.int64(26), (ab << np.int64(26)) + rest * ((under << np.int64(16)) + size * begin0)))
         x -= step * below.view(_U)
         wide = step * part.view(_U)
-        for _ in range(2):
+        for _ in range(3):
             k = np.flatnonzero(wide < _U(1 << 44))
             if not len(k):
                 break
             w = words[np.minimum(at[k], len(words) - 1)].astype(_U)  # a damaged block can run on
-            x[k] = (x[k] << _U(16)) | (held[k] << _U(12)) | (w >> _U(4))
-            held[k] = w & _U(15)
+            x[k] = (x[k] << _U(16)) | (rest4[k] << _U(12)) | (w >> _U(4))
+            rest4[k] = w & _U(15)
             at[k] += 1
             wide[k] <<= _U(16)
-        model.learn(row, hit2)
-    return rows.T.ravel()[:n]
+        np.minimum(row, names[-1], out=row)  # a damaged block can name any id
+        model.learn(row, class_of.take(row), hit2, p1 == row)
+        before, last = last, row.astype(np.int64)
+    return rows.T.ravel()[:n].astype(np.int64)
 
 
 def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -184,17 +273,21 @@ def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarra
     heads = b"".join(struct.pack("<II", len(b), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4"))) for k, b in enumerate(blocks))
     has = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = [MAGIC, struct.pack("<QQII", len(doc_ids), len(ids), len(prior[0]), len(blocks)), has, docs, lengths.astype("<u8"), prior[0].astype("<u4"), prior[1].astype("<u4"), heads, *blocks]
-    return b"".join(bytes(p) for p in parts)
+    parts = [MAGIC, struct.pack("<QQII", len(doc_ids), len(ids), len(prior[0]), len(blocks)), has, docs, lengths.astype("<u8"), prior[0].astype("<u4"), prior[1].astype("<u4"), heads]
+    head = b"".join(bytes(p) for p in parts)
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), *blocks])
 
 
 def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, lengths, ids; a block that fails its checksum raises."""
-    if data[: len(MAGIC)] != MAGIC:
+    """Document ids, lengths, ids; a header or block that fails its checksum raises ValueError."""
+    if data[: len(MAGIC)] != MAGIC or len(data) < len(MAGIC) + 28:
         raise ValueError("not a token-id segment")
     p = len(MAGIC)
     n_docs, n, n_names, n_blocks = struct.unpack_from("<QQII", data, p)
     p += 24
+    end = p + 17 * n_docs + 8 * n_names + 8 * n_blocks
+    if end + 4 > len(data) or struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
+        raise ValueError("the header fails its checksum")
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal p
@@ -205,6 +298,7 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     has, docs, lengths = take("u1", n_docs), take("<i8", n_docs), take("<u8", n_docs).astype(np.int64)
     prior = take("<u4", n_names).astype(np.int64), take("<u4", n_names).astype(np.int64)
     heads = take("<u4", 2 * n_blocks).reshape(-1, 2)
+    p += 4
     blocks = []
     for size in heads[:, 0].tolist():
         blocks.append(data[p : p + size])
@@ -234,16 +328,14 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             who.clear(), sizes.clear(), parts.clear()
             return row
 
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                flat, at = enc.encode(texts[i : i + 512])
-                who += keys[i : i + 512]
-                parts.append(np.insert(flat, at[1:], end))
-                sizes.append(np.diff(at) + 1)
-                held += len(parts[-1])
-                if held >= SEGMENT:
-                    yield segment()
+        for b in gathered(batches, "text"):
+            flat, at = enc.encode(b.column(1))
+            who += b.column(0).to_pylist()
+            parts.append(np.insert(flat, at[1:], end))
+            sizes.append(np.diff(at) + 1)
+            held += len(parts[-1])
+            if held >= SEGMENT:
+                yield segment()
         if held:
             yield segment()
 

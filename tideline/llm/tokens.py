@@ -1,10 +1,12 @@
-"""Token ids with the tokenizers library, each distinct word encoded once.
-
-Both vocabularies used here cut a text before a single space that stands between two characters other than white
-space, and no token crosses that cut. So a text's ids are those of its space-separated words. Each distinct word of a
-Python worker is encoded once, many new words in one call; as the tokens of a call spell its bytes, the bytes tell
-where a word's tokens end. A word with a final comma or full stop is its stem and that sign, which no token spans
-either. The word table is begun anew when it holds ``WORDS`` words. A text with other white space beside a space is
+"""Token ids with the tokenizers library, each distinct run of letters, digits or signs encoded once.
+
+Both vocabularies used here cut a text between a letter and a digit or sign, before a white space that follows anything
+else, before the last of several white spaces, and after one that is not a space; no token crosses such a cut. So a
+text's ids are those of its runs. numpy finds the cuts in the bytes of a batch; a Python worker keeps
+the runs it has met in an Arrow array with their ids, so that each goes through the library once, many new ones in one call: as
+the tokens of a call spell its bytes, the bytes tell where a run's tokens end. Beside a character that is not ASCII a
+cut needs the library's word that it is a letter once normalised. Apostrophes and control characters cut nothing. The
+table is begun anew when it is full. A text with another sort of white space, or with a sign of special tokens, is
 encoded as a whole. The tests compare with encoding whole texts.
 """
 
@@ -12,15 +14,58 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from collections.abc import Hashable
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-WORDS = 600_000
-#: New words in one call.
+RUNS = 800_000
+#: New runs in one call.
 CALL = 256
-_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\v\f\r")
+_LETTER, _DIGIT, _SIGN, _WHITE, _SPACE, _GLUE = range(1, 7)
+_KIND = np.full(256, _LETTER, np.uint8)  # letters, and all bytes of characters that are not ASCII
+_KIND[:128] = _GLUE
+for _c in range(0x21, 0x7F):
+    _KIND[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _SIGN
+_KIND[ord("'")] = _GLUE
+_KIND[[9, 10, 11, 12, 13]] = _WHITE
+_KIND[32] = _SPACE
+#: By the kinds before and after a place: 1 if it is a cut, 2 if it is one where the white space ends after one more.
+_CUT = np.zeros(64, np.uint8)
+for _a in range(1, 7):
+    for _b in range(1, 7):
+        _blank = (_a in (_WHITE, _SPACE), _b in (_WHITE, _SPACE))
+        _CUT[_a * 8 + _b] = {(False, True): 1, (True, True): 2, (True, False): int(_a == _WHITE), (False, False): int(_a != _b and _GLUE not in (_a, _b))}[_blank]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+class _Table:
+    """Ids of distinct runs, one after another."""
+
+    def __init__(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat = np.zeros(1 << 20, np.int32)
+        self.starts = np.zeros(1, np.int64)
+
+    def add(self, runs: list[str], rows: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+        """Runs with their ids and the number of each; the runs as an array."""
+        ids, used = np.concatenate(rows), self.starts[-1]
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, used + np.cumsum(np.concatenate(sizes))])
+        new = pa.array(runs, pa.string())
+        self.known = pa.concat_arrays([self.known, new])
+        return new
+
+    def gather(self, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered runs one after another, and the number of each."""
+        n = self.starts[no + 1] - self.starts[no]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[no] - (ends - n), n)
+        return self.flat[at], n
 
 
 class Encoder:
@@ -36,134 +81,150 @@ class Encoder:
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # that each token spells
         for s, k in vocab.items():
             self.bytes[k] = len(added[k].content.encode()) if k in added else len(s.removesuffix("" if spaced else "</w>"))
-        self.signs = {c: self._one(c)[0] for c in ",."}
-        self._clear()
+        self.letters: dict[str, bool] = {}
+        self.runs = _Table()
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _clear(self) -> None:
-        self.known: dict[Hashable, int] = {}  # word, or (word,) for one without a space before it
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.starts = np.zeros(WORDS + 1, np.int64)
-        self.used = 0
+    def _letter(self, c: str) -> bool:
+        """Whether the library takes a character, normalised, for letters."""
+        if c not in self.letters:
+            n = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            self.letters[c] = n != "" and len(self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + n)) == 1
+        return self.letters[c]
 
-    def _add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Words with all their ids one after another and the number of each."""
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        n = len(self.known)
-        self.starts[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
-
-    def _length(self, word: str) -> int:
-        """Bytes that the tokens of a word in a call spell."""
+    def _length(self, run: str) -> int:
+        """Bytes that the tokens of a run spell."""
         if self.spaced:
-            return len(word.encode()) + 1
-        if word.isascii():
-            return sum(map(len, word.split())) if "\n" in word or not word.isprintable() else len(word)
-        return len("".join(unicodedata.normalize("NFC", word).lower().split()).encode())
-
-    def _encode_words(self, words: list[str]) -> None:
-        """Adds distinct words, none of which ends in white space."""
-        for i in range(0, len(words), 64 * CALL):
-            some = words[i : i + 64 * CALL]
-            calls = [some[k : k + CALL] for k in range(0, len(some), CALL)]
-            got = self.tokenizer.encode_batch_fast(["".join(" " + w for w in c) for c in calls], add_special_tokens=False)
-            for c, e in zip(calls, got, strict=True):
-                ids = np.array(e.ids, np.int32)
-                ends = np.cumsum(self.bytes[ids])
-                cuts = np.cumsum([self._length(w) for w in c])
-                at = np.searchsorted(ends, cuts, side="right")
-                if (len(ends) and ends[-1]) != cuts[-1] or (np.concatenate(([0], ends))[at] != cuts).any():
-                    rows = [self._one(" " + w if self.spaced else w) for w in c]  # some character changes its size
-                    ids, at = np.array([x for r in rows for x in r], np.int32), np.cumsum([len(r) for r in rows])
-                self._add(c, ids, np.diff(at, prepend=0))
-
-    def _numbers(self, words: list) -> np.ndarray:
-        """The words' places in the table, into which new ones go first."""
-        no = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(no < 0)
-        if len(new):
-            some = [words[i] for i in new.tolist()]
-            fresh = list(dict.fromkeys(some))
-            if len(self.known) + 2 * len(fresh) > WORDS:
-                self._clear()
-                new, some, fresh = slice(None), words, list(dict.fromkeys(words))
-            self._learn(fresh)
-            no[new] = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
-        return no
-
-    def _learn(self, fresh: list) -> None:
-        """Adds distinct words."""
-        known = self.known
-        plain, alone, signed = [], [], []
-        for w in fresh:
-            if w.__class__ is tuple or not w or w[-1].isspace():
-                alone.append(w)
-            elif w[-1] in ",." and w[-2:-1].isalpha():
-                signed.append(w)
-            else:
-                plain.append(w)
-        stems = [w[:-1] for w in signed]
-        self._encode_words([w for w in dict.fromkeys(plain + stems) if w not in known])
-        rows = [self._one(w[0]) if w.__class__ is tuple else self._one(" " + w if self.spaced else w) for w in alone]
-        self._add(alone, np.array([x for r in rows for x in r], np.int32), np.array([len(r) for r in rows], np.int64))
-        if signed:
-            no = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
-            n = self.starts[no + 1] - self.starts[no] + 1
-            ids = self._gather(no, n)
-            ids[np.cumsum(n) - 1] = [self.signs[w[-1]] for w in signed]
-            self._add(signed, ids, n)
-
-    def _gather(self, no: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The first n ids from where each word's begin."""
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[no] - (ends - n), n)
-        return self.flat[np.minimum(at, len(self.flat) - 1)]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            return len(run.encode())
+        if run.isascii():
+            return len(run) if run.isalnum() else sum(map(len, run.split()))
+        return len("".join(unicodedata.normalize("NFC", run).lower().split()).encode())
+
+    def _learn(self, runs: list[str]) -> pa.Array:
+        """Adds distinct runs; they come back in the order of their places.
+
+        In a call each begins with a space or, where a space is part of tokens, ends at a line end.
+        """
+        order: list[str] = []
+        rows: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+
+        def alone(some: list[str]) -> None:
+            got = [self._one(r) for r in some]
+            order.extend(some)
+            rows.append(np.array([x for r in got for x in r], np.int32))
+            sizes.append(np.array([len(r) for r in got], np.int64))
+
+        def together(some: list[str], before: str, after: str) -> None:
+            for i in range(0, len(some), 64 * CALL):
+                calls = [some[k : k + CALL] for k in range(i, min(i + 64 * CALL, len(some)), CALL)]
+                got = self.tokenizer.encode_batch_fast(["".join(before + r + after for r in c) for c in calls], add_special_tokens=False)
+                for c, e in zip(calls, got, strict=True):
+                    ids = np.array(e.ids, np.int32)
+                    ends = np.concatenate(([0], np.cumsum(self.bytes[ids])))
+                    n = np.array([self._length(r) for r in c])
+                    to = np.cumsum(n + len(after)) - len(after)
+                    a, b = np.searchsorted(ends, to - n), np.searchsorted(ends, to)
+                    if ends[-1] != to[-1] + len(after) or (ends[np.minimum(a, len(ends) - 1)] != to - n).any() or (ends[np.minimum(b, len(ends) - 1)] != to).any():
+                        alone(c)  # some character changes its size
+                        continue
+                    order.extend(c)
+                    sizes.append(b - a)
+                    rows.append(ids[np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)])
+
+        some = [r for r in runs if not r[-1].isspace()]
+        alone([r for r in runs if r[-1].isspace()])
+        together([r for r in some if not self.spaced or r[0] == " "], "" if self.spaced else " ", "")
+        if self.spaced:
+            together([r for r in some if r[0] != " "], "", "\n")
+        return self.runs.add(order, rows, sizes)
+
+    def _numbers(self, runs: pa.Array) -> np.ndarray:
+        """Places of runs in the table, into which new ones go first."""
+        no = pc.index_in(runs, value_set=self.runs.known)
+        if no.null_count:
+            new = runs.filter(no.is_null()).unique()
+            if len(self.runs.known) + len(new) > RUNS and len(self.runs.known):
+                self.runs = _Table()
+                return self._numbers(runs)
+            before = len(self.runs.known)
+            learnt = self._learn(new.to_pylist())
+            at = np.flatnonzero(no.is_null())
+            out = no.fill_null(0).to_numpy().astype(np.int64)
+            out[at] = before + pc.index_in(runs.take(pa.array(at)), value_set=learnt).to_numpy()
+            return out
+        return no.to_numpy().astype(np.int64)
+
+    def _cuts(self, buf: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+        """Where runs begin in the joined bytes of texts, which begin at ``begin``."""
+        kind = _KIND[buf]
+        cut = np.zeros(size + 1, np.uint8)
+        cut[1:size] = _CUT[kind[:-1] * 8 + kind[1:]]
+        edge = np.zeros(size + 1, bool)
+        edge[begin] = edge[size] = True
+        before_last = np.flatnonzero(cut == 2)
+        after = before_last + 1
+        cut[before_last] = ~edge[after] & (kind[np.minimum(after, size - 1)] != _WHITE) & (kind[np.minimum(after, size - 1)] != _SPACE)
+        cut[edge] = 1
+        cut[size] = 0
+        at = np.flatnonzero(cut)
+        wide = buf >= 0x80
+        if wide.any():
+            inner = at[~edge[at]]
+            # a cut beside white space needs no letter
+            inner = inner[(kind[inner - 1] < _WHITE) & (kind[inner] < _WHITE) & (wide[inner - 1] | wide[inner])]
+            cut[inner[~(self._letters(buf, inner, size, True) & self._letters(buf, inner, size, False))]] = 0
+            at = np.flatnonzero(cut)
+        return at
+
+    def _letters(self, buf: np.ndarray, at: np.ndarray, size: int, before: bool) -> np.ndarray:
+        """Whether the character before or after each place is ASCII or a letter."""
+        b = [buf[np.clip(at - k - 1 if before else at + k, 0, size - 1)].astype(np.int64) for k in range(4)]
+        if before:
+            two, three = b[1] >= 0xC0, b[2] >= 0xE0
+            key = np.where(two, b[1] << 8 | b[0], np.where(three, b[2] << 16 | b[1] << 8 | b[0], b[3] << 24 | b[2] << 16 | b[1] << 8 | b[0]))
+        else:
+            key = np.where(b[0] < 0xE0, b[0] << 8 | b[1], np.where(b[0] < 0xF0, b[0] << 16 | b[1] << 8 | b[2], b[0] << 24 | b[1] << 16 | b[2] << 8 | b[3]))
+        key = np.where(b[0] < 0x80, 0, key)
+        names, inverse = np.unique(key, return_inverse=True)
+        return np.array([not n or self._letter(n.to_bytes(4, "big").lstrip(b"\0").decode()) for n in names.tolist()], bool)[inverse]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin (one more at the end)."""
-        parts: list[np.ndarray] = []
-        counts = np.zeros(len(texts) + 1, np.int64)
-        words: list = []
-        sizes: list[int] = []
-
-        def look_up(end: int) -> None:
-            """The texts whose words are gathered; they end before text ``end``."""
-            no = self._numbers(words)
-            n = self.starts[no + 1] - self.starts[no]
-            parts.append(self._gather(no, n))
-            counts[end - len(sizes) + 1 : end + 1] = np.diff(np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *sizes])])
-            words.clear(), sizes.clear()
-
-        for k, text in enumerate(texts):
-            w = self._words(text)
-            if w is None or len(words) + len(w) > WORDS // 8:
-                look_up(k)
-            if w is None or len(w) > WORDS // 8:
-                parts.append(np.array(self._one(text), np.int32))
-                counts[k + 1] = len(parts[-1])
-            else:
-                words += w
-                sizes.append(len(w))
-        look_up(len(texts))
-        return np.concatenate(parts), np.cumsum(counts)
-
-    def _words(self, text: str | None) -> list | None:
-        """None if the text has to be encoded as a whole."""
-        if not text:
-            return []
-        if not self.spaced and text.isascii() and "<|" not in text:
-            text = text.lower()  # as its normaliser does; fewer distinct words
-        words: list = text.split(" ")
+        array = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring(array, "<|")
         if self.spaced:
-            if len(words) > 1 and (not words[0] or not words[-1] or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER)):
-                return None
-            words[0] = (words[0],)
-        return words
+            odd = pc.or_(odd, pc.match_substring_regex(array, f"[{_RARE}]"))
+        whole = odd.to_numpy(zero_copy_only=False)
+        part = pc.if_else(odd, "", array) if whole.any() else array
+        offsets = np.frombuffer(part.buffers()[1], np.int32, len(part) + 1, 4 * part.offset) if len(part) else np.zeros(1, np.int32)
+        size = int(offsets[-1] - offsets[0])
+        flat, counts = np.zeros(0, np.int32), np.zeros(len(array), np.int64)
+        if size:
+            buf = np.frombuffer(part.buffers()[2], np.uint8, size, int(offsets[0]))
+            if not self.spaced:
+                low = _LOWER[buf]  # as its normaliser does; fewer distinct runs
+                if (wide := np.flatnonzero(buf >= 0x80)).size:  # what follows may be a mark, with which a capital composes otherwise
+                    low[wide - 1] = buf[wide - 1]
+                buf = low
+            begin = offsets - offsets[0]
+            at = self._cuts(buf, begin[:-1][begin[:-1] < size], size)
+            runs = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, size).astype(np.int32)), pa.py_buffer(buf))
+            no = self._numbers(runs)  # may begin the table anew
+            flat, n = self.runs.gather(no)
+            counts = np.diff(np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, begin)])
+        if whole.any():
+            done, parts, lengths = 0, [], []
+            split_at = np.cumsum(counts)
+            for k in np.flatnonzero(whole).tolist():
+                parts += [flat[done : split_at[k]], np.array(self._one(array[k].as_py()), np.int32)]
+                done = split_at[k]
+                lengths.append(len(parts[-1]))
+            flat = np.concatenate([*parts, flat[done:]])
+            counts[whole] = lengths
+        return flat, np.concatenate(([0], np.cumsum(counts)))
 
 
 _made: dict[str, Encoder] = {}
