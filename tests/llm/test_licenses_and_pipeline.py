@@ -1,4 +1,6 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import AWKWARD, AWKWARD_IDS, docs
 from tideline.llm import licenses
 from tideline.llm.common import durable, table
@@ -33,6 +35,25 @@ def test_license_of_every_template():
         assert (found[0][0], found[0][4]) == (name, []), text
 
 
+def test_license_found_whatever_is_around_it():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    law = "the permission of the license holder is a license for this license and its permission"
+    for notice, name in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "All-Rights-Reserved"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("GNU GPL v3", "GPL-3.0"), ("Mozilla Public License 2.0", "MPL-2.0"), ("Distributed under the BSD license.", "BSD")):
+        for n in (0, 10, 20, 40, 160):
+            for end in (". ", " "):
+                before = "".join(f"{law} {k % 7}{end}" for k in range(n))
+                got = s.scan(before + notice + " " + before)
+                assert [(g[0], g[1]) for g in got] == [(name, len(before))], (notice, n, end)
+
+
+def test_bsd_texts_differ():
+    two, three = (next(t for n, t in licenses.TEMPLATES if n == k and len(t) > 100) for k in ("BSD-2-Clause", "BSD-3-Clause"))
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause")):
+        for t in (text, text.upper().replace(". ", ".\n")):
+            assert [g[0] for a, b in licenses.candidates(t) for g in s.scan(t[a:b])] == [name]
+
+
 def test_pipeline_stages(spark, sf):
     d = table(spark, sf, "documents")
     rows = {}
@@ -59,6 +80,19 @@ def test_pipeline_awkward(spark, sf):
     assert e.count() == 0
 
 
+def test_pipeline_repeated_rows_and_names(spark, sf):
+    text = "Plain words of a text that is long enough to be told apart from others, said once and for all. "
+    d = docs(spark, [text, text, text, text + "More of it here.", None, "Ein anderer Text mit vielen Worten, der nur einmal steht."], [5, 5, 5, 5, None, None])
+    for name in ("_pred", "_score", "_p", "_h", "_k", "_spans", "_kept", "score"):
+        d = d.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        d = durable(stage(spark, d, sf), name)
+        assert {r._pred + r._h + r._kept for r in d.collect()} == {"xxx"}
+        if name == "simhash_near_dedup":
+            assert d.count() <= 4 and d.where("doc_id = 5").count() <= 2
+    assert corpus_pipeline.language(spark, d, sf).columns == d.columns
+
+
 def test_oracles(spark, sf):
     import duckdb
 

@@ -47,6 +47,40 @@ def test_language_id_awkward(spark):
     assert language_id.predict(d.limit(0), language_id.train(d)).count() == 0
 
 
+def test_language_id_brute_force(spark, sf):
+    """Naive Bayes with exact counts of hashed n-grams, one text and n-gram at a time."""
+    from collections import Counter
+
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("out")).collect()
+    buckets = 1 << 15
+
+    def grams(text):
+        n = Counter()
+        for _, bounds, g in language_id._grams([text.lower()], buckets):
+            for a, b in bounds:
+                for row in g[:, a:b]:
+                    n.update(row.tolist())
+        return n
+
+    counts, docs_of = {}, Counter()
+    for r in rows:
+        if r.text is not None and r.lang is not None and not r.out:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+            docs_of[r.lang] += 1
+    langs = sorted(counts)
+    totals = {l: sum(counts[l].values()) + 0.5 * buckets for l in langs}
+    got = {r.doc_id: r for r in language_id.op4_language_id(spark, sf).collect()}
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        n = grams(r.text)
+        z = [np.log(docs_of[l] / sum(docs_of.values())) + sum(c * np.float64(np.float32(np.log((counts[l][g] + 0.5) / totals[l]))) for g, c in n.items()) for l in langs]
+        top = sorted(z)[-2:]
+        if top[1] - top[0] > 1e-3:
+            assert got[r.doc_id].lang_pred == langs[int(np.argmax(z))] and got[r.doc_id].held_out == r.out
+
+
 def test_quality_held_out(spark, sf):
     sf = sf.replace("0.001", "0.01")
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only if it is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only if it is unset on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -43,8 +45,20 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """One fifth of all documents, never learnt from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """One fifth of all documents, never learnt from; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of passage that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        k = f"_{name}"
+        while k.lower() in taken:
+            k = "_" + k
+        out.append(k)
+    return out
 
 
 def slices(texts: list[str], size: int) -> Iterator[tuple[int, int]]:

@@ -6,15 +6,13 @@ hash below 1/``SCALE`` of the hash range. The cut is the same for every document
 sketches are the sketches of the intersection and union, whatever the two sizes: sketches can be merged, and
 likeness (shared / joint hashes) and containment (shared / own hashes) are estimated from them without bias.
 
-A text of fewer than ``WHOLE`` shingles keeps all its hashes, since a fraction of so few tells little; a longer one
-of which none is below the cut (it repeats itself) keeps its least. Such a sketch shows itself by hashes above the cut.
-Two of them are compared as they are, which is exact; if one of the two was cut, both are compared below the cut.
+Nothing else decides what is kept, so the sketch of a short text can be empty (one of 5 shingles with a chance of a
+quarter); two equal sketches, empty ones too, are alike with 1.
 
 The text that follows another in descending doc_id is found in ranges of doc_id: each range is one sorted window, and
 the first row of a range is also dealt to the range above it as its last.
 
-Defined results: null and blank texts have the empty fingerprint, which is like another empty one with 1 and like any
-other with 0; a null doc_id comes last; rows with equal doc_id follow each other by text.
+Defined results: null and blank texts have the empty fingerprint, which is like any other but an empty one with 0; a null doc_id comes last; rows with equal doc_id follow each other by text.
 """
 
 from __future__ import annotations
@@ -22,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import fresh, table
 
 SHINGLE = 5
-SCALE = 8
-WHOLE = 256
+SCALE = 4
 RANGE_ROWS = 2000
 MOST_RANGES = 1 << 16
 _TOP = (1 << 63) - 1
@@ -49,29 +46,25 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
     return F.transform(_let(F.transform(words, lambda w: F.xxhash64(w)), of), lambda x: x.bitwiseAND(F.lit(_TOP)))
 
 
-def sketch(text: Column, size: int = SHINGLE, scale: int = SCALE, whole: int = WHOLE) -> Column:
-    """Sorted distinct hashes that a text keeps."""
+def sketch(text: Column, size: int = SHINGLE, scale: int = SCALE) -> Column:
+    """Sorted distinct hashes below 1/``scale`` of the range."""
+    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, size), lambda x: x < F.lit(_TOP // scale))))
 
-    def keep(h: Column) -> Column:
-        below = F.filter(h, lambda x: x < F.lit(_TOP // scale))
-        kept = F.when(F.size(h) < whole, h).when(F.size(below) > 0, below).otherwise(F.array(F.array_min(h)))
-        return F.array_sort(F.array_distinct(kept))
 
-    return _let(shingle_hashes(text, size), keep)
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of all shingles of two texts."""
+    return F.array_sort(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column, scale: int = SCALE, containment: bool = False) -> Column:
+def likeness(a: Column, b: Column, containment: bool = False) -> Column:
     """Estimated share of the joint shingles (or with ``containment`` of those of ``a``) that both texts have, 0 to 1."""
-    cut = F.lit(_TOP // scale)
-    uncut = (F.array_max(a) >= cut) & (F.array_max(b) >= cut)
-    x, y = (F.when(uncut, c).otherwise(F.filter(c, lambda v: v < cut)) for c in (a, b))
+    both = F.size(F.array_intersect(a, b))
 
-    def of(pair: Column) -> Column:
-        both = F.size(F.array_intersect(pair["x"], pair["y"]))
-        all_ = F.size(pair["x"]) + (F.lit(0) if containment else F.size(pair["y"]) - both)
-        return F.when(all_ > 0, both / all_).otherwise(F.lit(0.0))
+    def of(n: Column) -> Column:
+        all_ = F.size(a) + (F.lit(0) if containment else F.size(b) - n)
+        return F.when(all_ > 0, n / all_).otherwise(F.lit(0.0))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.struct(x.alias("x"), y.alias("y")), of))
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(both, of))
 
 
 def as_string(kept: Column) -> Column:
@@ -80,36 +73,40 @@ def as_string(kept: Column) -> Column:
 
 def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``docs`` with a struct ``next`` of the columns of the next row in descending order of ``key``; after the last comes the first."""
-    docs = docs.withColumn("_k", F.coalesce(F.col(key), F.lit(-(1 << 63))))
+    k_, coarse_, range_, above_, in_ = fresh(docs, "k", "coarse", "range", "above", "in")
+    k = F.col(k_)
+    docs = docs.withColumn(k_, F.coalesce(F.col(key), F.lit(-(1 << 63))))
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    cuts = sorted(set(docs.agg(F.percentile_approx("_k", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 4 * ranges))).first()[0] or []))
+    cuts = sorted(set(docs.agg(F.percentile_approx(k_, [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 4 * ranges))).first()[0] or []))
     # which range: first among every step-th cut, then among the cuts up to the next of those
     step = max(1, int(len(cuts) ** 0.5))
-    below = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col("_k")))
+    below = lambda cs: F.size(F.filter(cs, lambda c: c <= k))
     fixed = lambda cs: F.array(*map(F.lit, cs)) if cs else F.array().cast("array<bigint>")
-    placed = docs.withColumn("_coarse", below(fixed(cuts[step - 1 :: step])))
-    placed = placed.withColumn("_range", F.col("_coarse") * step + below(F.slice(fixed(cuts), F.col("_coarse") * step + 1, step)))
-    heads = [(r[0], r[1]) for r in placed.groupBy("_range").agg(F.max("_k").alias("k")).orderBy("_range").collect()]
-    guard = docs.sparkSession.createDataFrame([(k, heads[(i + 1) % len(heads)][0]) for i, (_, k) in enumerate(heads)], "_k long, _above int")
-    dealt = placed.join(F.broadcast(guard), "_k", "left").select("*", F.explode(F.when(F.col("_above").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("g")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("g")), F.struct(F.col("_above").alias("r"), F.lit(True).alias("g"))))).alias("_in"))
-    order = Window.partitionBy("_in.r").orderBy(F.col("_in.g"), F.col("_k").desc(), *columns)
+    placed = docs.withColumn(coarse_, below(fixed(cuts[step - 1 :: step])))
+    placed = placed.withColumn(range_, F.col(coarse_) * step + below(F.slice(fixed(cuts), F.col(coarse_) * step + 1, step)))
+    heads = [(r[0], r[1]) for r in placed.groupBy(range_).agg(F.max(k_).alias("k")).orderBy(range_).collect()]
+    guard = docs.sparkSession.createDataFrame([(k, heads[(i + 1) % len(heads)][0]) for i, (_, k) in enumerate(heads)], f"{k_} long, {above_} int")
+    own = F.struct(F.col(range_).alias("r"), F.lit(False).alias("g"))
+    both = F.array(own, F.struct(F.col(above_).alias("r"), F.lit(True).alias("g")))
+    dealt = placed.join(F.broadcast(guard), k_, "left").select("*", F.explode(F.when(F.col(above_).isNull(), F.array(own)).otherwise(both)).alias(in_))
+    order = Window.partitionBy(f"{in_}.r").orderBy(F.col(f"{in_}.g"), k.desc(), *columns)
     followed = dealt.withColumn("next", F.lead(F.struct(*columns)).over(order))
-    return followed.where(~F.col("_in.g")).drop("_k", "_coarse", "_range", "_above", "_in")
+    return followed.where(~F.col(f"{in_}.g")).drop(k_, coarse_, range_, above_, in_)
 
 
 def op6_fingerprint(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("sketch", sketch(F.col("text")))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring(F.col("next.text"), F.lit(1), F.floor(n / 2).cast("int")))
-    both = with_next(own, "doc_id", ["text", "sketch"]).withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
-    return both.select(
+    both = with_next(docs, "doc_id", ["text"]).withColumn("edited", edited)
+    own = both.withColumns({"sketch": sketch(F.col("text")), "edited_sketch": sketch(F.col("edited")), "next_sketch": sketch(F.col("next.text"))})
+    return own.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )

@@ -5,7 +5,8 @@ each task; Spark sums the partial counts. The log-probability matrix (buckets x
 languages and not by the corpus) is broadcast, and documents are scored in numpy batches by summing matrix rows.
 
 Defined results: null text or a text without any letter is ``und`` with score 0; a null language is not learnt from;
-without any learnt language every document is ``und``; equal evidence goes to the first language by name.
+without any learnt language every document is ``und``; equal evidence goes to the first language by name; repeated rows
+count as often as they occur, in learning too.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded, column, held_out, slices, table
+from tideline.llm.common import bounded, column, fresh, held_out, slices, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: N-grams that evidence is scaled to before it becomes a score: neighbouring n-grams overlap, so their sum is too sure.
+#: N-grams that evidence is scaled to for the score, not the prediction: neighbouring n-grams overlap, so their sum is too sure.
 EVIDENCE = 64
 CHARS = 1 << 18
 UNDETERMINED = "und"
@@ -90,7 +91,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and a score of 0 to 1."""
+    """``docs`` with the predicted language and a score of 0 to 1; columns of those names give way."""
     langs, prior, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, prior, logp))
     schema = "_lang string, _score double"
@@ -114,15 +115,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                 total = np.concatenate([total, np.zeros((1, len(langs)), np.float32)])
                 np.add.at(sums, k, np.add.reduceat(total, bounds.ravel(), axis=0, dtype=np.float64)[::2])
                 np.add.at(n, k, (bounds[:, 1] - bounds[:, 0]) * len(ORDERS))
+            best = (prior + sums).argmax(1)
             z = prior + sums * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            best = p.argmax(1)
             for i, k in enumerate(at):
                 names[k], scores[k] = langs[best[i]], p[i, best[i]]
         return pd.DataFrame({"_lang": names, "_score": scores})
 
-    return docs.withColumn("_p", scored(F.col(text))).withColumns({pred: F.col("_p._lang"), score: F.col("_p._score")}).drop("_p")
+    p = fresh(docs, "p")[0]
+    return docs.withColumn(p, scored(F.col(text))).withColumns({pred: F.col(f"{p}._lang"), score: F.col(f"{p}._score")}).drop(p)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

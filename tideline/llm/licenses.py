@@ -1,14 +1,17 @@
 """License scan by conditional compression.
 
 A candidate block is a run of sentences around words that licenses use (at most ``GAP`` sentences without any of them
-in between). Each block is compressed alone and with every template as zstandard raw dictionary; the share of its bytes
-that the template saves ranks the templates. The ``TOP`` templates are then compared word by word with the block: the
-stretch of the block that fits best must differ from the template in at most ``TOLERANCE`` of the template's words, and
-the words that differ are part of the result. The best confirmed template names the license of that stretch; what the
-block has before and after it is scanned again, so several notices in one block are all found.
-
-Defined results: null, empty and unlicensed texts have no rows; repeated notices give a row each; equal savings go to
-the longer template, then to the first by name.
+in between, and as many after the last). A block is scanned in windows of a few times the longest template, which
+overlap by more than the longest notice, so how long a block is decides nothing. Its parts are compressed alone and
+with every template as zstandard raw dictionary, on stretches of twice the template's length; the bytes that a template
+saves, as a share of what it takes itself, rank the templates. Those that save ``LEAST_SAVED`` of it are compared word by
+word with the stretch: the part that fits best must differ from the template in at most ``TOLERANCE`` of the template's words, and the words that differ are part of the
+result. The confirmed template with the fewest differing words, then the longest, names the license of that stretch;
+what the window has before and after it is scanned again, so several notices in one block are all found.
+
+Defined results: null, empty and unlicensed texts have no rows; repeated notices and repeated rows give rows each; equal
+savings go to the longer template, then to the first by name; a null doc_id stays null; other columns of the input are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +43,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Distributed under the BSD license."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -55,14 +60,22 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("All-Rights-Reserved", "All rights reserved."),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("GPL-2.0", "GNU GPL v2"),
+    ("GPL-3.0", "GNU GPL v3"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
 ]
-SIGNS = ("licens", "licenc", "copyright", "rights reserved", "redistribut", "permission", "public domain", "spdx", "creative commons", "free software")
+# Identifiers that notices of the form "SPDX-License-Identifier: MIT" name.
+SPDX = ("0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+SIGNS = ("licens", "licenc", "copyright", "rights reserved", "redistribut", "permission", "public domain", "spdx", "creative commons", "free software", "gnu gpl")
 GAP = 1
-TOP = 4
 TOLERANCE = 0.1
-#: Share of a block's bytes that a template has to save to be looked at; a block may hold more than one notice.
-LEAST_SAVED = 0.05
-MEMORY = 20_000
+#: Share of a template's own compressed size that it has to save of a stretch of twice its length.
+LEAST_SAVED = 0.2
+#: Bytes of blocks whose notices a task remembers.
+MEMORY = 32 << 20
 
 _SENTENCE = re.compile(r"[^.!?:\n]*(?:[.!?:](?!\s)[^.!?:\n]*)*[.!?:]?\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -88,6 +101,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             else:
                 spans.append([m.start(), m.end()])
             last = k
+        elif spans and k - last <= GAP:
+            spans[-1][1] = m.end()
     yield from ((a, b) for a, b in spans)
 
 
@@ -99,16 +114,27 @@ class Scanner:
         self.plain = make()
         self.given = [make(dict_data=zstd.ZstdCompressionDict(t.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)) for _, t in self.templates]
         self.frame = len(self.plain.compress(b""))
+        # what each template takes by itself, and the longest notice that can be one
+        self.own = [max(1, len(self.plain.compress(t.lower().encode())) - self.frame) for _, t in self.templates]
+        self.reach = [int(len(t) * (1 + 3 * TOLERANCE)) + 40 for _, t in self.templates]
+        self.longest = max(self.reach)
         self.seen: dict[str, list[tuple]] = {}
-
-    def saved(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of the block's compressed bytes that they save, best first."""
-        data = block.lower().encode("utf-8", "replace")
-        alone = len(self.plain.compress(data)) - self.frame
-        if alone <= 0:
-            return []
-        shares = [(1 - (len(c.compress(data)) - self.frame) / alone, -k) for k, c in enumerate(self.given)]
-        return [(s, -k) for s, k in sorted(shares, reverse=True) if s >= LEAST_SAVED]
+        self.held = 0
+
+    def saved(self, block: str, templates: list[int]) -> list[tuple[float, int, int, int]]:
+        """(share of a template's own size that it saves of a stretch, template, stretch), best first.
+
+        Each template is tried on stretches of twice its longest notice, which overlap by one.
+        """
+        out = []
+        for k in templates:
+            wide = self.reach[k]
+            for p in range(0, max(1, len(block) - wide), wide):
+                data = block[p : p + 2 * wide].lower().encode("utf-8", "replace")
+                share = (len(self.plain.compress(data)) - len(self.given[k].compress(data))) / self.own[k]
+                if share >= LEAST_SAVED:
+                    out.append((share, -k, p, min(len(block), p + 2 * wide)))
+        return [(s, -k, p, q) for s, k, p, q in sorted(out, reverse=True)]
 
     def confirm(self, block: list[tuple[str, int, int]], k: int) -> tuple[int, int, list[str]] | None:
         """(first word, end, differing words) of the stretch that words template k, if it is near enough."""
@@ -136,31 +162,47 @@ class Scanner:
         """(license, start, end, share saved, differing words, template) of each notice in a block."""
         if block in self.seen:
             return self.seen[block]
-        out, todo = [], [(0, len(block))]
+        out: list[tuple] = []
+        p = 0
+        while True:
+            q = min(len(block), p + 4 * self.longest)
+            while q < len(block) and not block[q - 1].isspace() and q - p < 5 * self.longest:
+                q += 1
+            final = q == len(block)
+            # notices that begin in the overlap are left to the next window, where they are whole
+            until = q if final else q - self.longest
+            new = [(name, p + s, p + e, *more) for name, s, e, *more in self._window(block[p:q]) if p + s < until]
+            out += new
+            if final:
+                break
+            p = max([until, *(n[2] for n in new)])
+            while p > until - self.longest // 2 and p > 0 and not block[p - 1].isspace() and not any(n[2] >= p for n in new):
+                p -= 1
+        if self.held > MEMORY:
+            self.seen.clear()
+            self.held = 0
+        self.held += len(block)
+        self.seen[block] = sorted(out, key=lambda x: x[1])
+        return self.seen[block]
+
+    def _window(self, window: str) -> list[tuple[str, int, int, float, list[str], str]]:
+        out, todo = [], [(0, len(window))]
         while todo:
             a, b = todo.pop()
-            words = _words(block[a:b])
-            ranked = self.saved(block[a:b]) if words else []
-            # the templates that save most, and with equal wording the longest that is confirmed
+            there = {w for w, _, _ in _words(window[a:b])}
+            able = [k for k, want in enumerate(self.words) if sum(w not in there for w in want) <= int(TOLERANCE * len(want))]
             found = None
-            for share, k in ranked[:TOP]:
-                hit = self.confirm(words, k)
-                if hit and (found is None or (len(hit[2]), -len(self.words[k])) < (len(found[1][2]), -len(self.words[found[2]]))):
-                    found = (share, hit, k)
-            if found is None:
-                for share, k in ranked[TOP:]:
-                    if hit := self.confirm(words, k):
-                        found = (share, hit, k)
-                        break
+            for share, k, p, q in self.saved(window[a:b], able):
+                words = _words(window[a + p : a + q])
+                if hit := self.confirm(words, k):
+                    rank = (len(hit[2]), -len(self.words[k]))
+                    if found is None or rank < found[0]:
+                        found = (rank, share, k, a + p + words[hit[0]][1], a + p + words[hit[1] - 1][2], hit[2])
             if found:
-                share, (i, j, diff), k = found
-                s, e = a + words[i][1], a + words[j - 1][2]
+                _, share, k, s, e, diff = found
                 out.append((self.templates[k][0], s, e, share, diff, self.templates[k][1]))
                 todo += [(a, s), (e, b)]
-        if len(self.seen) >= MEMORY:
-            self.seen.clear()
-        self.seen[block] = sorted(out, key=lambda x: x[1])
-        return self.seen[block]
+        return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

@@ -11,7 +11,8 @@ A link holds only if the two texts, joined back, have the similarity. Buckets of
 pairs; larger ones are walked breadth first over the texts themselves, which gives a forest of links that hold and
 connects all that such links connect. Buckets of much text are split into blocks, every two of which meet.
 
-Defined results: null, empty and blank texts are one node; a null doc_id ranks last in its group.
+Defined results: null, empty and blank texts are one node; a null doc_id ranks last in its group; columns other than
+``doc_id`` and ``text`` are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,7 +149,9 @@ def _walked(hot: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row; component_id is the least doc_id that links which hold reach."""
+    """(doc_id, h, component_id, kept) of every row; h is the XXH64 of its text, component_id the least doc_id that links
+    which hold reach. ``kept``: the row is the first of its component by doc_id, then h; rows equal in both are kept alike.
+    """
     bounded(docs.sparkSession)
     marked = durable(_mark(docs), "marked")
     row = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h", "fp", "keys")).alias("r")
@@ -172,8 +175,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     if not hot.isEmpty():
         held = held.unionByName(_walked(hot, texts))
     roots = components(held)
-    joined = durable(roots.join(nodes.select("node", "doc_id"), "node").select("node", "root", "doc_id"), "joined")
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    moved = joined.select("node", "root").join(least, "root").select("node", "component_id")
-    of = nodes.select("node", "doc_id").join(moved, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(of, "node", "left").select("doc_id", "component_id")
+    joined = durable(roots.join(nodes.select("node", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h").alias("row")), "node").select("node", "root", "row"), "joined")
+    least = joined.groupBy("root").agg(F.min("row").alias("least"))
+    moved = joined.select("node", "root").join(least, "root").select("node", "least")
+    own = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
+    of = nodes.select("node", own.alias("own")).join(moved, "node", "left").select("node", F.coalesce("least", "own").alias("least"))
+    rows = marked.select("doc_id", "h", "node").join(of, "node")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
+    return rows.select("doc_id", "h", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))

@@ -8,7 +8,8 @@ The fit uses at most ``rows`` labelled documents a class (a documented bound; th
 half for the dictionaries and half for the curve), so dictionaries and driver memory do not grow with the corpus.
 
 Defined results: null and empty texts have no evidence and get the share of good labels as score; null labels are not
-learnt from; with labels of one class only, every score is that share as well.
+learnt from; with labels of one class only, every score is that share as well; of rows with one doc_id the first by text
+is learnt from, and of a text longer than ``TEXT_CHARS`` code points blocks at even steps.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tideline.llm.common import held_out, table
 
 BLOCK = 2048
 ROWS = 3000
+#: Code points of a labelled text that are learnt from at most, so that the driver holds 2 * ROWS * TEXT_CHARS of them.
+TEXT_CHARS = 32_768
 DICT_BYTES = 112_640
 LEVEL = 3
 
@@ -72,7 +75,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict:
         some = label.where((F.col("quality") == q) & (roll < int(min(1, 2 * rows / n + 1e-4) * 1_000_000)))
         picked += some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     few = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int")
-    found = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").collect()
+    step = F.ceil(F.length("text") / TEXT_CHARS).cast("int")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK).cast("int"), step), lambda i: F.substring("text", i * BLOCK + 1, F.lit(BLOCK))), "")
+    short = F.when(F.length("text") > TEXT_CHARS, spread).otherwise(F.col("text"))
+    rows_ = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", short.alias("text"), "quality")
+    found = rows_.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     texts: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(found, key=lambda r: (r.doc_id, r.text)):
         texts[r.quality].append(r.text)
@@ -96,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict:
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a quality score of 0 to 1 (higher: good is likelier)."""
+    """``docs`` with a quality score of 0 to 1 (higher: good is likelier); a column of that name gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: list = []
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded, durable, table
+from tideline.llm.common import bounded, durable, fresh, table
 
 UNITS = {
     "sentence": re.compile(r"[^\n.!?。！？｡]+[.!?。！？｡]*"),
@@ -132,8 +132,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str =
     """
     docs = docs.drop("removed")
     bounded(docs.sparkSession)
-    spans = repeats(docs, key, text, unit, min_words).select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h")), "left")
+    k_, h_, spans_, kept_ = fresh(docs, "k", "h", "spans", "kept")
+    spans = repeats(docs, key, text, unit, min_words).select(F.col("k").alias(k_), F.col("h").alias(h_), F.col("spans").alias(spans_))
+    joined = docs.join(spans, docs[key].cast("long").eqNullSafe(F.col(k_)) & (F.xxhash64(docs[text]) == F.col(h_)), "left")
 
     @F.pandas_udf("string")
     def kept(texts, spans):  # noqa: ANN001, ANN202
@@ -142,8 +143,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str =
         return pd.Series([t if t is None or s is None else cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     none = F.array().cast("array<struct<a:int,b:int>>")
-    done = joined.withColumn("_kept", kept(F.col(text), "_spans"))
-    return done.select(*[F.col("_kept").alias(c) if c == text else docs[c] for c in docs.columns], F.coalesce("_spans", none).alias("removed"))
+    done = joined.withColumn(kept_, kept(F.col(text), spans_))
+    return done.select(*[F.col(kept_).alias(c) if c == text else docs[c] for c in docs.columns], F.coalesce(spans_, none).alias("removed"))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
