@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, language_id, near_duplicates as near, packing, substring_dedup
-from tideline.llm.common import durable, held_out, table
+from tideline.llm.common import durable, fresh, held_out, table
 
 #: A language prediction below this score is no language the model knows.
 LEAST_SCORE = 0.5
@@ -19,15 +19,21 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Documents whose text has letters and is surely in one of the learnt languages."""
     model = language_id.train(docs.where(~held_out(F.col("doc_id")) | F.col("doc_id").isNull()))
-    named = language_id.predict(docs, model, pred="_pred", score="_score")
-    return named.where((F.col("_pred") != language_id.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = fresh(docs, "pred", "score")
+    named = language_id.predict(docs, model, pred=pred, score=score)
+    return named.where((F.col(pred) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """The document with the least doc_id of each group of near-duplicates: links of an exact five-word similarity of 0.8 or more."""
-    of = near.cluster(docs)
-    later = of.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """The first document by doc_id of each group of near-duplicates: links of an exact five-word similarity of 0.8 or more.
+
+    Rows of one doc_id and text are one document, and one of them stays.
+    """
+    h = fresh(docs, "h")[0]
+    later = near.cluster(docs).where("not kept").select(F.col("doc_id").alias("id"), F.col("h").alias("later")).distinct()
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    kept = rows.join(later, rows["doc_id"].cast("long").eqNullSafe(later["id"]) & (rows[h] == later["later"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", h]).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
