@@ -153,6 +153,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     which hold reach. ``kept``: the row is the first of its component by doc_id, then h; rows equal in both are kept alike.
     """
     bounded(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     marked = durable(_mark(docs), "marked")
     row = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h", "fp", "keys")).alias("r")
     nodes = durable(marked.groupBy("node").agg(row).select("node", "r.doc_id", "r.h", "r.fp", "r.keys"), "nodes")
