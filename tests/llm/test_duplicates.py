@@ -103,7 +103,7 @@ def test_substring_brute_force(spark):
         assert [(s.a, s.b) for s in got[k].removed] == spans
         assert got[k].text == (substring_dedup.cut(t, spans) if t is not None else None)
     assert sum(len(r.removed) for r in got.values()) == 30
-    assert list(got[0].asDict()) == [*docs(spark, ["x"]).columns, "removed"]
+    assert list(got[0].asDict()) == [*(c for c in docs(spark, ["x"]).columns if c != "removed"), "removed"]
 
 
 def test_substring_units_and_cut():
