@@ -31,10 +31,10 @@ def stream_partition(key: Column, n: int = 8) -> Column:
     return (F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
 
-@query("fn_fold_key", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'aaaaaaceeeeiiiinooooouuuuyys'), '\\b(fc|cf|sc|club|the|de)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents")
+@query("fn_fold_key", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'aaaaaaceeeeiiiinooooouuuuyys'), '\\b(fc|cf|sc|club|the|de)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents")
 def fn_fold_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-132: the folded key of each document's title."""
-    return load(spark, sf_dir, "documents").select("doc_id", fold(F.substring("text", 1, 60)).alias("key"))
+    """O-132: the folded key of each document's whole text."""
+    return load(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("key"))
 
 
 @query("fn_stream_partition", "SELECT user_id, CAST(('0x' || substr(sha1(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 8 AS INT) AS part FROM (SELECT DISTINCT user_id FROM events)")

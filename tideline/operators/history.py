@@ -12,24 +12,70 @@ p AS (SELECT *, CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END AS point
 sql_query("hist_form_frames", "O-105: points and goals over the matches before each kickoff; matches of the same instant are not seen.", SIDES + """
 SELECT uid, team, CAST(coalesce(sum(points) OVER w, 0) AS BIGINT) AS points_before, CAST(count(*) OVER w AS BIGINT) AS played, round(coalesce(avg(CAST(gf AS DOUBLE)) OVER w30, 1.2), 6) AS goals_month FROM p
 WINDOW w AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '1' SECOND PRECEDING), w30 AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN INTERVAL '2592000' SECOND PRECEDING AND INTERVAL '1' SECOND PRECEDING)""")
-sql_query("hist_last_n", "O-105: points of the last five matches in order of kickoff and id.", SIDES + " SELECT uid, team, CAST(coalesce(sum(points) OVER (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS form5, CAST(coalesce(sum(points) OVER (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS form10 FROM p")
-sql_query("hist_venue_frame", "O-106: the last ten at the same venue.", SIDES + " SELECT uid, team, venue, round(coalesce(avg(CAST(points AS DOUBLE)) OVER (PARTITION BY team, venue ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0e0), 6) AS venue_points FROM p")
-sql_query("hist_head_to_head_frame", "O-107, O-57: the last ten meetings, seen from the home side.", """
-WITH m AS (SELECT *, least(home, away) AS a, greatest(home, away) AS b, CASE WHEN home < away THEN home_goals - away_goals ELSE away_goals - home_goals END AS a_diff FROM {matches})
-SELECT uid, CAST(count(*) OVER w AS BIGINT) AS met, round(coalesce(avg(CAST(a_diff AS DOUBLE)) OVER w, 0e0) * CASE WHEN home < away THEN 1 ELSE -1 END, 6) + 0e0 AS home_edge FROM m WINDOW w AS (PARTITION BY a, b ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
-STANDINGS = SIDES + """,
-d AS (SELECT competition, team, kickoff_at, sum(points) AS pts, sum(gf - ga) AS gd, sum(gf) AS gf FROM p GROUP BY competition, team, kickoff_at),
-c AS (SELECT competition, team, kickoff_at, sum(pts) OVER w AS pts, sum(gd) OVER w AS gd, sum(gf) OVER w AS gf FROM d WINDOW w AS (PARTITION BY competition, team ORDER BY kickoff_at)),
-t AS (SELECT competition, team, CAST(year(kickoff_at) AS INT) AS season, max_by(pts, kickoff_at) AS pts, max_by(gd, kickoff_at) AS gd, max_by(gf, kickoff_at) AS gf FROM c GROUP BY 1, 2, 3),
-r AS (SELECT competition, season, team, row_number() OVER (PARTITION BY competition, season ORDER BY pts DESC, gd DESC, gf DESC, team) AS place, count(*) OVER (PARTITION BY competition, season) AS n FROM t)"""
-sql_query("hist_standings", "O-108: running standings by points, goal difference, goals.", STANDINGS + " SELECT competition, season, team, CAST(place AS BIGINT) AS place, round(place / CAST(n AS DOUBLE), 6) AS share FROM r")
-sql_query("hist_rank_change", "O-109: change of place against the team's own row before.", STANDINGS + " SELECT competition, season, team, CAST(coalesce(lag(place) OVER (PARTITION BY competition, team ORDER BY season) - place, 0) AS BIGINT) AS climbed FROM r")
+
+def before(column: str, partition: str, n: int, what: str = "avg") -> str:
+    """``what`` of the last ``n`` rows before each kickoff, by kickoff and id.
+
+    The frame of the first row of a kickoff has nothing of that kickoff in it, and all rows of the kickoff take its value.
+    """
+    return f"{what}({column}) OVER (PARTITION BY {partition} ORDER BY kickoff_at, uid ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+def at_kickoff(column: str, partition: str) -> str:
+    """The value of the first row of a kickoff, for all its rows."""
+    return f"first_value({column}) OVER (PARTITION BY {partition}, kickoff_at ORDER BY uid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def earlier(partition: str, n: int, values: str, key: str = "a.uid, a.team", extra: str = "") -> str:
+    """For oracles: every row joined to all strictly earlier ones of its partition, of which the last ``n`` are taken."""
+    same = " AND ".join(f"b.{c} = a.{c}" for c in partition.split(", "))
+    return f"""e AS (SELECT {key}{extra}, b.* EXCLUDE (uid, {partition}), row_number() OVER (PARTITION BY {key} ORDER BY b.kickoff_at DESC, b.uid DESC) AS back FROM p a LEFT JOIN p b ON {same} AND b.kickoff_at < a.kickoff_at),
+v AS (SELECT {', '.join(c.strip()[2:] for c in key.split(','))}, {values} FROM e WHERE back <= {n} GROUP BY ALL)"""
+
+
+sql_query("hist_last_n", "O-105: points of the last three, five and ten matches before each kickoff.", SIDES + f""",
+f AS (SELECT uid, team, kickoff_at, {before('points', 'team', 3, 'sum')} AS p3, {before('points', 'team', 5, 'sum')} AS p5, {before('points', 'team', 10, 'sum')} AS p10 FROM p)
+SELECT uid, team, CAST(coalesce({at_kickoff('p3', 'team')}, 0) AS BIGINT) AS form3, CAST(coalesce({at_kickoff('p5', 'team')}, 0) AS BIGINT) AS form5, CAST(coalesce({at_kickoff('p10', 'team')}, 0) AS BIGINT) AS form10 FROM f""",
+SIDES + ", " + earlier("team", 10, "sum(points) FILTER (WHERE back <= 3) AS p3, sum(points) FILTER (WHERE back <= 5) AS p5, sum(points) AS p10") + """
+SELECT uid, team, CAST(coalesce(p3, 0) AS BIGINT) AS form3, CAST(coalesce(p5, 0) AS BIGINT) AS form5, CAST(coalesce(p10, 0) AS BIGINT) AS form10 FROM v""")
+sql_query("hist_venue_frame", "O-106: the last ten at the same venue before each kickoff.", SIDES + f""",
+f AS (SELECT uid, team, venue, kickoff_at, {before('CAST(points AS DOUBLE)', 'team, venue', 10)} AS v FROM p)
+SELECT uid, team, venue, round(coalesce({at_kickoff('v', 'team, venue')}, 0e0), 6) AS venue_points FROM f""",
+SIDES + ", " + earlier("team, venue", 10, "avg(points) AS v", "a.uid, a.team, a.venue") + " SELECT uid, team, venue, round(coalesce(v, 0e0), 6) AS venue_points FROM v")
+sql_query("hist_head_to_head_frame", "O-107, O-57: the last ten meetings before each kickoff, seen from the home side.", f"""
+WITH m AS (SELECT *, least(home, away) AS a, greatest(home, away) AS b, CASE WHEN home < away THEN home_goals - away_goals ELSE away_goals - home_goals END AS a_diff FROM {{matches}}),
+f AS (SELECT uid, home, away, a, b, kickoff_at, {before('*', 'a, b', 10, 'count')} AS n, {before('CAST(a_diff AS DOUBLE)', 'a, b', 10)} AS edge FROM m)
+SELECT uid, CAST({at_kickoff('n', 'a, b')} AS BIGINT) AS met, round(coalesce({at_kickoff('edge', 'a, b')}, 0e0) * CASE WHEN home < away THEN 1 ELSE -1 END, 6) + 0e0 AS home_edge FROM f""", """
+WITH m AS (SELECT * FROM {matches}),
+e AS (SELECT x.uid, CASE WHEN y.home = x.home THEN y.home_goals - y.away_goals ELSE y.away_goals - y.home_goals END AS diff, row_number() OVER (PARTITION BY x.uid ORDER BY y.kickoff_at DESC, y.uid DESC) AS back FROM m x LEFT JOIN m y ON y.kickoff_at < x.kickoff_at AND ((y.home = x.home AND y.away = x.away) OR (y.home = x.away AND y.away = x.home)))
+SELECT uid, CAST(count(diff) AS BIGINT) AS met, round(coalesce(avg(CAST(diff AS DOUBLE)), 0e0), 6) + 0e0 AS home_edge FROM e WHERE back <= 10 GROUP BY uid""")
+SEASONS = SIDES + """,
+d AS (SELECT competition, CAST(year(kickoff_at) AS INT) AS season, team, kickoff_at, sum(points) AS pts, sum(gf - ga) AS gd, sum(gf) AS gf FROM p GROUP BY 1, 2, 3, 4),
+k AS (SELECT DISTINCT competition, season, kickoff_at FROM d), n AS (SELECT DISTINCT competition, season, team FROM d)"""
+STANDINGS = SEASONS + """,
+g AS (SELECT k.competition, k.season, k.kickoff_at, n.team, d.team IS NOT NULL AS plays, coalesce(d.pts, 0) AS pts, coalesce(d.gd, 0) AS gd, coalesce(d.gf, 0) AS gf FROM k JOIN n ON n.competition = k.competition AND n.season = k.season LEFT JOIN d ON d.competition = k.competition AND d.season = k.season AND d.team = n.team AND d.kickoff_at = k.kickoff_at),
+c AS (SELECT competition, season, kickoff_at, team, plays, coalesce(sum(pts) OVER w, 0) AS pts, coalesce(sum(gd) OVER w, 0) AS gd, coalesce(sum(gf) OVER w, 0) AS gf FROM g WINDOW w AS (PARTITION BY competition, season, team ORDER BY kickoff_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT competition, season, kickoff_at, team, plays, pts, row_number() OVER (PARTITION BY competition, season, kickoff_at ORDER BY pts DESC, gd DESC, gf DESC, team) AS place, count(*) OVER (PARTITION BY competition, season, kickoff_at) AS n FROM c),
+s1 AS (SELECT * FROM r WHERE plays)"""
+# counts the teams that stand before a team, from sums over strictly earlier matches of the season
+STANDINGS_ORACLE = SEASONS + """,
+z AS (SELECT k.competition, k.season, k.kickoff_at, n.team, coalesce(sum(d.pts), 0) AS pts, coalesce(sum(d.gd), 0) AS gd, coalesce(sum(d.gf), 0) AS gf FROM k JOIN n USING (competition, season) LEFT JOIN d ON d.competition = k.competition AND d.season = k.season AND d.team = n.team AND d.kickoff_at < k.kickoff_at GROUP BY ALL),
+s1 AS (SELECT x.competition, x.season, x.kickoff_at, x.team, x.pts, 1 + count(*) FILTER (WHERE (y.pts, y.gd, y.gf, -y.team) > (x.pts, x.gd, x.gf, -x.team)) AS place, count(*) AS n FROM z x JOIN d USING (competition, season, kickoff_at, team) JOIN z y ON y.competition = x.competition AND y.season = x.season AND y.kickoff_at = x.kickoff_at GROUP BY ALL)"""
+_PLACE = " SELECT competition, season, kickoff_at, team, CAST(pts AS BIGINT) AS points, CAST(place AS BIGINT) AS place, round(place / CAST(n AS DOUBLE), 6) AS share FROM s1"
+_CLIMB = " SELECT competition, season, kickoff_at, team, CAST(coalesce(lag(place) OVER (PARTITION BY competition, season, team ORDER BY kickoff_at) - place, 0) AS BIGINT) AS climbed FROM s1"
+sql_query("hist_standings", "O-108: the place of a side before each of its kickoffs, by points, goal difference and goals of the season so far.", STANDINGS + _PLACE, STANDINGS_ORACLE + _PLACE)
+sql_query("hist_rank_change", "O-109: change of place against the side's own kickoff before, within a season.", STANDINGS + _CLIMB, STANDINGS_ORACLE + _CLIMB)
 sql_query("hist_rest_days", "O-110: whole days since the team's match before, 14 without one, 30 at most.", SIDES + """
 SELECT uid, team, CAST(coalesce(least(30, floor(([[unix_micros(CAST(kickoff_at AS TIMESTAMP))||epoch_us(kickoff_at)]] - lag([[unix_micros(CAST(kickoff_at AS TIMESTAMP))||epoch_us(kickoff_at)]]) OVER (PARTITION BY team ORDER BY kickoff_at, uid)) / 86400e6)), 14) AS BIGINT) AS rest FROM p""")
-sql_query("hist_projection", "O-198: one row a match with both sides' frames and defaults.", SIDES + """,
-f AS (SELECT uid, venue, coalesce(avg(CAST(points AS DOUBLE)) OVER w, 1e0) AS form, coalesce(avg(CAST(gf AS DOUBLE)) OVER w, 1.2e0) AS attack, coalesce(avg(CAST(ga AS DOUBLE)) OVER w, 1.2e0) AS defence, count(*) OVER w AS played FROM p WINDOW w AS (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-SELECT m.uid, round(h.form, 6) AS home_form, round(a.form, 6) AS away_form, round(h.attack - a.defence, 6) AS home_edge, round(a.attack - h.defence, 6) AS away_edge, CAST(least(h.played, a.played) AS BIGINT) AS known, CASE WHEN m.home_goals > m.away_goals THEN 'home' WHEN m.home_goals = m.away_goals THEN 'draw' ELSE 'away' END AS label
-FROM m JOIN f h ON h.uid = m.uid AND h.venue = 'home' JOIN f a ON a.uid = m.uid AND a.venue = 'away'""")
+_MATCH = """SELECT m.uid, round(h.form, 6) AS home_form, round(a.form, 6) AS away_form, round(h.attack - a.defence, 6) AS home_edge, round(a.attack - h.defence, 6) AS away_edge, CAST(least(h.played, a.played) AS BIGINT) AS known, CASE WHEN m.home_goals > m.away_goals THEN 'home' WHEN m.home_goals = m.away_goals THEN 'draw' ELSE 'away' END AS label
+FROM m JOIN f h ON h.uid = m.uid AND h.venue = 'home' JOIN f a ON a.uid = m.uid AND a.venue = 'away'"""
+sql_query("hist_projection", "O-198, in part: one row a match with both sides' frames before its kickoff and defaults; no features beyond these.", SIDES + f""",
+q AS (SELECT uid, team, venue, kickoff_at, {before('CAST(points AS DOUBLE)', 'team', 10)} AS form, {before('CAST(gf AS DOUBLE)', 'team', 10)} AS attack, {before('CAST(ga AS DOUBLE)', 'team', 10)} AS defence, {before('*', 'team', 10, 'count')} AS played FROM p),
+f AS (SELECT uid, venue, coalesce({at_kickoff('form', 'team')}, 1e0) AS form, coalesce({at_kickoff('attack', 'team')}, 1.2e0) AS attack, coalesce({at_kickoff('defence', 'team')}, 1.2e0) AS defence, {at_kickoff('played', 'team')} AS played FROM q)
+""" + _MATCH, SIDES + """,
+e AS (SELECT a.uid, a.venue, b.points, b.gf, b.ga, row_number() OVER (PARTITION BY a.uid, a.venue ORDER BY b.kickoff_at DESC, b.uid DESC) AS back FROM p a LEFT JOIN p b ON b.team = a.team AND b.kickoff_at < a.kickoff_at),
+f AS (SELECT uid, venue, coalesce(avg(points), 1e0) AS form, coalesce(avg(gf), 1.2e0) AS attack, coalesce(avg(ga), 1.2e0) AS defence, count(points) AS played FROM e WHERE back <= 10 GROUP BY uid, venue)
+""" + _MATCH)
 sql_query("hist_temporal_split", "O-200, O-232: splits by year, goal bands, counts.", """
 SELECT CASE WHEN year(kickoff_at) <= 1999 THEN 'train' WHEN year(kickoff_at) = 2000 THEN 'validation' ELSE 'holdout' END AS split, CASE WHEN home_goals + away_goals <= 1 THEN 'low' WHEN home_goals + away_goals <= 3 THEN 'mid' ELSE 'high' END AS goals, CAST(count(*) AS BIGINT) AS n FROM {matches} GROUP BY 1, 2""")
 sql_query("hist_signals", "O-192, O-194, O-195: historical signals, behaviours, structural regime and uncertainty of each side, unpivoted.", SIDES + """,

@@ -12,7 +12,7 @@ SELECT trend_type, competition, team, {COUNTS} FROM {{outcomes}} GROUP BY GROUPI
 sql_query("agg_outcome_fallback", "O-68, O-69: the competition's distribution where its sample is large enough, else the global one.", """
 WITH c AS (SELECT trend_type, competition, count(*) AS n, avg(CASE WHEN outcome = 'confirmed' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rate, avg(duration_seconds) AS duration FROM {outcomes} GROUP BY trend_type, competition),
 g AS (SELECT trend_type, count(*) AS n, avg(CASE WHEN outcome = 'confirmed' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rate, avg(duration_seconds) AS duration FROM {outcomes} GROUP BY trend_type)
-SELECT c.trend_type, c.competition, CASE WHEN c.n >= 43 THEN 'competition' ELSE 'global' END AS scope, CAST(CASE WHEN c.n >= 43 THEN c.n ELSE g.n END AS BIGINT) AS sample, round(CASE WHEN c.n >= 43 THEN c.rate ELSE g.rate END, 6) AS continuation, round(CASE WHEN c.n >= 43 THEN c.duration ELSE g.duration END, 6) AS duration FROM c JOIN g ON c.trend_type = g.trend_type""")
+SELECT c.trend_type, c.competition, CASE WHEN c.n >= 5 THEN 'competition' ELSE 'global' END AS scope, CAST(CASE WHEN c.n >= 5 THEN c.n ELSE g.n END AS BIGINT) AS sample, round(CASE WHEN c.n >= 5 THEN c.rate ELSE g.rate END, 6) AS continuation, round(CASE WHEN c.n >= 5 THEN c.duration ELSE g.duration END, 6) AS duration FROM c JOIN g ON c.trend_type = g.trend_type""")
 
 sql_query("agg_competition_profile", "O-70, O-73: distinct matches, conditional shares, rates per competition.", """
 SELECT competition, CAST(count(*) AS BIGINT) AS trends, CAST(count(DISTINCT match_id) AS BIGINT) AS matches, round(avg(confidence), 6) AS confidence, round(avg(CASE WHEN strength >= 0.6 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS strong_share, round(avg(CASE WHEN trend_type LIKE 'O%' THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS open_share,
@@ -43,7 +43,7 @@ SELECT competition, CAST(year(kickoff_at) AS INT) AS season, CAST(count(*) AS BI
 
 sql_query("agg_behaviour_common", "O-80: patterns in at least 40 percent of a match's hits.", """
 WITH n AS (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id), c AS (SELECT user_id, event_type, count(*) AS c FROM {events} GROUP BY user_id, event_type)
-SELECT c.user_id, event_type, CAST(c AS BIGINT) AS hits FROM c JOIN n ON c.user_id = n.user_id WHERE c >= greatest(1, floor(0.3 * n))""")
+SELECT c.user_id, event_type, CAST(c AS BIGINT) AS hits FROM c JOIN n ON c.user_id = n.user_id WHERE c >= 0.4 * n""")
 
 sql_query("agg_memory_confidence", "O-81, O-263: capped coverage parts under fixed weights.", """
 WITH t AS (SELECT home AS team, count(*) AS n, count(DISTINCT away) AS rivals, count(DISTINCT competition) AS comps, [[datediff(max(kickoff_at), min(kickoff_at))||date_diff('day', CAST(min(kickoff_at) AS DATE), CAST(max(kickoff_at) AS DATE))]] AS days FROM {matches} GROUP BY home)

@@ -20,9 +20,9 @@ sql_query("read_feed_sections", "O-130: followed agents, followed users, then pu
 WITH {POSTS},
 follows AS (SELECT DISTINCT l_partkey % 1500 AS target FROM {{lineitem}} WHERE l_suppkey = 7),
 muted AS (SELECT DISTINCT l_partkey % 1500 AS target FROM {{lineitem}} WHERE l_suppkey = 9),
-a AS (SELECT 0 AS section, id, created_at FROM posts WHERE author_id % 4 = 0 AND author_id IN (SELECT target FROM follows) AND author_id NOT IN (SELECT target FROM muted)),
-u AS (SELECT 1 AS section, id, created_at FROM posts WHERE author_id % 4 <> 0 AND author_id IN (SELECT target FROM follows) AND author_id NOT IN (SELECT target FROM muted)),
-pub AS (SELECT 2 AS section, id, created_at FROM posts WHERE kind = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM a WHERE a.id = posts.id) AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = posts.id) AND author_id NOT IN (SELECT target FROM muted))
+a AS (SELECT 0 AS section, id, created_at FROM posts WHERE author_id % 4 = 0 AND author_id IN (SELECT target FROM follows) AND NOT EXISTS (SELECT 1 FROM muted WHERE muted.target = author_id)),
+u AS (SELECT 1 AS section, id, created_at FROM posts WHERE author_id % 4 <> 0 AND author_id IN (SELECT target FROM follows) AND NOT EXISTS (SELECT 1 FROM muted WHERE muted.target = author_id)),
+pub AS (SELECT 2 AS section, id, created_at FROM posts WHERE kind = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM a WHERE a.id = posts.id) AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = posts.id) AND NOT EXISTS (SELECT 1 FROM muted WHERE muted.target = author_id))
 SELECT section, id FROM (SELECT *, row_number() OVER (ORDER BY section, created_at DESC, id) AS rk FROM (SELECT * FROM a UNION ALL SELECT * FROM u UNION ALL SELECT * FROM pub)) WHERE rk <= 500""")
 sql_query("read_reciprocal_rank", "O-131: rankings of categories merged by reciprocal rank, category order and id. Only rows that can be among the merged 60 are ranked, so no task sorts a whole category.", """
 WITH c AS (SELECT c_custkey AS id, c_acctbal AS v FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 60), a AS (SELECT s_suppkey AS id, s_acctbal AS v FROM {supplier} ORDER BY s_acctbal DESC, s_suppkey LIMIT 60), p AS (SELECT p_partkey AS id, p_retailprice AS v FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 60),

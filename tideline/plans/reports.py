@@ -24,6 +24,7 @@ totals AS (SELECT trend_type, count(*) AS days, sum(fired) AS fired, avg(strengt
 SELECT trend_type, CAST(days AS BIGINT) AS days, CAST(fired AS BIGINT) AS fired, round(strength, 6) AS strength, round(unrest, 6) AS unrest, CASE WHEN days < 25 THEN 'insufficient' WHEN unrest > 0.5 THEN 'hold' ELSE 'promote' END AS verdict FROM totals""")
 
 sql_query("plan_projection_report", "O-198, O-67, O-233: share of each label by band of the home side's edge before the match.", SIDES + """,
-f AS (SELECT uid, venue, coalesce(avg(CAST(points AS DOUBLE)) OVER (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 1e0) AS form FROM p),
+q AS (SELECT uid, venue, team, kickoff_at, avg(CAST(points AS DOUBLE)) OVER (PARTITION BY team ORDER BY kickoff_at, uid ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS form FROM p),
+f AS (SELECT uid, venue, coalesce(first_value(form) OVER (PARTITION BY team, kickoff_at ORDER BY uid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e0) AS form FROM q),
 j AS (SELECT m.uid, h.form - a.form AS edge, CASE WHEN m.home_goals > m.away_goals THEN 'home' WHEN m.home_goals = m.away_goals THEN 'draw' ELSE 'away' END AS label FROM m JOIN f h ON h.uid = m.uid AND h.venue = 'home' JOIN f a ON a.uid = m.uid AND a.venue = 'away')
 SELECT CAST(floor(edge * 2 + 0.0000001) AS INT) AS band, label, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1, 2""")

@@ -70,12 +70,14 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
-def sql_query(name: str, doc: str, text: str) -> None:
+def sql_query(name: str, doc: str, text: str, oracle: str | None = None) -> None:
+    """``oracle``: SQL that finds the same rows another way; without one it is the query's own text in the other dialect."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run_sql(spark, sf_dir, text)
 
     run.__doc__ = doc
-    query(name, text)(run)
+    query(name, oracle or text)(run)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

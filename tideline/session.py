@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,11 @@ def session(master: str | None = None, app: str = "tideline", **conf: str) -> Sp
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession, prefix: str) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only if it is unset on one machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return root or tempfile.mkdtemp(prefix=prefix)

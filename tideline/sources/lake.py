@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.registry import load, query
+from tideline.session import shared_dir
 
 LAYERS = ("raw", "normalized", "validated", "training", "exports", "reports")
 ENVELOPE = "schema_version string, event_id bigint, event_type string, occurred_at timestamp, match_id bigint, payload struct<k: int>"
@@ -91,7 +91,7 @@ def flatten(envelopes: DataFrame) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lake-")
+    root = shared_dir(spark, "spark-lake-")
     return os.path.join(root, f"lake-{uuid.uuid4().hex}")
 
 

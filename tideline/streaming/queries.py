@@ -8,7 +8,6 @@ failure overwrites itself: with the checkpoint this gives every row once (O-2, O
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,13 +18,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators.state import change_gate, cooldown
 from tideline.registry import load, query
+from tideline.session import shared_dir
 from tideline.sources.lake import decode, flatten, split_bad
 
 LATE = "1 hour"
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    root = shared_dir(spark, "spark-stream-")
     return os.path.join(root, f"stream-{uuid.uuid4().hex}")
 
 
