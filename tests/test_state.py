@@ -41,9 +41,38 @@ def test_sliding_limit_brute_force(times):
     assert state.sliding_limit(times, limits) == out
 
 
+@settings(max_examples=100, deadline=None)
+@given(TIMES, st.integers(0, 60))
+def test_sliding_limit_in_two_parts(times, cut):
+    limits, held = [(10, 2), (50, 5)], state.deque()
+    assert state.sliding_limit(times[:cut], limits, held) + state.sliding_limit(times[cut:], limits, held) == state.sliding_limit(times, limits)
+    assert len(held) <= 5
+
+
 def test_antispam_rules():
-    rows = [(0, 1, "a"), (5, 2, "b"), (100, 1, "b"), (100, 2, "a"), (200, 3, "c"), (300, 4, "d"), (400, 5, "e")]
-    assert state.antispam(rows, 10, 150, 120, 3, 4) == ["allowed", "agent_cooldown", "story_cooldown", "type_cooldown", "allowed", "allowed", "hourly_limit"]
+    rows = [(0, 1, "a", 1), (5, 2, "b", 2), (100, 1, "b", 2), (100, 2, "a", 2), (110, 2, "c", 1), (200, 3, "c", 3), (300, 4, "d", 4), (400, 5, "e", 5)]
+    agent = state.Antispam((10, 150, 120, 130), hourly=3, daily=4)
+    assert [agent.post(*r) for r in rows] == ["allowed", "agent_cooldown", "cluster_cooldown", "trend_cooldown", "match_cooldown", "allowed", "allowed", "hourly_limit"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200_000), st.integers(0, 2), st.integers(0, 2), st.integers(0, 2)), max_size=80).map(sorted))
+def test_antispam_brute_force(rows):
+    gaps, agent, allowed = (50, 900, 700, 1100), state.Antispam((50, 900, 700, 1100), hourly=3, daily=8), []
+    for t, *about in rows:
+        since = lambda w, t=t: [a for a in allowed if t - a[0] < w]
+        want = "allowed"
+        if since(gaps[0]):
+            want = "agent_cooldown"
+        else:
+            for i, rule in enumerate(state.Antispam.RULES):
+                if want == "allowed" and any(a[1 + i] == about[i] for a in since(gaps[1 + i])):
+                    want = rule
+            if want == "allowed":
+                want = "hourly_limit" if len(since(3600)) >= 3 else "daily_limit" if len(since(86_400)) >= 8 else want
+        assert agent.post(t, *about) == want
+        if want == "allowed":
+            allowed.append((t, *about))
 
 
 def test_lifecycle_states():
@@ -59,9 +88,42 @@ def test_lifecycle_states():
 
 def test_elo_sums_and_equal_kickoffs():
     pdf = pd.DataFrame({"uid": [1, 2, 3], "kickoff_at": [0, 0, 5], "home": [1, 1, 2], "away": [2, 3, 3], "home_goals": [1, 0, 2], "away_goals": [0, 0, 0]})
-    got = state.elo(pdf).set_index("uid")
+    got = state.Elo().step(pdf).set_index("uid")
     assert (got.loc[[1, 2]].to_numpy() == 1500).all()
     assert got.loc[3, "home_elo"] < 1500 < got.loc[3, "away_elo"]
+    assert got.loc[3, "home_venue"] == 1500 < got.loc[3, "away_venue"]
+    parts = state.Elo()
+    assert pd.concat([parts.step(pdf[:1]), parts.step(pdf[1:])]).set_index("uid").equals(got)
+
+
+def test_folds_batch_by_batch(spark, sf):
+    """A key's rows may come in any number of batches."""
+    names = ("state_cooldown_gate", "state_change_gate", "state_sliding_limit", "state_antispam", "state_lifecycle", "state_elo")
+    whole = {n: sorted(map(tuple, QUERIES[n](spark, sf).collect())) for n in names}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert all(sorted(map(tuple, QUERIES[n](spark, sf).collect())) == whole[n] for n in names)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_folds_take_null_keys(spark):
+    rows = [(None, 1, 0), (None, 2, 5), (1, 3, 0), (None, 4, 20)]
+    df = spark.createDataFrame(rows, "k long, event_id long, t long")
+
+    def start():
+        n = 0
+
+        def step(pdf):
+            nonlocal n
+            n += len(pdf)
+            return pd.DataFrame({"n": [n], "event_id": [pdf.event_id.max()]})
+
+        return step
+
+    got = state._fold(df, ["k"], ["t"], start, "n long, event_id long").collect()
+    assert max((r.n, r.event_id) for r in got) == (3, 4) and (1, 3) in {(r.n, r.event_id) for r in got}
+    assert state._fold(df.limit(0), ["k"], ["t"], start, "n long, event_id long").count() == 0
 
 
 @pytest.mark.parametrize("name", ["cooldown_gate", "change_gate", "story_sessions"])

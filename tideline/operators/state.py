@@ -1,15 +1,16 @@
 """Sequential state per key: gates that compare with the last accepted row, limits, lifecycle, Elo.
 
-A gate's answer depends on its own earlier answers, so no window function gives it. Each key's rows are folded in the
-total order (ts, event_id) inside ``applyInPandas``; the oracles are recursive queries. The same folds run as
-stateful stream processors in ``tideline.streaming``. Keys are matches, providers or agents, whose rows are bounded by
-their season or day; a table is dealt by key before the fold.
+A gate's answer depends on its own earlier answers, so no window function gives it. A table is dealt by key, sorted by
+(key, time, id) by Spark, whose sort spills, and passed on in Arrow batches; of a key only its small state is in memory
+(the last accepted row, the calls of the longest limit, the open instances, the ratings), whatever the number of its
+rows. The oracles are recursive queries or brute force in the tests. The same folds run as stateful stream processors in
+``tideline.streaming``. A fold is sequential in its key: the rows of one key are one task's work, in one pass.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,45 +41,57 @@ def change_gate(values: Iterable[float], share: float, last: float | None = None
     return out, last
 
 
-def sliding_limit(times: Iterable[int], limits: list[tuple[int, int]]) -> list[bool]:
-    """O-217: a call passes if every window (length, most) has room; only calls that pass are counted."""
-    allowed: deque[int] = deque()
+def sliding_limit(times: Iterable[int], limits: list[tuple[int, int]], allowed: deque[int] | None = None) -> list[bool]:
+    """O-217: a call passes if every window (length, most) has room; only calls that pass are counted.
+
+    ``allowed`` holds the calls that passed before and is carried on; at most the calls of the longest window stay in it.
+    """
+    allowed = deque() if allowed is None else allowed
     longest = max(w for w, _ in limits)
     out = []
     for t in times:
         while allowed and t - allowed[0] >= longest:
             allowed.popleft()
-        ok = all(sum(1 for a in allowed if t - a < w) < most for w, most in limits)
+        ok = all(len(allowed) < most or t - allowed[-most] >= w for w, most in limits)
         if ok:
             allowed.append(t)
         out.append(ok)
     return out
 
 
-def antispam(rows: Iterable[tuple[int, int, str]], agent_gap: int, story_gap: int, type_gap: int, hourly: int, daily: int) -> list[str]:
-    """O-219: first rule that stops a post; rows are (time, story, type), and only allowed posts are remembered."""
-    posts: deque[int] = deque()
-    story_last: dict[int, int] = {}
-    type_last: dict[str, int] = {}
-    out = []
-    for t, story, kind in rows:
-        while posts and t - posts[0] >= 86_400:
-            posts.popleft()
-        if posts and t - posts[-1] < agent_gap:
-            out.append("agent_cooldown")
-        elif story in story_last and t - story_last[story] < story_gap:
-            out.append("story_cooldown")
-        elif kind in type_last and t - type_last[kind] < type_gap:
-            out.append("type_cooldown")
-        elif sum(1 for p in posts if t - p < 3600) >= hourly:
-            out.append("hourly_limit")
-        elif len(posts) >= daily:
-            out.append("daily_limit")
-        else:
-            out.append("allowed")
-            posts.append(t)
-            story_last[story], type_last[kind] = t, t
-    return out
+class Antispam:
+    """O-219: first rule that stops a post of one agent, cheapest first; only allowed posts are remembered.
+
+    Times are in seconds. ``gaps`` are the cooldowns of the agent, the story, the trend and the match.
+    """
+
+    RULES = ("cluster_cooldown", "trend_cooldown", "match_cooldown")
+
+    def __init__(self, gaps: tuple[int, int, int, int] = (300, 900, 1800, 600), hourly: int = 6, daily: int = 30) -> None:
+        self.gaps, self.hourly, self.daily = gaps, hourly, daily
+        self.posts: deque[int] = deque()
+        self.last: tuple[dict, dict, dict] = ({}, {}, {})
+
+    def post(self, t: int, *about: object) -> str:
+        """The verdict on a post at ``t`` about a story, a trend and a match."""
+        while self.posts and t - self.posts[0] >= 86_400:
+            self.posts.popleft()
+        if self.posts and t - self.posts[-1] < self.gaps[0]:
+            return "agent_cooldown"
+        for rule, last, gap, key in zip(self.RULES, self.last, self.gaps[1:], about, strict=True):
+            if key in last and t - last[key] < gap:
+                return rule
+        if len(self.posts) >= self.hourly and t - self.posts[-self.hourly] < 3600:
+            return "hourly_limit"
+        if len(self.posts) >= self.daily:
+            return "daily_limit"
+        self.posts.append(t)
+        for last, gap, key in zip(self.last, self.gaps[1:], about, strict=True):
+            if len(last) > 2 * self.daily:  # what has run out is forgotten
+                for k in [k for k, at in last.items() if t - at >= gap]:
+                    del last[k]
+            last[key] = t
+        return "allowed"
 
 
 class Lifecycle:
@@ -116,14 +129,33 @@ class Lifecycle:
         return out
 
 
-def _fold(df: DataFrame, key: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(key).applyInPandas(lambda pdf: fold(pdf.sort_values(["t", "event_id"])), schema)
+Step = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def _fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Step], schema: str) -> DataFrame:
+    """Rows of each key, in order and batch by batch, through what ``start`` returns for the key; nulls are a key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for pdf in frames:
+            out = []
+            for _, rows in pdf.groupby((pdf["_key"] != pdf["_key"].shift()).cumsum(), sort=False):
+                key = rows["_key"].iloc[0]
+                if step is None or key != now:
+                    now, step = key, start()
+                out.append(step(rows))
+            if out:
+                yield pd.concat(out)
+
+    keyed = df.withColumn("_key", F.to_json(F.struct(*keys)))
+    return keyed.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(run, schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
+ORDER = ["t", "event_id"]
 _ORDERED = "e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events)"
 
 
@@ -134,11 +166,17 @@ SELECT user_id, event_id FROM g WHERE passed""")
 def state_cooldown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-210: at most one row a match in six hours, counted from the last one that passed."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok, _ = cooldown(pdf.t.tolist(), 21_600_000_000)
-        return pdf.loc[ok, ["user_id", "event_id"]]
+    def start() -> Step:
+        last = None
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last
+            ok, last = cooldown(pdf.t.tolist(), 21_600_000_000, last)
+            return pdf.loc[ok, ["user_id", "event_id"]]
 
-    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "t"), "user_id", fold, "user_id long, event_id long")
+        return step
+
+    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "t"), ["user_id"], ORDER, start, "user_id long, event_id long")
 
 
 @query("state_change_gate", "WITH RECURSIVE " + _ORDERED.format(key="user_id, event_type") + """,
@@ -148,12 +186,17 @@ SELECT event_id FROM g WHERE passed""")
 def state_change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-216: a lane's price is published when it moved by half of the last published one."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok, _ = change_gate(pdf.value.tolist(), 0.5)
-        return pdf.loc[ok, ["event_id"]]
+    def start() -> Step:
+        last = None
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last
+            ok, last = change_gate(pdf.value.tolist(), 0.5, last)
+            return pdf.loc[ok, ["event_id"]]
+
+        return step
 
-    e = _events(spark, sf_dir).select(F.struct("user_id", "event_type").alias("lane"), "event_id", "t", "value")
-    return e.withColumn("lane", F.to_json("lane")).groupBy("lane").applyInPandas(lambda p: fold(p.sort_values(["t", "event_id"])), "event_id long")
+    return _fold(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "t", "value"), ["user_id", "event_type"], ORDER, start, "event_id long")
 
 
 @query("state_sliding_limit")
@@ -161,36 +204,46 @@ def state_sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-217: calls of each provider within limits of a quarter hour, an hour and a day (brute force in the tests)."""
     limits = [(900_000_000, 3), (3_600_000_000, 9), (86_400_000_000, 180)]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[sliding_limit(pdf.t.tolist(), limits), ["event_id"]]
+    def start() -> Step:
+        allowed: deque[int] = deque()
+        return lambda pdf: pdf.loc[sliding_limit(pdf.t.tolist(), limits, allowed), ["event_id"]]
 
-    e = _events(spark, sf_dir).select("event_type", "event_id", "t")
-    return e.groupBy("event_type").applyInPandas(lambda p: fold(p.sort_values(["t", "event_id"])), "event_id long")
+    return _fold(_events(spark, sf_dir).select("event_type", "event_id", "t"), ["event_type"], ORDER, start, "event_id long")
 
 
 @query("state_antispam")
 def state_antispam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-219: first violated rule of each post of an agent."""
+    """O-219: first violated rule of each post of an agent; cooldowns of hours, as the table's agents post rarely (brute force in the tests)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = zip((pdf.t // 1_000_000).tolist(), (pdf.event_id % 7).tolist(), pdf.event_type.tolist(), strict=True)
-        return pd.DataFrame({"event_id": pdf.event_id, "verdict": antispam(rows, 1800, 14_400, 7200, 6, 30)})
+    def start() -> Step:
+        agent = Antispam((1800, 14_400, 7200, 28_800))
 
-    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "t"), "user_id", fold, "event_id long, verdict string")
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = zip((pdf.t // 1_000_000).tolist(), (pdf.event_id % 7).tolist(), pdf.event_type.tolist(), (pdf.event_id % 11).tolist(), strict=True)
+            return pd.DataFrame({"event_id": pdf.event_id, "verdict": [agent.post(*r) for r in rows]})
+
+        return step
+
+    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "t"), ["user_id"], ORDER, start, "event_id long, verdict string")
 
 
 @query("state_lifecycle")
 def state_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-212, O-213, O-215: every state an instance goes through, in order."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, out = Lifecycle(), []
-        for r in pdf.itertuples():
-            for serial, kind, state in m.tick(r.t // 1_000_000, r.event_type, int(r.event_id % 3) - 1, r.value / 100, r.event_type == m.confirms):
-                out.append((r.user_id, r.event_id, serial, kind, state))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "serial", "trend_type", "state"])
+    def start() -> Step:
+        m = Lifecycle()
 
-    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "t"), "user_id", fold, "user_id long, event_id long, serial long, trend_type string, state string")
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for r in pdf.itertuples():
+                for serial, kind, state in m.tick(r.t // 1_000_000, r.event_type, int(r.event_id % 3) - 1, r.value / 100, r.event_type == m.confirms):
+                    out.append((r.user_id, r.event_id, serial, kind, state))
+            return pd.DataFrame(out, columns=["user_id", "event_id", "serial", "trend_type", "state"])
+
+        return step
+
+    return _fold(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "t"), ["user_id"], ORDER, start, "user_id long, event_id long, serial long, trend_type string, state string")
 
 
 @query("state_checkpoints", """
@@ -241,25 +294,47 @@ def state_story_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "event_type", F.col("session_window.start").cast("timestamp_ntz").alias("opened"), "n", "peak")
 
 
-def elo(pdf: pd.DataFrame, k: float = 20.0, edge: float = 65.0) -> pd.DataFrame:
-    """O-199: ratings before each match of one competition; matches of one kickoff are all rated before any is recorded."""
-    pdf = pdf.sort_values(["kickoff_at", "uid"])
-    rating: dict[int, float] = {}
-    out = []
-    for _, same in pdf.groupby("kickoff_at", sort=True):
-        rows = list(same.itertuples())
-        out += [(r.uid, round(rating.get(r.home, 1500.0), 6), round(rating.get(r.away, 1500.0), 6)) for r in rows]
-        for r in rows:
-            h, a = rating.get(r.home, 1500.0), rating.get(r.away, 1500.0)
-            margin = abs(r.home_goals - r.away_goals)
-            score = 1.0 if r.home_goals > r.away_goals else 0.5 if margin == 0 else 0.0
-            step = k * (1 + 0.15 * min(margin, 4)) * (score - 1 / (1 + 10 ** ((a - h - edge) / 400)))
-            rating[r.home], rating[r.away] = h + step, a - step
-    return pd.DataFrame(out, columns=["uid", "home_elo", "away_elo"])
+class Elo:
+    """O-199: ratings before each match, rows in the order of kickoffs; matches of one kickoff are all rated before any is recorded.
+
+    Two lists: a team's rating, with an edge for the home side and a step that grows with the margin; and its rating at
+    that venue, home teams and away teams apart.
+    """
+
+    def __init__(self, k: float = 20.0, edge: float = 65.0, venue_k: float = 16.0, first: float = 1500.0) -> None:
+        self.k, self.edge, self.venue_k, self.first = k, edge, venue_k, first
+        self.rating: dict[object, float] = {}
+        self.venue: dict[tuple[object, str], float] = {}
+        self.kickoff, self.waiting = None, []
+
+    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples():
+            if r.kickoff_at != self.kickoff:
+                for m in self.waiting:
+                    self._record(*m)
+                self.kickoff, self.waiting = r.kickoff_at, []
+            sides = self._of(r.home, r.away)
+            out.append((r.uid, *(round(x, 6) for x in sides)))
+            self.waiting.append((r.home, r.away, r.home_goals, r.away_goals))
+        return pd.DataFrame(out, columns=["uid", "home_elo", "away_elo", "home_venue", "away_venue"])
+
+    def _of(self, home: object, away: object) -> tuple[float, float, float, float]:
+        r, v = self.rating, self.venue
+        return r.get(home, self.first), r.get(away, self.first), v.get((home, "home"), self.first), v.get((away, "away"), self.first)
+
+    def _record(self, home: object, away: object, home_goals: int, away_goals: int) -> None:
+        h, a, hv, av = self._of(home, away)
+        margin = abs(home_goals - away_goals)
+        score = 1.0 if home_goals > away_goals else 0.5 if margin == 0 else 0.0
+        moved = self.k * (1 + 0.15 * min(margin, 4)) * (score - 1 / (1 + 10 ** ((a - h - self.edge) / 400)))
+        self.rating[home], self.rating[away] = h + moved, a - moved
+        moved = self.venue_k * (score - 1 / (1 + 10 ** ((av - hv) / 400)))
+        self.venue[home, "home"], self.venue[away, "away"] = hv + moved, av - moved
 
 
 @query("state_elo")
 def state_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-199, O-198: Elo of both sides before each match. Both sides move with every match, so the unit is a competition."""
+    """O-199, O-198: Elo of both sides before each match, overall and by venue. Both sides move with every match, so the unit is a competition."""
     m = run_sql(spark, sf_dir, "SELECT * FROM {matches}").withColumn("kickoff_at", F.unix_micros(F.col("kickoff_at").cast("timestamp")))
-    return m.groupBy("competition").applyInPandas(lambda p: elo(p), "uid long, home_elo double, away_elo double")
+    return _fold(m, ["competition"], ["kickoff_at", "uid"], lambda: Elo().step, "uid long, home_elo double, away_elo double, home_venue double, away_venue double")
