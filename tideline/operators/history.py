@@ -87,3 +87,19 @@ SELECT match_id, CASE WHEN h0 <= a0 THEN 'home' ELSE 'away' END AS opened, CASE
 sql_query("hist_calibration", "O-233: confidence buckets with their hit rate, for the calibration error.", """
 WITH f AS (SELECT l_orderkey, l_discount * 10 AS confidence, CASE WHEN l_returnflag = 'A' THEN 1e0 ELSE 0 END AS hit FROM {lineitem})
 SELECT CAST(floor(confidence * 10 + 0.000001) AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS confidence, round(avg(hit), 6) AS accuracy, round(abs(avg(confidence) - avg(hit)), 6) AS gap FROM f GROUP BY 1""")
+
+_TEMPERATURES = [round(0.5 + 0.1 * i, 1) for i in range(26)]
+_LOGIT = "ln(greatest(0.000001e0, least(0.999999e0, l_discount * 10e0)) / (1 - greatest(0.000001e0, least(0.999999e0, l_discount * 10e0))))"
+_FORECASTS = f"(SELECT {_LOGIT} AS z, CASE WHEN l_returnflag = 'A' THEN 1e0 ELSE 0e0 END AS hit FROM {{lineitem}})"
+
+
+def _loss(t: object) -> str:
+    return f"avg(hit * ln(1 + exp(-z / {t})) + (1 - hit) * ln(1 + exp(z / {t})))"
+
+
+sql_query("hist_temperature", "O-233: the temperature from 0.5 to 3 that gives forecasts the least log loss; the losses of all are worked out in one pass.", f"""
+WITH f AS (SELECT {", ".join(f"{_loss(f'{t}e0')} AS x{i}" for i, t in enumerate(_TEMPERATURES))} FROM {_FORECASTS}),
+l AS ({" UNION ALL ".join(f"SELECT {t}e0 AS temperature, round(x{i}, 8) AS loss FROM f" for i, t in enumerate(_TEMPERATURES))})
+SELECT temperature, round(loss, 6) AS loss FROM l ORDER BY loss, temperature LIMIT 1""", f"""
+WITH t AS (SELECT 0.5e0 + 0.1e0 * unnest(range(26)) AS temperature), l AS (SELECT temperature, {_loss("temperature")} AS loss FROM {_FORECASTS} CROSS JOIN t GROUP BY temperature)
+SELECT round(temperature, 1) AS temperature, round(loss, 6) AS loss FROM l ORDER BY round(loss, 8), temperature LIMIT 1""")

@@ -59,17 +59,36 @@ sql_query("agg_payload_merge", "O-87: latest authoritative value of each key; ca
 WITH kv AS (SELECT user_id, concat('k', CAST(event_id % 7 AS [[STRING||VARCHAR]])) AS k, value, ts, event_id, event_type IN ('click', 'view') AS auth FROM {events})
 SELECT user_id, k, round(coalesce(max_by(CASE WHEN auth THEN value END, CASE WHEN auth THEN (ts, event_id) END), min_by(CASE WHEN NOT auth THEN value END, CASE WHEN NOT auth THEN (ts, event_id) END)), 6) AS value FROM kv GROUP BY user_id, k""")
 
-sql_query("agg_dataset_quality", "O-89: five weighted ratios and a grade.", """
-WITH q AS (SELECT source, avg(CASE WHEN text <> '' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS filled, avg(CASE WHEN n_chars >= 200 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS long, count(DISTINCT text) / CAST(count(*) AS DOUBLE) AS uniq, avg(CASE WHEN lang = 'en' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS english, avg(CASE WHEN n_chars < 20000 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS sane FROM {documents} GROUP BY source)
-SELECT source, round(0.3 * filled + 0.25 * long + 0.2 * uniq + 0.1 * english + 0.15 * sane, 6) AS score, CASE WHEN 0.3 * filled + 0.25 * long + 0.2 * uniq + 0.1 * english + 0.15 * sane >= 0.9 THEN 'A' WHEN 0.3 * filled + 0.25 * long + 0.2 * uniq + 0.1 * english + 0.15 * sane >= 0.8 THEN 'B' ELSE 'C' END AS grade FROM q""")
+sql_query("agg_dataset_quality", "O-89: five weighted ratios of a source's records and a grade from A to D; agreement is 0.7 where nothing was labelled.", """
+WITH q AS (SELECT source, count(*) AS collected, sum(CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END) AS validated, sum(CASE WHEN n_chars < 50 THEN 1 ELSE 0 END) AS rejected, count(*) - count(DISTINCT text) AS dups, count(*) FILTER (WHERE n_chars IS NOT NULL) AS considered, avg(CASE WHEN lang = 'en' THEN 1e0 WHEN lang IS NOT NULL THEN 0e0 END) AS agreement FROM {documents} GROUP BY source),
+d AS (SELECT source, validated / CAST(collected AS DOUBLE) AS completeness, coalesce(validated / CAST(nullif(considered, 0) AS DOUBLE), 0) AS success, coalesce(1 - rejected / CAST(nullif(considered, 0) AS DOUBLE), 1) AS consistency, 1 - dups / CAST(collected AS DOUBLE) AS clean, coalesce(agreement, 0.7e0) AS agreement FROM q),
+s AS (SELECT *, round(0.25e0 * completeness + 0.30e0 * success + 0.20e0 * consistency + 0.15e0 * clean + 0.10e0 * agreement, 4) AS score FROM d)
+SELECT source, score, CASE WHEN score >= 0.85 THEN 'A' WHEN score >= 0.7 THEN 'B' WHEN score >= 0.5 THEN 'C' ELSE 'D' END AS grade FROM s""")
 
 sql_query("agg_count_matrix", "O-91: counts by two keys, pivoted.", """
 SELECT o_orderpriority, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS o, CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS p, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_orderpriority""")
 sql_query("agg_top_targets", "O-91: the most frequent targets.", "SELECT l_partkey, CAST(count(*) AS BIGINT) AS n FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 25")
 sql_query("agg_filtered_counts", "O-92: counts under a filter clause.", "SELECT event_type, CAST(count(*) FILTER (WHERE value >= 50) AS BIGINT) AS active, CAST(count(*) FILTER (WHERE value < 50) AS BIGINT) AS revoked FROM {events} GROUP BY event_type")
 
-sql_query("agg_overview", "O-93: independent counts in one row.", """
-SELECT (SELECT count(*) FROM {customer}) AS users, (SELECT count(*) FROM {supplier}) AS agents, (SELECT count(*) FROM {orders}) AS posts, (SELECT count(DISTINCT o_custkey) FROM {orders}) AS authors, (SELECT count(*) FROM {lineitem} WHERE l_returnflag = 'R') AS reports, (SELECT count(*) FROM {events} WHERE event_type = 'signup') AS signups, (SELECT max(ts) FROM {events}) AS last_event""")
+sql_query("agg_overview", "O-93: seventeen counts in one row, one pass a table; the window is the last 30 days of the table.", """
+WITH p AS (SELECT count(*) AS posts, count(*) FILTER (WHERE o_custkey % 3 = 0) AS posts_user, count(*) FILTER (WHERE o_custkey % 3 = 1) AS posts_agent, count(*) FILTER (WHERE o_custkey % 3 = 2) AS posts_admin, count(*) FILTER (WHERE o_orderdate >= since) AS recent_posts, count(DISTINCT CASE WHEN o_custkey % 3 = 0 AND o_orderdate >= since THEN o_custkey END) AS recent_authors FROM {orders} CROSS JOIN (SELECT max(o_orderdate) - INTERVAL '30' DAY AS since FROM {orders}) WHERE o_orderstatus <> 'P'),
+c AS (SELECT count(*) AS comments, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS comments_user, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS comments_agent, count(*) FILTER (WHERE l_shipdate >= since) AS recent_comments FROM {lineitem} CROSS JOIN (SELECT max(l_shipdate) - INTERVAL '30' DAY AS since FROM {lineitem})),
+e AS (SELECT count(*) FILTER (WHERE event_type = 'signup') AS follows, count(*) FILTER (WHERE event_type = 'purchase' AND value >= 50) AS active_boosts, count(*) FILTER (WHERE event_type = 'click') AS saves FROM {events}),
+a AS (SELECT count(*) AS agents, count(*) FILTER (WHERE s_acctbal > 0) AS active_agents FROM {supplier}), u AS (SELECT count(*) AS users FROM {customer}), n AS (SELECT count(*) AS communities FROM {nation})
+SELECT * FROM u CROSS JOIN a CROSS JOIN p CROSS JOIN c CROSS JOIN e CROSS JOIN n""", """
+SELECT (SELECT count(*) FROM {customer}) AS users, (SELECT count(*) FROM {supplier}) AS agents, (SELECT count(*) FROM {supplier} WHERE s_acctbal > 0) AS active_agents,
+ (SELECT count(*) FROM {orders} WHERE o_orderstatus <> 'P') AS posts, (SELECT count(*) FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 3 = 0) AS posts_user, (SELECT count(*) FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 3 = 1) AS posts_agent, (SELECT count(*) FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 3 = 2) AS posts_admin,
+ (SELECT count(*) FROM {lineitem}) AS comments, (SELECT count(*) FROM {lineitem} WHERE l_linenumber IN (2, 4, 6)) AS comments_user, (SELECT count(*) FROM {lineitem} WHERE l_linenumber IN (1, 3, 5, 7)) AS comments_agent,
+ (SELECT count(*) FROM {orders} WHERE o_orderstatus <> 'P' AND o_orderdate >= (SELECT max(o_orderdate) FROM {orders}) - INTERVAL '30' DAY) AS recent_posts, (SELECT count(*) FROM {lineitem} WHERE l_shipdate >= (SELECT max(l_shipdate) FROM {lineitem}) - INTERVAL '30' DAY) AS recent_comments,
+ (SELECT count(DISTINCT o_custkey) FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 3 = 0 AND o_orderdate >= (SELECT max(o_orderdate) FROM {orders}) - INTERVAL '30' DAY) AS recent_authors,
+ (SELECT count(*) FROM {events} WHERE event_type = 'signup') AS follows, (SELECT count(*) FROM {events} WHERE event_type = 'purchase' AND value >= 50) AS active_boosts, (SELECT count(*) FROM {events} WHERE event_type = 'click') AS saves, (SELECT count(*) FROM {nation}) AS communities""")
+
+sql_query("agg_type_set_matches", "O-73: matches with at least one trend of each of three type sets in the last 90 days, and their shares; one row a match before the counts.", """
+WITH m AS (SELECT competition, match_id, max(CASE WHEN trend_type IN ('O-1', 'F-1', 'O-2') THEN 1 ELSE 0 END) AS shift, max(CASE WHEN trend_type IN ('F-2', 'O-2', 'F-1') THEN 1 ELSE 0 END) AS volatile, max(CASE WHEN trend_type IN ('O-3', 'F-3', 'O-4') THEN 1 ELSE 0 END) AS unsure FROM {outcomes} CROSS JOIN (SELECT max(l_shipdate) - INTERVAL '90' DAY AS since FROM {lineitem}) WHERE closed_at >= since GROUP BY competition, match_id)
+SELECT competition, CAST(count(*) AS BIGINT) AS matches, CAST(sum(shift) AS BIGINT) AS shift_matches, CAST(sum(volatile) AS BIGINT) AS volatile_matches, CAST(sum(unsure) AS BIGINT) AS unsure_matches, round(avg(CAST(shift AS DOUBLE)), 6) AS shift_rate, round(avg(CAST(volatile AS DOUBLE)), 6) AS volatile_rate, round(avg(CAST(unsure AS DOUBLE)), 6) AS unsure_rate FROM m GROUP BY competition""", """
+WITH t AS (SELECT * FROM {outcomes} WHERE closed_at >= (SELECT max(l_shipdate) FROM {lineitem}) - INTERVAL '90' DAY),
+c AS (SELECT competition, count(DISTINCT match_id) AS matches, count(DISTINCT match_id) FILTER (WHERE trend_type IN ('O-1', 'F-1', 'O-2')) AS a, count(DISTINCT match_id) FILTER (WHERE trend_type IN ('F-2', 'O-2', 'F-1')) AS b, count(DISTINCT match_id) FILTER (WHERE trend_type IN ('O-3', 'F-3', 'O-4')) AS c FROM t GROUP BY competition)
+SELECT competition, matches, a AS shift_matches, b AS volatile_matches, c AS unsure_matches, round(a / matches, 6) AS shift_rate, round(b / matches, 6) AS volatile_rate, round(c / matches, 6) AS unsure_rate FROM c""")
 
 sql_query("agg_reputation", "O-94: sum of a ledger, clamped to 0..100, and its tier.", """
 WITH s AS (SELECT o_custkey, greatest(CAST(0 AS BIGINT), least(CAST(100 AS BIGINT), CAST(50 + sum(CASE o_orderstatus WHEN 'F' THEN 6 WHEN 'O' THEN 1 ELSE -4 END) AS BIGINT))) AS reputation FROM {orders} GROUP BY o_custkey)

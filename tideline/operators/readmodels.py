@@ -24,10 +24,21 @@ a AS (SELECT 0 AS section, id, created_at FROM posts WHERE author_id % 4 = 0 AND
 u AS (SELECT 1 AS section, id, created_at FROM posts WHERE author_id % 4 <> 0 AND author_id IN (SELECT target FROM follows) AND NOT EXISTS (SELECT 1 FROM muted WHERE muted.target = author_id)),
 pub AS (SELECT 2 AS section, id, created_at FROM posts WHERE kind = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM a WHERE a.id = posts.id) AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = posts.id) AND NOT EXISTS (SELECT 1 FROM muted WHERE muted.target = author_id))
 SELECT section, id FROM (SELECT *, row_number() OVER (ORDER BY section, created_at DESC, id) AS rk FROM (SELECT * FROM a UNION ALL SELECT * FROM u UNION ALL SELECT * FROM pub)) WHERE rk <= 500""")
-sql_query("read_reciprocal_rank", "O-131: rankings of categories merged by reciprocal rank, category order and id. Only rows that can be among the merged 60 are ranked, so no task sorts a whole category.", """
-WITH c AS (SELECT c_custkey AS id, c_acctbal AS v FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 60), a AS (SELECT s_suppkey AS id, s_acctbal AS v FROM {supplier} ORDER BY s_acctbal DESC, s_suppkey LIMIT 60), p AS (SELECT p_partkey AS id, p_retailprice AS v FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 60),
-r AS (SELECT 0 AS pri, 'user' AS category, id, row_number() OVER (ORDER BY v DESC, id) AS pos FROM c UNION ALL SELECT 1, 'agent', id, row_number() OVER (ORDER BY v DESC, id) FROM a UNION ALL SELECT 2, 'part', id, row_number() OVER (ORDER BY v DESC, id) FROM p)
-SELECT category, id, round(1 / (1e0 + pos), 9) AS score FROM r ORDER BY 1 / (1e0 + pos) DESC, pri, id LIMIT 60""")
+#: Categories by priority: name, table, id, measure.
+CATEGORIES = (
+    ("user", "customer", "c_custkey", "c_acctbal"),
+    ("agent", "supplier", "s_suppkey", "s_acctbal"),
+    ("part", "part", "p_partkey", "p_retailprice"),
+    ("post", "orders", "o_orderkey", "o_totalprice"),
+    ("community", "nation", "n_nationkey", "n_regionkey"),
+    ("event", "events", "event_id", "value"),
+)
+_TOPS = ", ".join(f"{c} AS (SELECT {i} AS id, {v} AS v FROM {{{t}}} ORDER BY {v} DESC, {i} LIMIT 60)" for c, t, i, v in CATEGORIES)
+_RANKED = " UNION ALL ".join(f"SELECT {n} AS pri, '{c}' AS category, id, row_number() OVER (ORDER BY v DESC, id) AS pos FROM {c}" for n, (c, *_) in enumerate(CATEGORIES))
+_ALL = " UNION ALL ".join(f"SELECT {n} AS pri, '{c}' AS category, {i} AS id, row_number() OVER (ORDER BY {v} DESC, {i}) AS pos FROM {{{t}}}" for n, (c, t, i, v) in enumerate(CATEGORIES))
+sql_query("read_reciprocal_rank", "O-131: six rankings merged by reciprocal rank, category order and id. Only rows that can be among the merged 60 are ranked, so no task sorts a whole category.",
+    f"WITH {_TOPS}, r AS ({_RANKED}) SELECT category, id, round(1 / (1e0 + pos), 9) AS score FROM r ORDER BY 1 / (1e0 + pos) DESC, pri, id LIMIT 60",
+    f"SELECT category, id, round(1 / (1e0 + pos), 9) AS score FROM ({_ALL}) ORDER BY pos, pri, id LIMIT 60")
 sql_query("read_topk_both_ends", "O-119: the eight strongest and weakest of each group.", """
 WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS top, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS low FROM {events})
 SELECT event_type, event_id, value, CASE WHEN top <= 8 THEN 'strong' ELSE 'weak' END AS side FROM r WHERE top <= 8 OR low <= 8""")

@@ -23,21 +23,27 @@ K = 10
 BLOCK = 4096
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """(q, vec_id, sim): the k nearest other vectors of each query; ties go to the lower id. Null vectors match nothing."""
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K, block: int = BLOCK, same: str | None = None, prior: str | None = None) -> DataFrame:
+    """(q, vec_id, sim): the k nearest other vectors of each query; ties go to the lower id. Null vectors match nothing.
+
+    ``same`` names a column in which a neighbour has to equal its query (O-41; a query without a value takes any), ``prior``
+    one in which it has to be strictly less (O-188). Both are gates before the k best are taken.
+    """
     spark = corpus.sparkSession
+    gates = [c for c in (same, prior) if c is not None]
     n = queries.count()
     parts = []
     for b in range(max(1, -(-n // block))):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))) == b).select("vec_id", "embedding").collect()
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))) == b).select("vec_id", "embedding", *[c for c in dict.fromkeys(gates) if c != "vec_id"]).collect()
         if not rows:
             continue
         q = np.array([r.embedding for r in rows], np.float64)
         norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), q / np.where(norm > 0, norm, 1)))
+        wanted = {c: np.array([r[c] for r in rows], object) for c in gates}
+        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), q / np.where(norm > 0, norm, 1), wanted))
 
         def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            ids, q = shared.value
+            ids, q, wanted = shared.value
             best: pd.DataFrame | None = None
             for pdf in batches:
                 pdf = pdf[pdf.embedding.notna()]
@@ -46,17 +52,23 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K, block: int =
                 x = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
                 x /= np.where((s := np.linalg.norm(x, axis=1, keepdims=True)) > 0, s, 1)
                 sim = np.round(q @ x.T, 9)
+                if same is not None:
+                    unasked = np.array([w is None for w in wanted[same]])
+                    sim[(wanted[same][:, None] != pdf[same].to_numpy(object)[None, :]) & ~unasked[:, None]] = -np.inf
+                if prior is not None:
+                    at = pd.to_numeric(pdf[prior]).to_numpy(np.float64)
+                    sim[~(at[None, :] < wanted[prior].astype(np.float64)[:, None])] = -np.inf  # unknown times are not prior
                 own = pdf.vec_id.to_numpy()
                 order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, : k + 1]
                 i = np.repeat(np.arange(len(ids)), order.shape[1])
                 new = pd.DataFrame({"q": ids[i], "vec_id": own[order.ravel()], "sim": sim[i, order.ravel()]})
-                new = new[new.q != new.vec_id]
+                new = new[(new.q != new.vec_id) & (new.sim > -np.inf)]
                 best = new if best is None else pd.concat([best, new])
                 best = best.sort_values(["q", "sim", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
             if best is not None:
                 yield best
 
-        parts.append(corpus.select("vec_id", "embedding").mapInPandas(near, "q long, vec_id long, sim double"))
+        parts.append(corpus.select("vec_id", "embedding", *[c for c in dict.fromkeys(gates) if c != "vec_id"]).mapInPandas(near, "q long, vec_id long, sim double"))
     if not parts:
         return spark.createDataFrame([], "q long, vec_id long, sim double")
     found = parts[0]
@@ -103,6 +115,46 @@ def knn_compatible_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("q").agg(F.count(F.when(F.col("label") == F.col("wanted"), 1)).alias("same"), F.count_distinct("label").alias("labels"))
 
 
+@query("knn_neighbour_outcomes", _NEAR + " SELECT q, label, CAST(count(*) AS BIGINT) AS n, round(min(sim), 6) AS low, round(avg(sim), 6) AS mean, round(max(sim), 6) AS high FROM t GROUP BY q, label")
+def knn_neighbour_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-98, O-99: outcome counts and the spread of similarity over the neighbours of each query."""
+    q, v = _queries(spark, sf_dir)
+    t = cosine_topk(q, v).join(v.select("vec_id", "label"), "vec_id")
+    return t.groupBy("q", "label").agg(F.count("*").alias("n"), F.round(F.min("sim"), 6).alias("low"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.max("sim"), 6).alias("high"))
+
+
+@query("knn_prior_insight", """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT q.vec_id AS q, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM v q JOIN v ON v.vec_id < q.vec_id AND v.label = q.label WHERE q.vec_id % 100 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rk FROM p) WHERE rk <= 25)
+SELECT q, CAST(count(*) AS BIGINT) AS n, round(max(sim), 6) AS best, round(avg(sim), 6) AS mean FROM t WHERE sim >= 0.72 GROUP BY q""")
+def knn_prior_insight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-188, O-41: the 25 nearest strictly earlier vectors of the query's own kind (ids grow with time), those of 0.72 or more."""
+    q, v = _queries(spark, sf_dir)
+    t = cosine_topk(q, v, 25, same="label", prior="vec_id").where("sim >= 0.72")
+    return t.groupBy("q").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"), F.round(F.avg("sim"), 6).alias("mean"))
+
+
+def similarity_trends(t: DataFrame, least: float = 0.72, n: int = 1, agreement: float = 0.40, pattern_n: int = 5, pattern_agreement: float = 0.60) -> DataFrame:
+    """O-172: (q, trend) of neighbours (q, outcome, sim): the best is near enough, and so many share the commonest outcome."""
+    c = t.groupBy("q", "outcome").agg(F.count("*").alias("c"), F.max("sim").alias("best"))
+    a = c.groupBy("q").agg(F.sum("c").alias("n"), F.max("best").alias("best"), F.max("c").alias("most")).withColumn("agreement", F.col("most") / F.col("n"))
+    near = (F.col("best") >= least) & (F.col("n") >= n) & (F.col("agreement") >= agreement)
+    pattern = near & (F.col("n") >= pattern_n) & (F.col("agreement") >= pattern_agreement)
+    names = F.array_compact(F.array(F.when(near, "historical_similarity"), F.when(pattern, "historical_pattern")))
+    return a.select("q", F.explode(names).alias("trend"), "n", F.round("agreement", 6).alias("agreement"))
+
+
+@query("knn_similarity_trends", _NEAR + """,
+c AS (SELECT q, CAST(vec_id % 3 AS BIGINT) AS outcome, count(*) AS c, max(sim) AS best FROM t GROUP BY 1, 2), a AS (SELECT q, sum(c) AS n, max(best) AS best, max(c) / sum(c) AS agreement FROM c GROUP BY q)
+SELECT q, 'historical_similarity' AS trend, CAST(n AS BIGINT) AS n, round(agreement, 6) AS agreement FROM a WHERE best >= 0.2 AND agreement >= 0.4
+UNION ALL SELECT q, 'historical_pattern', CAST(n AS BIGINT), round(agreement, 6) FROM a WHERE best >= 0.2 AND agreement >= 0.6 AND n >= 5""")
+def knn_similarity_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-172: trends of the neighbours' outcomes; the table's vectors are less alike than a history's, so the threshold is 0.2 here."""
+    t = cosine_topk(*_queries(spark, sf_dir)).withColumn("outcome", F.col("vec_id") % 3)
+    return similarity_trends(t, least=0.2)
+
+
 @query("knn_profile_similarity", """
 WITH s AS (SELECT l_suppkey, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_quantity) / 50 AS q, CAST(l_suppkey % 5 AS INT) AS c FROM lineitem GROUP BY l_suppkey),
 p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, 0.5 * (1 - abs(a.d - b.d)) + 0.3 * (1 - abs(a.t - b.t)) + 0.2 * (1 - abs(a.q - b.q)) + CASE WHEN a.c = b.c THEN 0.05 ELSE -0.08 END AS s FROM s a JOIN s b ON b.l_suppkey <> a.l_suppkey WHERE a.l_suppkey % 100 = 0)
@@ -111,10 +163,31 @@ def knn_profile_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-190: weighted closeness of profiles, a bonus for the same competition and a malus otherwise, above a threshold."""
     s = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), (F.avg("l_quantity") / 50).alias("q"))
     s = s.withColumn("c", (F.col("l_suppkey") % 5).cast("int"))
-    q = s.where("l_suppkey % 100 = 0").select(F.col("l_suppkey").alias("a"), *[F.col(c).alias(f"{c}0") for c in "dtqc"])
-    close = lambda c: 1 - F.abs(F.col(f"{c}0") - F.col(c))
-    score = 0.5 * close("d") + 0.3 * close("t") + 0.2 * close("q") + F.when(F.col("c") == F.col("c0"), 0.05).otherwise(-0.08)
-    return q.join(s.withColumnRenamed("l_suppkey", "b"), F.col("a") != F.col("b")).withColumn("s", score).where("s >= 0.97").select("a", "b", F.round("s", 6).alias("similarity"))
+    return profile_pairs(s.where("l_suppkey % 100 = 0"), s, 0.97)
+
+
+def profile_pairs(queries: DataFrame, profiles: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs above ``least``; the query set goes out in blocks of bounded size, each of which meets every profile in one pass."""
+    n = max(1, -(-queries.count() // block))
+    measures, weights = ["d", "t", "q"], np.array([0.5, 0.3, 0.2])
+    out = None
+    for b in range(n):
+        rows = queries.where(F.pmod(F.xxhash64("l_suppkey"), F.lit(n)) == b).select("l_suppkey", *measures, "c").collect()
+        shared = profiles.sparkSession.sparkContext.broadcast((np.array([r.l_suppkey for r in rows], np.int64), np.array([[r[m] for m in measures] for r in rows], np.float64).reshape(-1, 3), np.array([r.c for r in rows], np.float64)))
+
+        def meet(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            ids, x, c = shared.value
+            for pdf in batches:
+                own, y, kind = pdf.l_suppkey.to_numpy(), pdf[measures].to_numpy(np.float64), pdf.c.to_numpy()
+                score = np.where(c[:, None] == kind[None, :], 0.05, -0.08)
+                for j, w in enumerate(weights):
+                    score = score + w * (1 - np.abs(x[:, None, j] - y[None, :, j]))
+                i, k = np.nonzero((score >= least) & (ids[:, None] != own[None, :]))
+                yield pd.DataFrame({"a": ids[i], "b": own[k], "similarity": score[i, k].round(6)})
+
+        met = profiles.mapInPandas(meet, "a long, b long, similarity double")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 sql_query("knn_encoder", "O-189: deterministic unit vector of a match's measures, at least three of them known.", """
