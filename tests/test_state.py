@@ -165,3 +165,53 @@ def test_guard_and_policy(spark):
     assert guard_columns(df) is df
     with pytest.raises(ValueError):
         guard_columns(df.select(F.struct(F.lit(1).alias("predicted_goals")).alias("s")))
+
+
+def test_retries_then_dead_letters():
+    from tideline.streaming.queries import retrying
+
+    tries, waits, dead = [], [], []
+
+    def write(rows, path):
+        tries.append(path)
+        if len(tries) < 4:
+            raise OSError("away")
+
+    retrying(write, sleep=waits.append)(None, "p")
+    assert len(tries) == 4 and waits == [1, 3, 10]
+    broken = retrying(lambda rows, path: 1 / 0, lambda rows, path, fault: dead.append(fault), sleep=waits.append)
+    broken(None, "p")
+    assert len(dead) == 1 and waits == [1, 3, 10, 1, 3, 10, 30]
+    with pytest.raises(ZeroDivisionError):
+        retrying(lambda rows, path: 1 / 0, delays=(0, 0), sleep=waits.append)(None, "p")
+
+
+def test_update_mode_over_many_triggers(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tideline.streaming.queries import stream, updated
+
+    for i in range(4):
+        load(spark, sf, "events").where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    s = stream(spark, str(tmp_path), files=1).groupBy("event_type").agg(F.count("*").alias("n"))
+    want = {tuple(r) for r in load(spark, sf, "events").groupBy("event_type").count().collect()}
+    assert {tuple(r) for r in updated(s, ["event_type"]).collect()} == want
+
+
+def test_jsonl_names_the_line(spark, tmp_path):
+    from tideline.sources.lake import jsonl
+
+    path = tmp_path / "rows.jsonl"
+    path.write_text('{"a": 1}\n\n{"a": 2}\n{"a": oops}\n{"a": 3}\n')
+    with pytest.raises(ValueError, match="line 4 "):
+        jsonl(spark, str(path), "a long")
+    path.write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r.a for r in jsonl(spark, str(path), "a long").collect()) == [1, 2]
+
+
+def test_gated_neighbours(spark):
+    rows = [(i, [float(i % 3), 1.0], "a" if i % 2 else "b") for i in range(20)] + [(50, [1.0, 1.0], None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = cosine_topk(v.where("vec_id in (9, 50)"), v, 30, same="label", prior="vec_id").collect()
+    assert {r.vec_id for r in got if r.q == 9} == {1, 3, 5, 7}
+    assert {r.vec_id for r in got if r.q == 50} == set(range(20))

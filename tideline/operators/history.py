@@ -99,7 +99,7 @@ def _loss(t: object) -> str:
 
 sql_query("hist_temperature", "O-233: the temperature from 0.5 to 3 that gives forecasts the least log loss; the losses of all are worked out in one pass.", f"""
 WITH f AS (SELECT {", ".join(f"{_loss(f'{t}e0')} AS x{i}" for i, t in enumerate(_TEMPERATURES))} FROM {_FORECASTS}),
-l AS ({" UNION ALL ".join(f"SELECT {t}e0 AS temperature, round(x{i}, 8) AS loss FROM f" for i, t in enumerate(_TEMPERATURES))})
-SELECT temperature, round(loss, 6) AS loss FROM l ORDER BY loss, temperature LIMIT 1""", f"""
+l AS (SELECT stack(26, {", ".join(f"{t}e0, x{i}" for i, t in enumerate(_TEMPERATURES))}) AS (temperature, loss) FROM f)
+SELECT temperature, round(loss, 6) AS loss FROM l ORDER BY round(loss, 8), temperature LIMIT 1""", f"""
 WITH t AS (SELECT 0.5e0 + 0.1e0 * unnest(range(26)) AS temperature), l AS (SELECT temperature, {_loss("temperature")} AS loss FROM {_FORECASTS} CROSS JOIN t GROUP BY temperature)
 SELECT round(temperature, 1) AS temperature, round(loss, 6) AS loss FROM l ORDER BY round(loss, 8), temperature LIMIT 1""")

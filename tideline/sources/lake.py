@@ -41,12 +41,28 @@ class Lake:
             df = df.where(F.col(k) == v)
         return df
 
+    #: Up to so many partitions a batch names the directories that are looked through; with more, all are.
+    NAMED = 1000
+
     def append(self, layer: str, records: DataFrame, schema: T.StructType | str | None = None) -> None:
-        """O-11, O-12: rows whose checksum is not there yet are added, under their partition's directory."""
+        """O-11: rows whose checksum is not there yet are added, under their partition's directory; others are not read."""
+        self._append(layer, records, schema, [k for k in self.KEYS if k in records.columns])
+
+    def append_signals(self, layer: str, records: DataFrame, at: str, schema: T.StructType | str | None = None) -> None:
+        """O-12: rows added under their source and the UTC day of ``at``; a null time has a directory of its own."""
+        day = F.date_format(F.to_utc_timestamp(F.col(at).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd")
+        self._append(layer, records.withColumn("day", day), schema, ["source", "day"])
+
+    def _append(self, layer: str, records: DataFrame, schema: T.StructType | str | None, keys: list[str]) -> None:
         fresh = records.dropDuplicates(["checksum"])
         if schema is not None:
-            fresh = fresh.join(self.read(layer, schema).select("checksum"), "checksum", "left_anti")
-        fresh.write.mode("append").partitionBy(*[k for k in self.KEYS if k in records.columns]).format(self.fmt).save(self.path(layer))
+            there = self.read(layer, schema)
+            parts = records.select(*keys).distinct().limit(self.NAMED + 1).collect() if keys else []
+            if len(parts) <= self.NAMED:
+                for k in keys:
+                    there = there.where(F.col(k).isNull() | F.col(k).isin(*{r[k] for r in parts if r[k] is not None}))
+            fresh = fresh.join(there.select("checksum"), "checksum", "left_anti")
+        fresh.write.mode("append").partitionBy(*keys).format(self.fmt).save(self.path(layer))
 
     def report(self, name: str, rows: DataFrame) -> str:
         """O-13: a report of its own."""
@@ -64,6 +80,18 @@ def dataset(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return (reader.schema(schema) if schema is not None else reader).format(fmt).load(path)
 
 
+def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """O-16: rows of JSON lines; ValueError names the file and the line of the first malformed one. Empty lines are passed over."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    full = F.trim("value") != ""
+    parsed = F.from_json("value", f"{schema}, _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    bad = lines.where(full & parsed["_malformed"].isNotNull()).orderBy("file", "start", "at").first()
+    if bad is not None:
+        before = (F.col("start") < bad.start) | ((F.col("start") == bad.start) & (F.col("at") <= bad["at"]))
+        raise ValueError(f"{bad.file}: line {lines.where((F.col('file') == bad.file) & before).count()} is malformed")
+    return lines.where(full).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def decode(rows: DataFrame, raw: str, versions: tuple[str, ...] = ("v1",), most_bytes: int = 200_000) -> DataFrame:
     """O-3, O-4, O-9: envelopes from JSON text with ``reason`` null for good ones, else the first fault."""
     parsed = rows.withColumn("e", F.from_json(raw, ENVELOPE, {"mode": "PERMISSIVE", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}))
@@ -134,6 +162,26 @@ def lake_append_replay_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read("raw", schema, season="2024").groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("lake_training_rows", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY event_type")
+def lake_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-16: training rows written as JSON lines and loaded again."""
+    path = _scratch(spark)
+    load(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")).write.text(path)
+    return jsonl(spark, path, "event_id long, event_type string, value double").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("lake_signal_days", "SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def lake_signal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-12: signals under their source and UTC day; an append that overlaps another reads only the days it has."""
+    schema = "checksum string, event_id long, at timestamp, source string, day string"
+    rows = load(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("at"))
+    rows = rows.withColumn("checksum", checksum("event_id", "source"))
+    lake = Lake(spark, _scratch(spark), "parquet")
+    lake.append_signals("raw", rows.where("event_id % 3 > 0"), "at")
+    lake.append_signals("raw", rows.where("event_id % 3 < 2"), "at", schema)
+    return lake.read("raw", schema).groupBy("source", "day").agg(F.count("*").alias("n"))
+
+
 @query("lake_dataset_formats", "SELECT f AS fmt, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation CROSS JOIN (SELECT unnest(['csv', 'json', 'parquet']) AS f) GROUP BY f")
 def lake_dataset_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-13, O-14, O-15: one table through every format."""

@@ -2,18 +2,22 @@
 
 Each query reads the event table as a stream, runs what is there (``availableNow``) and returns what the sink holds.
 Sinks are Parquet folders written per micro-batch into a path named after the batch, so a batch that is replayed after a
-failure overwrites itself: with the checkpoint this gives every row once (O-2, O-223). Results equal the batch queries.
+failure overwrites itself: with the checkpoint this gives every row once (O-2, O-223). Aggregates run in update mode: a
+trigger writes the groups it changed, the watermark lets old windows go, and readers take a key's newest row. Sessions
+have no update mode and are written whole. Results equal the batch queries.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators.state import change_gate, cooldown
@@ -42,7 +46,7 @@ def drain(df: DataFrame, mode: str = "append", write: Callable[[DataFrame, str],
     """O-6: runs a stream to its present end; the folder its batches were written to."""
     folder = _folder(df.sparkSession)
     write = write or (lambda rows, path: rows.write.mode("overwrite").parquet(path))
-    keep = (lambda i: f"{folder}/out/batch={i}") if mode == "append" else (lambda _: f"{folder}/out/batch=0")
+    keep = (lambda _: f"{folder}/out/batch=0") if mode == "complete" else (lambda i: f"{folder}/out/batch={i}")
     q = df.writeStream.outputMode(mode).foreachBatch(lambda rows, i: write(rows, keep(i))).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return f"{folder}/out"
@@ -54,12 +58,66 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
+def _newest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The last written row of each key of a folder of micro-batches."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_newest")).select(*keys, "_newest.*")
+
+
+def updated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """O-19: an aggregate in update mode, each trigger's changed groups in a folder of their own; the newest row of each key."""
+    return _newest(df.sparkSession, drain(df, "update"), df.schema, keys)
+
+
+def retrying(write: Callable[[DataFrame, str], None], dead: Callable[[DataFrame, str, Exception], None] | None = None, delays: tuple[float, ...] = (1, 3, 10, 30, 120), sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, str], None]:
+    """O-223: a sink that tries a micro-batch once per delay, waiting in between, and then hands it to ``dead`` or fails.
+
+    A batch that fails is not committed, so the stream's next start delivers it again.
+    """
+
+    def run(rows: DataFrame, path: str) -> None:
+        for attempt, delay in enumerate(delays, 1):
+            try:
+                return write(rows, path)
+            except Exception as fault:
+                if attempt < len(delays):
+                    sleep(delay)
+                elif dead is None:
+                    raise
+                else:
+                    dead(rows, path, fault)
+        return None
+
+    return run
+
+
 @query("stream_tumbling_counts", "SELECT event_type, date_trunc('hour', ts) AS hour, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-218, O-224, O-225: counts by tumbling hours of event time, with a watermark."""
+    """O-218, O-225: counts by tumbling hours of event time, with a watermark."""
     s = stream(spark, sf_dir).withWatermark("at", LATE)
     c = s.groupBy("event_type", F.window("at", "1 hour")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return drained(c, "complete").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total"))
+    return updated(c, ["event_type", "window"]).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total"))
+
+
+def lag_seconds(ingest: Column, now: Column) -> Column:
+    """O-224: seconds from the ingest time (ISO text, to the second) until ``now``, not below 0; null if it is no time."""
+    at = F.try_to_timestamp(F.substring(ingest, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    lag = F.unix_micros(now) / 1e6 - F.unix_micros(at) / 1e6
+    return F.when(lag > 0, lag).when(lag <= 0, 0.0)
+
+
+@query("stream_lag", """
+WITH l AS (SELECT event_type, CASE WHEN event_id % 50 <> 7 THEN greatest(0e0, (epoch_us(ts) + (event_id % 300 - 10) * 1000000 - epoch_us(date_trunc('second', ts))) / 1e6) END AS lag FROM events)
+SELECT event_type, CAST(count(lag) AS BIGINT) AS n, round(avg(lag), 3) AS mean, round(max(lag), 3) AS most, CAST(count(*) FILTER (WHERE lag > 60) AS BIGINT) AS over_a_minute FROM l GROUP BY event_type""")
+def stream_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-224: end-to-end lag per type; broken ingest times do not count. The clock is simulated from the id."""
+    s = stream(spark, sf_dir)
+    ingest = F.when(F.col("event_id") % 50 != 7, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("n/a")
+    now = F.timestamp_micros(F.unix_micros("at") + (F.col("event_id") % 300 - 10) * 1_000_000)
+    lag = s.select("event_type", lag_seconds(ingest, now).alias("lag"))
+    c = lag.groupBy("event_type").agg(F.count("lag").alias("n"), F.sum("lag").alias("total"), F.max("lag").alias("most"), F.count(F.when(F.col("lag") > 60, 1)).alias("over_a_minute"))
+    return updated(c, ["event_type"]).select("event_type", "n", F.round(F.col("total") / F.col("n"), 3).alias("mean"), F.round("most", 3).alias("most"), "over_a_minute")
 
 
 @query("stream_sliding_counts", "SELECT event_type, w AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS w FROM events) GROUP BY 1, 2")
@@ -67,7 +125,7 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-209, O-222: counts in windows of a day that begin every half day."""
     s = stream(spark, sf_dir).withWatermark("at", LATE)
     c = s.groupBy("event_type", F.window("at", "24 hours", "12 hours")).count()
-    return drained(c, "complete").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
+    return updated(c, ["event_type", "window"]).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
 
 
 @query("stream_story_sessions", """
@@ -125,9 +183,15 @@ def stream_change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_replacing_latest", "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
 def stream_replacing_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-17, O-19: the latest version of each key as a running aggregation."""
-    c = stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value"), F.struct("at", "event_id")).alias("r"))
-    return drained(c, "complete").select("user_id", "event_type", "r.event_id", "r.value")
+    """O-17, O-19: the latest version of each key: each micro-batch is reduced to one row a key, and readers merge them. No state."""
+    keys, newest = ["user_id", "event_type"], F.max_by(F.struct("at", "event_id", "value"), F.struct("at", "event_id")).alias("r")
+
+    def write(rows: DataFrame, path: str) -> None:
+        rows.groupBy(*keys).agg(newest).select(*keys, "r.*").write.mode("overwrite").parquet(path)
+
+    s = stream(spark, sf_dir).select(*keys, "at", "event_id", "value")
+    rows = spark.read.schema(s.schema).parquet(f"{drain(s, write=retrying(write))}/batch=*")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "r.event_id", "r.value")
 
 
 @query("stream_decode_sink", "SELECT 'good' AS kind, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 90 <> 3 UNION ALL SELECT 'undecodable', count(*) FROM events WHERE event_id % 90 = 3")
@@ -143,7 +207,7 @@ def stream_decode_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad.write.mode("overwrite").parquet(path.replace("/out/", "/bad/"))
         rows.unpersist()
 
-    folder = os.path.dirname(drain(raw, write=write))
+    folder = os.path.dirname(drain(raw, write=retrying(write)))
     good = spark.read.schema("event_id long").parquet(f"{folder}/good/batch=*").select(F.lit("good").alias("kind"))
     bad = spark.read.schema("reason string").parquet(f"{folder}/bad/batch=*").select(F.col("reason").alias("kind"))
     return good.unionByName(bad).groupBy("kind").agg(F.count("*").alias("n"))
