@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import bounded, durable
 from tideline.llm.graph import components
-from tideline.llm.simhash import fingerprints, links, shingle_hashes
+from tideline.llm.simhash import links, of_hashes, shingle_hashes
 
 SIZE = 5
 LEAST = 0.8
@@ -75,11 +75,17 @@ def _mark(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column(2).to_pylist()
             nodes, keys = [], []
-            for t in texts:
-                u = np.unique(np.array(shingle_hashes(t or b"", SIZE), np.uint64))
-                nodes.append(xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63))
-                keys.append(bands(u))
-            cols = [b.column(0), b.column(1), pa.array(fingerprints(texts, SIZE)), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+
+            def hashes(texts=texts, nodes=nodes, keys=keys) -> Iterator[np.ndarray]:  # noqa: ANN001
+                for t in texts:
+                    h = np.array(shingle_hashes(t or b"", SIZE), np.uint64)
+                    u = np.unique(h)
+                    nodes.append(xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63))
+                    keys.append(bands(u))
+                    yield h
+
+            fps = of_hashes(hashes(), len(texts))
+            cols = [b.column(0), b.column(1), pa.array(fps), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "fp", "node", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))

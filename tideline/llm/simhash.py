@@ -20,7 +20,7 @@ fingerprint and the least non-null doc_id of its component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -80,26 +80,33 @@ def shingle_hashes(data: bytes, size: int = SHINGLE) -> list[int]:
 
 def fingerprints(texts: list[bytes | None], size: int = SHINGLE, batch: int = 1 << 16) -> np.ndarray:
     """Signed 64-bit fingerprints; a text of any length is summed up in pieces of ``batch`` hashes."""
-    sums, n = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    return of_hashes((np.array(shingle_hashes(t, size) if t else [], np.uint64) for t in texts), len(texts), batch)
+
+
+def of_hashes(hashes: Iterable[np.ndarray], count: int, batch: int = 1 << 16) -> np.ndarray:
+    """Signed 64-bit fingerprints of the shingle hashes of ``count`` texts, one array a text."""
+    sums, n = np.zeros((count, 64), np.int64), np.zeros(count, np.int64)
     who: list[int] = []
     starts: list[int] = []
-    hashes: list[int] = []
+    parts: list[np.ndarray] = []
+    held = 0
 
     def add() -> None:
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        if parts:
+            bits = np.unpackbits(np.concatenate(parts).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             np.add.at(sums, who, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
-            who.clear(), starts.clear(), hashes.clear()
+            who.clear(), starts.clear(), parts.clear()
 
-    for k, data in enumerate(texts):
-        got = shingle_hashes(data, size) if data else []
+    for k, got in enumerate(hashes):
         n[k] = len(got)
         for p in range(0, len(got), batch):
             who.append(k)
-            starts.append(len(hashes))
-            hashes.extend(got[p : p + batch])
-            if len(hashes) >= batch:
+            starts.append(held)
+            parts.append(got[p : p + batch])
+            held += len(parts[-1])
+            if held >= batch:
                 add()
+                held = 0
     add()
     set_ = (sums * 2 > n[:, None]).astype(np.uint8)
     return np.packbits(set_, axis=1, bitorder="little").view(np.int64).ravel()
