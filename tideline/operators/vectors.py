@@ -127,12 +127,12 @@ def knn_neighbour_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT q.vec_id AS q, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM v q JOIN v ON v.vec_id < q.vec_id AND v.label = q.label WHERE q.vec_id % 100 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rk FROM p) WHERE rk <= 25)
-SELECT q, CAST(count(*) AS BIGINT) AS n, round(max(sim), 6) AS best, round(avg(sim), 6) AS mean FROM t WHERE sim >= 0.72 GROUP BY q""")
+SELECT q, CAST(count(*) AS BIGINT) AS prior, CAST(count(*) FILTER (WHERE sim >= 0.72) AS BIGINT) AS n, round(max(sim), 6) AS best, round(avg(sim), 6) AS mean FROM t GROUP BY q""")
 def knn_prior_insight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-188, O-41: the 25 nearest strictly earlier vectors of the query's own kind (ids grow with time), those of 0.72 or more."""
+    """O-188, O-41: the 25 nearest strictly earlier vectors of the query's own kind (ids grow with time); ``n`` of them have 0.72 or more."""
     q, v = _queries(spark, sf_dir)
-    t = cosine_topk(q, v, 25, same="label", prior="vec_id").where("sim >= 0.72")
-    return t.groupBy("q").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"), F.round(F.avg("sim"), 6).alias("mean"))
+    t = cosine_topk(q, v, 25, same="label", prior="vec_id")
+    return t.groupBy("q").agg(F.count("*").alias("prior"), F.count(F.when(F.col("sim") >= 0.72, 1)).alias("n"), F.round(F.max("sim"), 6).alias("best"), F.round(F.avg("sim"), 6).alias("mean"))
 
 
 def similarity_trends(t: DataFrame, least: float = 0.72, n: int = 1, agreement: float = 0.40, pattern_n: int = 5, pattern_agreement: float = 0.60) -> DataFrame:
