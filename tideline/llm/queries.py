@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from tideline.llm.decontaminate import op8_decontaminate
+from tideline.llm.divergence import OP11_SQL, op11_source_divergence
+from tideline.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from tideline.llm.fingerprint import op6_fingerprint
+from tideline.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from tideline.llm.language_id import op4_language_id
 from tideline.llm.licenses import op3_license_scan
 from tideline.llm.packing import op9_best_fit_packing
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 #: Windows as joined strings and an equi-join, in place of the automaton.
@@ -39,4 +45,7 @@ p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(ra
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op11_source_divergence": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
