@@ -36,7 +36,7 @@ BUCKETS = 1 << 16
 #: Bits of the key that the directory looks at: 2 ** DEPTH slots of 16 bytes at most.
 DEPTH = 20
 #: Bytes of texts that are filed together before the shuffle.
-BUFFER = 24 << 20
+BUFFER = 8 << 20
 
 
 def normal(text: Column) -> Column:
