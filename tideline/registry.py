@@ -29,6 +29,7 @@ MODULES = (
     "tideline.operators.state",
     "tideline.operators.quality",
     "tideline.operators.extension",
+    "tideline.operators.signals",
     "tideline.functions.scalar",
     "tideline.sources.lake",
     "tideline.streaming.queries",
