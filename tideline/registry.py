@@ -30,6 +30,8 @@ MODULES = (
     "tideline.operators.quality",
     "tideline.operators.extension",
     "tideline.operators.signals",
+    "tideline.operators.versions",
+    "tideline.operators.reasoning",
     "tideline.functions.scalar",
     "tideline.sources.lake",
     "tideline.streaming.queries",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "tideline", **conf: str) -> SparkSession:
@@ -33,3 +34,10 @@ def shared_dir(spark: SparkSession, prefix: str) -> str:
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return root or tempfile.mkdtemp(prefix=prefix)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: what is used more than once is worked out once, and a lost executor costs no recomputation."""
+    path = os.path.join(shared_dir(df.sparkSession, "tideline-"), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
