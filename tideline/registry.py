@@ -32,6 +32,9 @@ MODULES = (
     "tideline.operators.signals",
     "tideline.operators.versions",
     "tideline.operators.reasoning",
+    "tideline.operators.clubs",
+    "tideline.operators.fulltext",
+    "tideline.operators.leagues",
     "tideline.functions.scalar",
     "tideline.sources.lake",
     "tideline.streaming.queries",
