@@ -35,9 +35,12 @@ MODULES = (
     "tideline.operators.clubs",
     "tideline.operators.fulltext",
     "tideline.operators.leagues",
+    "tideline.operators.cells",
+    "tideline.operators.replay",
     "tideline.functions.scalar",
     "tideline.sources.lake",
     "tideline.streaming.queries",
+    "tideline.streaming.publication",
     "tideline.plans.reports",
 )
 #: Subqueries that texts may name as ``{ticks}``: entities of the domain bound to the tables at hand.
