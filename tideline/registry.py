@@ -41,6 +41,7 @@ MODULES = (
     "tideline.sources.lake",
     "tideline.streaming.queries",
     "tideline.streaming.publication",
+    "tideline.streaming.lifecycle",
     "tideline.plans.reports",
 )
 #: Subqueries that texts may name as ``{ticks}``: entities of the domain bound to the tables at hand.
