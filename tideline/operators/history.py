@@ -65,8 +65,11 @@ _PLACE = " SELECT competition, season, kickoff_at, team, CAST(pts AS BIGINT) AS
 _CLIMB = " SELECT competition, season, kickoff_at, team, CAST(coalesce(lag(place) OVER (PARTITION BY competition, season, team ORDER BY kickoff_at) - place, 0) AS BIGINT) AS climbed FROM s1"
 sql_query("hist_standings", "O-108: the place of a side before each of its kickoffs, by points, goal difference and goals of the season so far.", STANDINGS + _PLACE, STANDINGS_ORACLE + _PLACE)
 sql_query("hist_rank_change", "O-109: change of place against the side's own kickoff before, within a season.", STANDINGS + _CLIMB, STANDINGS_ORACLE + _CLIMB)
-sql_query("hist_rest_days", "O-110: whole days since the team's match before, 14 without one, 30 at most.", SIDES + """
-SELECT uid, team, CAST(coalesce(least(30, floor(([[unix_micros(CAST(kickoff_at AS TIMESTAMP))||epoch_us(kickoff_at)]] - lag([[unix_micros(CAST(kickoff_at AS TIMESTAMP))||epoch_us(kickoff_at)]]) OVER (PARTITION BY team ORDER BY kickoff_at, uid)) / 86400e6)), 14) AS BIGINT) AS rest FROM p""")
+_US = "[[unix_micros(CAST({0} AS TIMESTAMP))||epoch_us({0})]]"
+sql_query("hist_rest_days", "O-110: whole days since the last match strictly before the kickoff, 14 without one, 30 at most.", SIDES + f"""
+SELECT uid, team, CAST(CASE WHEN max(kickoff_at) OVER w IS NULL THEN 14 ELSE least(30, floor(({_US.format('kickoff_at')} - {_US.format('max(kickoff_at) OVER w')}) / 86400e6)) END AS BIGINT) AS rest FROM p
+WINDOW w AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '1' SECOND PRECEDING)""", SIDES + """
+SELECT a.uid, a.team, CAST(CASE WHEN count(b.uid) = 0 THEN 14 ELSE least(30, floor((epoch_us(a.kickoff_at) - epoch_us(max(b.kickoff_at))) / 86400e6)) END AS BIGINT) AS rest FROM p a LEFT JOIN p b ON b.team = a.team AND b.kickoff_at < a.kickoff_at GROUP BY a.uid, a.team, a.kickoff_at""")
 _MATCH = """SELECT m.uid, round(h.form, 6) AS home_form, round(a.form, 6) AS away_form, round(h.attack - a.defence, 6) AS home_edge, round(a.attack - h.defence, 6) AS away_edge, CAST(least(h.played, a.played) AS BIGINT) AS known, CASE WHEN m.home_goals > m.away_goals THEN 'home' WHEN m.home_goals = m.away_goals THEN 'draw' ELSE 'away' END AS label
 FROM m JOIN f h ON h.uid = m.uid AND h.venue = 'home' JOIN f a ON a.uid = m.uid AND a.venue = 'away'"""
 sql_query("hist_projection", "O-198, in part: one row a match with both sides' frames before its kickoff and defaults; no features beyond these.", SIDES + f""",

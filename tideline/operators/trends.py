@@ -31,14 +31,14 @@ def branch(kind: str, where: str, direction: str, strength: str, confidence: str
 
 
 def detect(branches: list[tuple[str, ...]]) -> str:
-    """The frame ``d`` of what the detectors find: detectors of one source read it once, every row meeting each of them."""
+    """The frame ``d`` of what the detectors find: detectors of one source read it once, and a row is repeated only for those that fire."""
     parts = []
     for source in dict.fromkeys(b[5] for b in branches):
         own = [b for b in branches if b[5] == source]
-        kinds = ", ".join(f"'{b[0]}'" for b in own)
+        kinds = ", ".join(f"CASE WHEN {b[1]} THEN '{b[0]}' END" for b in own)
         pick = lambda i, own=own: "CASE kind " + " ".join(f"WHEN '{b[0]}' THEN {b[i]}" for b in own) + " END"
-        each = f"SELECT * FROM {source} [[LATERAL VIEW explode(array({kinds})) k0 AS kind||CROSS JOIN (SELECT unnest([{kinds}]) AS kind) k0]]"
-        parts.append(f"SELECT match_id, event_id, ts, kind AS trend_type, CAST({pick(2)} AS INT) AS direction, {pick(3)} AS strength, {pick(4)} AS confidence FROM ({each}) f WHERE {pick(1)}")
+        each = f"SELECT * FROM {source} [[LATERAL VIEW explode(array_compact(array({kinds}))) k0 AS kind||CROSS JOIN LATERAL (SELECT unnest(list_filter([{kinds}], lambda z: z IS NOT NULL)) AS kind) k0]]"
+        parts.append(f"SELECT match_id, event_id, ts, kind AS trend_type, CAST({pick(2)} AS INT) AS direction, {pick(3)} AS strength, {pick(4)} AS confidence FROM ({each}) f")
     return ",\nd AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
@@ -90,15 +90,20 @@ base AS (SELECT match_id, max(n) AS points, avg(CASE WHEN i < n THEN step END) A
 latest AS (SELECT match_id, book, max_by(p, (ts, event_id)) AS p, max(event_id) AS event_id, max(ts) AS ts FROM x GROUP BY match_id, book),
 med AS (SELECT match_id, median(p) AS m, max(p) - min(p) AS spread, CAST(count(*) AS INT) AS books, max(event_id) AS event_id, max(ts) AS ts FROM latest GROUP BY match_id),
 per AS (SELECT l.match_id, l.event_id, l.ts, l.p - m.m AS dev, m.books FROM latest l JOIN med m ON l.match_id = m.match_id)"""
-sql_query("trend_ninja", "O-158, O-159, O-160, O-161, O-171: shift, acceleration, disagreement, one row per anomalous book, deviation since the opening.", NINJA + finish([
+MARKET = [
     branch("market_shift", "abs(delta) >= 0.03", "sign(delta)", "abs(delta) / 0.15", "0.5 + 0.1 * 5", "base"),
     branch("market_acceleration", "points >= 4 AND last_step >= 0.02 AND last_step >= 2 * earlier", "sign(delta)", "last_step / (2 * earlier) / 3", "0.6", "base"),
     branch("market_disagreement", "books >= 2 AND spread >= 0.08", "0", "spread / 0.25", "0.6", "med"),
     branch("market_anomaly", "books >= 3 AND abs(dev) >= 0.10", "sign(dev)", "abs(dev) / 0.30", "0.5 + 0.1 * (books - 1)", "per"),
     branch("historical_deviation", "points >= 3 AND abs(since_open) >= 0.07", "sign(since_open)", "abs(since_open) / 0.25", "0.55 + 0.03 * points", "base"),
-]))
+]
+sql_query("trend_ninja", "O-158, O-159, O-160, O-161, O-171: shift, acceleration, disagreement, one row per anomalous book, deviation since the opening.", NINJA + finish(MARKET))
 
 DETECTED = WIDE + detect(INTELLIGENCE + PULSE + SENTINEL + ECHO)
+#: With the market's own detectors, and books whose moves towards a side kept being confirmed by the next tick.
+FUSIBLE = NINJA + """,
+nx AS (SELECT *, lead(p) OVER (PARTITION BY match_id ORDER BY ts, event_id) - p AS after FROM x),
+und AS (SELECT match_id, book, max(event_id) AS event_id, max(ts) AS ts, CAST(count(*) AS INT) AS n, avg(CASE WHEN after > 0 THEN 1e0 ELSE 0e0 END) AS rate FROM nx WHERE momentum > 0 AND after IS NOT NULL GROUP BY match_id, book)""" + detect([*INTELLIGENCE, *PULSE, *SENTINEL, *ECHO, *MARKET[:2], branch("market_underestimation", "n >= 3 AND rate >= 0.7", "1", "rate", "0.4 + 0.1 * n", "und")])
 
 # The pairs of trend types that fuse, and whether their directions must agree.
 RULES = [
@@ -118,7 +123,7 @@ FUSION_SECONDS = 600
 def correlation(seconds: int = FUSION_SECONDS) -> str:
     """Each trend looks back for the latest partner of its rule within the window; so either of a pair can come first."""
     values = ", ".join(f"({k}, '{f}', '{a}', '{b}', {same})" for k, (f, a, b, same) in enumerate(RULES))
-    return DETECTED + f""",
+    return FUSIBLE + f""",
 rules AS (SELECT * FROM (VALUES {values}) AS r(rule, fusion, a_type, b_type, same)),
 sides AS (SELECT rule, fusion, a_type AS late_type, b_type AS early_type, same, 0 AS swapped FROM rules UNION ALL SELECT rule, fusion, b_type, a_type, same, 1 FROM rules),
 pairs AS (SELECT a.match_id, a.event_id AS late_id, b.event_id AS early_id, fusion, swapped, a.strength AS sa, b.strength AS sb, a.confidence AS ca, b.confidence AS cb, row_number() OVER (PARTITION BY rule, swapped, a.match_id, a.event_id ORDER BY b.ts DESC, b.event_id DESC) AS rk

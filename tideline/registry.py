@@ -36,6 +36,7 @@ MODULES = (
     "tideline.operators.fulltext",
     "tideline.operators.leagues",
     "tideline.operators.cells",
+    "tideline.operators.projection",
     "tideline.operators.replay",
     "tideline.functions.scalar",
     "tideline.sources.lake",
