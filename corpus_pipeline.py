@@ -37,10 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Texts without the units that an earlier document has; a document of which nothing is left goes."""
-    done = substring_dedup.dedup(docs)
+    """Texts without the units that an earlier document has; a document of which nothing is left goes.
+
+    A given column ``removed`` is kept: it has another name while the operator's own ``removed`` is there.
+    """
+    own = [c for c in docs.columns if c.lower() == "removed"]
+    held = dict(zip(own, fresh(docs, *(f"given_{c}" for c in own)), strict=True))
+    done = substring_dedup.dedup(docs.withColumnsRenamed(held))
     kept = done.where((F.size("removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = kept.withColumn("n_chars", F.length("text").cast("long")).drop("removed")
+    return kept.withColumnsRenamed({h: c for c, h in held.items()}).select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
