@@ -32,7 +32,7 @@ from tideline.llm.simhash import links, of_hashes, shingle_hashes
 
 SIZE = 5
 LEAST = 0.8
-DISTANCE = 6
+DISTANCE = 4
 BANDS = 20
 ROWS = 4
 SMALL = 32
