@@ -37,6 +37,7 @@ MODULES = (
     "tideline.operators.leagues",
     "tideline.operators.cells",
     "tideline.operators.projection",
+    "tideline.operators.intelligence",
     "tideline.operators.replay",
     "tideline.functions.scalar",
     "tideline.sources.lake",
