@@ -25,7 +25,7 @@ def as_of(rows: DataFrame, versions: DataFrame, keys: list[str], at: str, valid_
     Null keys and null times have no version. Of versions of one instant the greatest counts.
     """
     measures = [c for c in versions.columns if c not in (*keys, valid_from)]
-    v = versions.where(F.col(valid_from).isNotNull()).groupBy(*keys, valid_from).agg(F.max(F.struct(*measures)).alias("_v")).withColumn("_day", F.to_date(valid_from))
+    v = versions.dropna(subset=[*keys, valid_from]).groupBy(*keys, valid_from).agg(F.max(F.struct(*measures)).alias("_v")).withColumn("_day", F.to_date(valid_from))
     left = rows.withColumn("_day", F.to_date(at))
     left_by = v.groupBy(*keys, "_day").agg(F.max_by("_v", valid_from).alias("_last"))
     days = left.select(*keys, "_day").distinct().join(left_by, [*keys, "_day"], "full")
