@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded, durable
+from tideline.llm.common import bounded, durable, frugal
 from tideline.llm.graph import components
 from tideline.llm.simhash import links, of_hashes, shingle_hashes
 
@@ -89,7 +89,7 @@ def _mark(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "fp", "node", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, fp long, node long, keys array<long>")
+    return rows.mapInArrow(frugal(run), "doc_id long, h long, fp long, node long, keys array<long>")
 
 
 def _by_simhash(nodes: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _holding(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
     sides = [texts.select(F.col("node").alias(c), F.col("text").alias(c + "t")) for c in "xy"]
-    return pairs.join(sides[0], "x").join(sides[1], "y").select("x", "y", "xt", "yt").mapInArrow(run, "a long, b long")
+    return pairs.join(sides[0], "x").join(sides[1], "y").select("x", "y", "xt", "yt").mapInArrow(frugal(run), "a long, b long")
 
 
 def walk(nodes: list[int], sets: list[frozenset[int]]) -> tuple[list[int], list[int]]:
@@ -151,7 +151,7 @@ def _walked(hot: DataFrame, texts: DataFrame) -> DataFrame:
             a, b = walk(nodes, sets)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(frugal(run), "a long, b long")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
