@@ -38,6 +38,7 @@ MODULES = (
     "tideline.operators.cells",
     "tideline.operators.projection",
     "tideline.operators.intelligence",
+    "tideline.operators.publishing",
     "tideline.operators.replay",
     "tideline.functions.scalar",
     "tideline.sources.lake",
