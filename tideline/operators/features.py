@@ -108,7 +108,7 @@ SELECT k, min_by(event_id, [[struct(ts, event_id)||(ts, event_id)]]) AS event_id
 sql_query("lake_ttl_days", "O-18: retention by day, seven days before the newest row.", """
 SELECT event_id, ts FROM {events} WHERE CAST(ts AS DATE) + INTERVAL '7' DAY > (SELECT CAST(max(ts) AS DATE) FROM {events})""")
 
-sql_query("filter_optional_conjunction", "O-28, O-29, O-30: optional equality filters, an inequality and a half-open interval.", """
+sql_query("filter_optional_conjunction", "O-30: an equality, an inequality and a half-open interval; optional arguments (O-28, O-29) are in filter_scopes.", """
 SELECT event_id, user_id, event_type, ts FROM {events}
 WHERE event_type = 'click' AND user_id <> 7 AND ts >= TIMESTAMP[[_NTZ||]] '2024-01-05 00:00:00' AND ts < TIMESTAMP[[_NTZ||]] '2024-01-12 00:00:00'""")
 

@@ -72,7 +72,7 @@ WINDOW w AS (PARTITION BY team ORDER BY kickoff_at RANGE BETWEEN UNBOUNDED PRECE
 SELECT a.uid, a.team, CAST(CASE WHEN count(b.uid) = 0 THEN 14 ELSE least(30, floor((epoch_us(a.kickoff_at) - epoch_us(max(b.kickoff_at))) / 86400e6)) END AS BIGINT) AS rest FROM p a LEFT JOIN p b ON b.team = a.team AND b.kickoff_at < a.kickoff_at GROUP BY a.uid, a.team, a.kickoff_at""")
 _MATCH = """SELECT m.uid, round(h.form, 6) AS home_form, round(a.form, 6) AS away_form, round(h.attack - a.defence, 6) AS home_edge, round(a.attack - h.defence, 6) AS away_edge, CAST(least(h.played, a.played) AS BIGINT) AS known, CASE WHEN m.home_goals > m.away_goals THEN 'home' WHEN m.home_goals = m.away_goals THEN 'draw' ELSE 'away' END AS label
 FROM m JOIN f h ON h.uid = m.uid AND h.venue = 'home' JOIN f a ON a.uid = m.uid AND a.venue = 'away'"""
-sql_query("hist_projection", "O-198, in part: one row a match with both sides' frames before its kickoff and defaults; no features beyond these.", SIDES + f""",
+sql_query("hist_projection", "O-105: both sides' form, attack and defence before a match, with defaults; all features (O-198) are in projection_v2 and projection_v3.", SIDES + f""",
 q AS (SELECT uid, team, venue, kickoff_at, {before('CAST(points AS DOUBLE)', 'team', 10)} AS form, {before('CAST(gf AS DOUBLE)', 'team', 10)} AS attack, {before('CAST(ga AS DOUBLE)', 'team', 10)} AS defence, {before('*', 'team', 10, 'count')} AS played FROM p),
 f AS (SELECT uid, venue, coalesce({at_kickoff('form', 'team')}, 1e0) AS form, coalesce({at_kickoff('attack', 'team')}, 1.2e0) AS attack, coalesce({at_kickoff('defence', 'team')}, 1.2e0) AS defence, {at_kickoff('played', 'team')} AS played FROM q)
 """ + _MATCH, SIDES + """,
@@ -81,7 +81,7 @@ f AS (SELECT uid, venue, coalesce(avg(points), 1e0) AS form, coalesce(avg(gf), 1
 """ + _MATCH)
 sql_query("hist_temporal_split", "O-200, O-232: splits by year, goal bands, counts.", """
 SELECT CASE WHEN year(kickoff_at) <= 1999 THEN 'train' WHEN year(kickoff_at) = 2000 THEN 'validation' ELSE 'holdout' END AS split, CASE WHEN home_goals + away_goals <= 1 THEN 'low' WHEN home_goals + away_goals <= 3 THEN 'mid' ELSE 'high' END AS goals, CAST(count(*) AS BIGINT) AS n FROM {matches} GROUP BY 1, 2""")
-sql_query("hist_signals", "O-192, O-194, O-195: historical signals, behaviours, structural regime and uncertainty of each side, unpivoted.", SIDES + """,
+sql_query("hist_signals", "Five measures of each side, unpivoted; the signals of a scope (O-192, O-194, O-195) are in intelligence.", SIDES + """,
 g AS (SELECT team, avg(CAST(gf + ga AS DOUBLE)) AS goals, avg(CASE WHEN gf = ga THEN 1e0 ELSE 0 END) AS draws, stddev_pop(CAST(gf - ga AS DOUBLE)) AS swing, avg(CAST(points AS DOUBLE)) AS points, count(*) AS n FROM p GROUP BY team)
 SELECT team, 'low_scoring' AS signal, round(greatest(0.0, 1 - goals / 4), 6) AS strength FROM g UNION ALL SELECT team, 'draw_prone', round(draws, 6) FROM g UNION ALL SELECT team, 'volatile', round(least(1.0, swing / 3), 6) FROM g UNION ALL SELECT team, 'dominant', round(points / 3, 6) FROM g UNION ALL SELECT team, 'uncertain', round(1 / sqrt(CAST(n AS DOUBLE)), 6) FROM g""")
 sql_query("hist_market_insight", "O-191: favourite at the opening and now, dispersion, direction.", """

@@ -101,7 +101,7 @@ SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean,
 sql_query("agg_fingerprint", "O-97, O-200: hash of a group's sorted lines, whatever their order.", """
 SELECT user_id, [[sha2(array_join(array_sort(collect_list(concat(event_type, ':', CAST(event_id AS STRING)))), ','), 256)||sha256(string_agg(concat(event_type, ':', CAST(event_id AS VARCHAR)), ',' ORDER BY concat(event_type, ':', CAST(event_id AS VARCHAR))))]] AS fingerprint FROM {events} GROUP BY user_id""")
 
-sql_query("agg_neighbour_outcomes", "O-98, O-99: outcome counts and distance spread of each label's vectors.", """
+sql_query("agg_neighbour_outcomes", "O-99: outcome counts and distance spread of each label's vectors.", """
 SELECT label, CAST(count(*) AS BIGINT) AS n, round(min(CAST([[element_at(embedding, 1)||list_extract(embedding, 1)]] AS DOUBLE)), 6) AS low, round(avg(CAST([[element_at(embedding, 1)||list_extract(embedding, 1)]] AS DOUBLE)), 6) AS mean, round(max(CAST([[element_at(embedding, 1)||list_extract(embedding, 1)]] AS DOUBLE)), 6) AS high FROM {embeddings} GROUP BY label""")
 
 sql_query("agg_duplicate_rates", "O-256: duplicate rate per type and overall by rollup.", """

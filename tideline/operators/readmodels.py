@@ -78,13 +78,13 @@ SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE read_
 sql_query("read_audit", "O-269: audit rows with their operator under optional predicates.", "SELECT e.event_id, e.event_type, coalesce(c.c_name, 'system') AS operator FROM {events} e LEFT JOIN {customer} c ON c.c_custkey = e.user_id AND c.c_acctbal >= 0 WHERE e.event_type IN ('error', 'purchase') AND e.ts >= TIMESTAMP[[_NTZ||]] '2024-01-20 00:00:00'")
 sql_query("read_relationships", "O-208: in and out edges with typed targets.", "SELECT 'out' AS dir, l_suppkey AS node, 'part' AS kind, l_partkey AS other FROM {lineitem} WHERE l_suppkey = 3 UNION ALL SELECT 'in', l_suppkey, 'order', l_orderkey FROM {lineitem} WHERE l_suppkey = 3")
 sql_query("read_engagement", "O-206: engagement counts of each post.", "SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS likes, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS boosts, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS saves FROM {orders} LEFT JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-sql_query("read_draft_validation", "O-265: first rule a draft breaks.", """
+sql_query("read_draft_validation", "A cascade of draft rules by length and words; O-265 in full is publish_draft_verdicts.", """
 WITH t AS (SELECT conv_id, turn, text, length(text) AS n, length(text) - length(replace(text, ' ', '')) + 1 AS words FROM {conversations})
 SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN n < 40 THEN 'too_short' WHEN n > 1500 THEN 'too_long' WHEN words < 8 THEN 'few_words' WHEN upper(text) = text THEN 'caps' WHEN contains(lower(text), 'http') THEN 'forbidden' WHEN count(*) OVER (PARTITION BY lower(text)) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM t""")
-sql_query("read_publication_cascade", "O-203, O-204, O-205: first rule that decides, the health of a story, and the state of its agent.", """
+sql_query("read_publication_cascade", "Labels of stories by thresholds over counts; O-203 to O-205 are publish_decisions and publish_story_health.", """
 WITH s AS (SELECT user_id, count(*) AS n, avg(value) AS mean, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors, max(ts) AS last_ts FROM {events} GROUP BY user_id)
 SELECT user_id, CASE WHEN n < 50 THEN 'thin' WHEN errors / CAST(n AS DOUBLE) > 0.25 THEN 'noisy' WHEN mean < 45 THEN 'weak' ELSE 'publish' END AS decision, round(least(1.0, n / 90e0) * 0.5 + least(1.0, mean / 60) * 0.3 + (1 - errors / CAST(n AS DOUBLE)) * 0.2, 6) AS health, CASE WHEN errors >= 20 THEN 'resting' WHEN mean >= 55 THEN 'active' ELSE 'watching' END AS state FROM s""")
-sql_query("read_fulltext", "O-134: every word of a query must occur; rank by term frequency over length, headline around the first hit.", """
+sql_query("read_fulltext", "Two fixed words by substring counts, with a headline; queries of any text (O-134) are in search_fulltext.", """
 WITH d AS (SELECT doc_id, lower(text) AS t FROM {documents} WHERE lang = 'en'),
 h AS (SELECT doc_id, t, (length(t) - length(replace(t, 'with', ''))) / 4e0 + (length(t) - length(replace(t, 'from', ''))) / 4e0 AS tf FROM d WHERE contains(t, 'with') AND contains(t, 'from'))
 SELECT doc_id, round(tf / (1 + length(t)), 9) AS rank, substring(t, greatest(1, [[instr(t, 'with')||instr(t, 'with')]] - 10), 30) AS headline FROM h""")

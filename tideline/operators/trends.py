@@ -135,7 +135,7 @@ SELECT match_id, fusion, CASE WHEN swapped = 1 THEN early_id ELSE late_id END AS
 sql_query("trend_correlation", "O-61, O-176: pairs of trends of one match within ten minutes, latest partner of each; an interval self-join on match and rule.", correlation())
 sql_query("trend_correlation_hours", "O-61, O-176: the same over ten hours, as the test events of a match lie far apart.", correlation(36_000))
 
-sql_query("trend_enriched_rules", "O-177: single-member rules that need a confirmed rate or a volatile regime.", DETECTED + """,
+sql_query("trend_enriched_rules", "Strong trends of a type that mostly points one way; fusions with history (O-177) are in trend_history_fusions.", DETECTED + """,
 r AS (SELECT trend_type, avg(CASE WHEN direction >= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rate FROM d GROUP BY trend_type)
 SELECT d.match_id, d.event_id, d.trend_type, round(rate, 6) AS rate FROM d JOIN r ON d.trend_type = r.trend_type WHERE rate > 0.7 AND d.strength >= 0.85""")
 
@@ -173,7 +173,7 @@ sql_query("trend_regime", "O-180: first regime that matches.", regimes() + " SEL
 sql_query("trend_regime_spread", "O-180: the same with given cut-offs.", SPREAD + " SELECT competition, day, regime FROM r")
 sql_query("trend_regime_changes", "O-181, O-185: rows are appended only where the regime changes.", SPREAD + ",\nl AS (SELECT *, lag(regime) OVER (PARTITION BY competition ORDER BY day) AS before FROM r)\nSELECT competition, day, before, regime FROM l WHERE before IS NULL OR before <> regime")
 
-sql_query("trend_enrichment", "O-182, O-145: profile lookups of each trend by left joins, and its meaning from a table.", DETECTED + """,
+sql_query("trend_enrichment", "O-145: two aggregates of the trends at hand joined to each, and its meaning from a table; profiles of history (O-182) are in trend_known_profiles.", DETECTED + """,
 h AS (SELECT trend_type, count(*) AS seen, avg(strength) AS mean FROM d GROUP BY trend_type),
 m AS (SELECT match_id, count(DISTINCT trend_type) AS kinds FROM d GROUP BY match_id),
 meaning AS (SELECT * FROM (VALUES ('pressure_building', 'sustained attack'), ('tempo_change', 'pace moves'), ('sentiment_shift', 'crowd turns')) AS v(trend_type, meaning))
@@ -189,7 +189,7 @@ m AS (SELECT max(ts) AS latest FROM x),
 w AS (SELECT match_id, max_by(p, (ts, event_id)) - min_by(p, (ts, event_id)) AS drift, sum(CASE WHEN book = 'error' THEN 3 WHEN book = 'purchase' THEN 1 ELSE 0 END) + 0.25 * max(value) / 100 + 2 * max(CASE WHEN minute >= 75 THEN 1 ELSE 0 END) AS risk, max_by(k, (ts, event_id)) - min_by(k, (ts, event_id)) AS growth, avg(sentiment) AS narrative FROM x CROSS JOIN m WHERE ts >= latest - INTERVAL '72' HOUR GROUP BY match_id)
 SELECT match_id, abs(drift) >= 0.03 AS market_drift, risk >= 4 AS risk_watch, growth >= 10 AS possession_growth, abs(narrative) >= 0.2 AS narrative_watch FROM w""")
 
-sql_query("trend_meta", "O-72, O-175: recurring over- and underestimation, volatility and failure by team and type of closed trends.", """
+sql_query("trend_meta", "O-72: rates by team and type of closed trends; the recurrences of O-175 are in trend_meta_recurrences.", """
 WITH o AS (SELECT * FROM {outcomes}),
 t AS (SELECT team, trend_type, count(*) AS n, avg(CASE WHEN outcome = 'confirmed' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS confirmed, avg(CASE WHEN outcome = 'failed' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS failed, count(DISTINCT match_id) AS matches FROM o GROUP BY team, trend_type)
 SELECT team, trend_type, 'underestimation' AS meta, round(confirmed, 6) AS rate FROM t WHERE n >= 3 AND confirmed >= 0.7

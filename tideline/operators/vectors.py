@@ -59,9 +59,10 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K, block: int =
                     at = pd.to_numeric(pdf[prior]).to_numpy(np.float64)
                     sim[~(at[None, :] < wanted[prior].astype(np.float64)[:, None])] = -np.inf  # unknown times are not prior
                 own = pdf.vec_id.to_numpy()
-                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, : k + 1]
-                i = np.repeat(np.arange(len(ids)), order.shape[1])
-                new = pd.DataFrame({"q": ids[i], "vec_id": own[order.ravel()], "sim": sim[i, order.ravel()]})
+                m = min(k + 1, len(own))  # one more than asked for, as a query may meet itself
+                cut = np.partition(sim, len(own) - m, axis=1)[:, len(own) - m]
+                i, j = np.nonzero((sim >= cut[:, None]) & (sim > -np.inf))  # ties with the last stay, so that ids can decide
+                new = pd.DataFrame({"q": ids[i], "vec_id": own[j], "sim": sim[i, j]})
                 new = new[(new.q != new.vec_id) & (new.sim > -np.inf)]
                 best = new if best is None else pd.concat([best, new])
                 best = best.sort_values(["q", "sim", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
@@ -92,10 +93,24 @@ def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("knn_topk", _NEAR + " SELECT q, vec_id, round(sim, 6) AS sim FROM t")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-117, O-118, O-140, O-186: cosine top-k with tie-break by id."""
+    """O-117, O-140, O-186: cosine top-k with tie-break by id."""
     return cosine_topk(*_queries(spark, sf_dir)).select("q", "vec_id", F.round("sim", 6).alias("sim"))
 
 
+@query("knn_shared_factors", _NEAR + """,
+f AS (SELECT t.q, t.vec_id, unnest(range(1, len(a.e) + 1)) AS dim, a.e AS x, b.e AS y FROM t JOIN v a ON a.vec_id = t.q JOIN v b ON b.vec_id = t.vec_id),
+g AS (SELECT q, vec_id, dim, round(x[dim] * y[dim] / sqrt(list_sum(list_transform(x, lambda z: z * z)) * list_sum(list_transform(y, lambda z: z * z))), 9) AS part FROM f)
+SELECT q, vec_id, CAST(dim - 1 AS INTEGER) AS factor, round(part, 6) AS part FROM g WHERE part > 0 QUALIFY row_number() OVER (PARTITION BY q, vec_id ORDER BY part DESC, dim) <= 3""")
+def knn_shared_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-118: the nearest with the three factors (dimensions) that add most to each likeness."""
+    queries, v = _queries(spark, sf_dir)
+    unit = lambda name: F.transform(name, lambda x: x.cast("double") / F.sqrt(F.aggregate(name, F.lit(0.0), lambda acc, z: acc + z.cast("double") * z.cast("double"))))
+    near = cosine_topk(queries, v).join(queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("a")), "q").join(v.select("vec_id", F.col("embedding").alias("b")), "vec_id")
+    parts = F.zip_with(unit("a"), unit("b"), lambda x, y: F.round(x * y, 9))
+    ranked = F.array_sort(F.filter(F.transform(parts, lambda x, i: F.struct((-x).alias("less"), i.alias("factor"))), lambda s: s["less"] < 0))
+    return near.select("q", "vec_id", F.explode(F.slice(ranked, 1, 3)).alias("f")).select("q", "vec_id", F.col("f.factor").alias("factor"), F.round(-F.col("f.less"), 6).alias("part"))
+
+
 @query("knn_confidence", _NEAR + """, a AS (SELECT q, max(sim) AS best, avg(sim) AS mean, max(sim) - min(sim) AS spread, avg(1 - sim) AS distance, count(*) / 10e0 AS coverage FROM t GROUP BY q)
 SELECT q, round(best, 6) AS best, round(mean, 6) AS mean, round(1 - least(1.0, spread / distance), 6) AS agreement, round(least(0.99, (0.6 * best + 0.4 * mean) * (0.5 + 0.25 * (1 - least(1.0, spread / distance)) + 0.25 * coverage)), 6) AS confidence FROM a""")
 def knn_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:

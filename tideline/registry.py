@@ -39,6 +39,7 @@ MODULES = (
     "tideline.operators.projection",
     "tideline.operators.intelligence",
     "tideline.operators.publishing",
+    "tideline.operators.filters",
     "tideline.operators.replay",
     "tideline.functions.scalar",
     "tideline.sources.lake",
