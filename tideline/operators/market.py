@@ -147,6 +147,13 @@ def market_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movement(ticks(spark, sf_dir))
 
 
+@query("trend_sharp_move", _MOVE + " SELECT match_id, direction, sharp AS strength, CASE WHEN sharp < 0.85 THEN 'high' ELSE 'critical' END AS severity FROM mv WHERE sharp >= 0.6")
+def trend_sharp_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-166, O-153: sharp moves by speed, run and coordination of the books."""
+    m = movement(ticks(spark, sf_dir)).where("sharp >= 0.6")
+    return m.select("match_id", "direction", F.col("sharp").alias("strength"), F.when(F.col("sharp") < 0.85, "high").otherwise("critical").alias("severity"))
+
+
 @query("market_state_shares", _MOVE + _BOOKS + " SELECT direction, CAST(count(*) AS BIGINT) AS n, round(avg(consensus), 4) AS consensus, round(avg(divergence), 4) AS divergence, round(avg(volatility), 4) AS volatility, round(avg(sharp), 4) AS sharp FROM state JOIN mv USING (match_id) GROUP BY direction")
 def market_state_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-154: the composed market state, summed up by direction."""
