@@ -224,7 +224,7 @@ bb AS (SELECT tt.*, coalesce(sample, 0) AS sample, coalesce(ag, 0) AS ag, coales
 bs AS (SELECT *, greatest(CASE WHEN sample > 0 THEN draws / CAST(sample AS DOUBLE) ELSE 0 END, round(dr, 6), dt) AS d, greatest(round(least(1, gs / 2.5), 6), vt) AS v, CASE WHEN sample > 0 THEN under / CAST(sample AS DOUBLE) ELSE 0 END AS ur FROM bb),
 bf AS (SELECT scope, unnest([struct_pack(b := CASE WHEN ag <= 2.5 OR ur >= 0.55 THEN 'low_scoring' END, s := least(1, greatest(0, ur, (3.0 - ag) / 1.5, gt)), o := under), struct_pack(b := CASE WHEN d >= 0.25 THEN 'draw_tendency' END, s := least(1, d), o := draws), struct_pack(b := CASE WHEN d < 0.25 AND sample > 0 THEN 'draw_resistance' END, s := 1 - d, o := sample - draws), struct_pack(b := CASE WHEN pressure >= 0.5 THEN 'favorite_pressure' END, s := pressure, o := np),
   struct_pack(b := CASE WHEN v >= 0.8 THEN 'chaotic' END, s := v, o := nw), struct_pack(b := CASE WHEN v >= 0.6 AND v < 0.8 THEN 'volatile' END, s := v, o := nw), struct_pack(b := CASE WHEN v < 0.6 THEN 'stable' END, s := 1 - v, o := nc), struct_pack(b := CASE WHEN dis >= 0.2 THEN 'market_disagreement' END, s := dis, o := np)]) AS e FROM bs)
-SELECT scope, e.b AS behaviour, round(e.s + 1e-9, 5) AS strength, CAST(e.o AS BIGINT) AS occurrences FROM bf WHERE e.b IS NOT NULL""")
+SELECT scope, e.b AS behaviour, round(round(e.s, 6) + 1e-9, 5) AS strength, CAST(e.o AS BIGINT) AS occurrences FROM bf WHERE e.b IS NOT NULL""")
 def q_behaviours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-194: behaviours of each scope by its active signals, trends, market and analogues."""
     one = _scopes(spark, sf_dir)

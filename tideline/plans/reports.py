@@ -15,7 +15,7 @@ SELECT g.team, CASE WHEN swing >= 0.65 THEN 'VOLATILE' WHEN draws >= 0.22 THEN '
 FROM g LEFT JOIN r ON r.team = g.team""")
 
 sql_query("plan_reasoning_graph", "Edges between the trends of a match by sign: supports, contradicts, with weights; rules (O-196) are in reasoning.", DETECTED + """,
-n AS (SELECT match_id, trend_type, sum(direction * strength) AS pull, count(*) AS seen FROM d GROUP BY match_id, trend_type)
+n AS (SELECT match_id, trend_type, round(sum(direction * strength), 9) AS pull, count(*) AS seen FROM d GROUP BY match_id, trend_type)
 SELECT a.match_id, a.trend_type AS src, b.trend_type AS dst, CASE WHEN a.pull * b.pull < 0 THEN 'contradicts' WHEN a.pull * b.pull > 0 THEN 'supports' ELSE 'beside' END AS relation, round(least(abs(a.pull), abs(b.pull)), 6) AS weight FROM n a JOIN n b ON a.match_id = b.match_id AND a.trend_type < b.trend_type WHERE a.seen >= 3 AND b.seen >= 3""")
 
 sql_query("plan_replay_gate", "O-96: detections by day, their unrest, and a label from both; the gate on two versions and outcomes (O-201) is in replay.", DETECTED + """,
