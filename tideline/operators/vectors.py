@@ -111,6 +111,28 @@ def knn_shared_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("q", "vec_id", F.explode(F.slice(ranked, 1, 3)).alias("f")).select("q", "vec_id", F.col("f.factor").alias("factor"), F.round(-F.col("f.less"), 6).alias("part"))
 
 
+@query("knn_neighbour_distributions", _NEAR + """,
+w AS (SELECT t.q, unnest([{'kind': 'trend', 'value': CAST(label AS VARCHAR)}, {'kind': 'regime', 'value': CAST(vec_id % 3 AS VARCHAR)}], recursive := true) FROM t)
+SELECT q, kind, value, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY q, kind) AS DOUBLE), 6) AS share FROM w GROUP BY q, kind, value""")
+def knn_neighbour_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-98: how trends (labels) and regimes are distributed among the neighbours of each query."""
+    queries, v = _queries(spark, sf_dir)
+    t = cosine_topk(queries, v).join(v.select("vec_id", "label"), "vec_id")
+    named = F.explode(F.array(F.struct(F.lit("trend").alias("kind"), F.col("label").cast("string").alias("value")), F.struct(F.lit("regime").alias("kind"), (F.col("vec_id") % 3).cast("string").alias("value"))))
+    c = t.select("q", named.alias("x")).groupBy("q", "x.kind", "x.value").agg(F.count("*").alias("n"))
+    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("q", "kind")), 6))
+
+
+@query("knn_regime_insight", """
+WITH v AS (SELECT vec_id, label, vec_id % 3 AS regime, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT q.vec_id AS q, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM v q JOIN v ON v.vec_id < q.vec_id AND v.regime = q.regime AND v.label = q.label WHERE q.vec_id % 100 = 0)
+SELECT q, vec_id, round(sim, 6) AS sim FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) <= 25""")
+def knn_regime_insight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-188, O-41: the 25 nearest that are strictly prior and of the query's own kind and regime."""
+    v = load(spark, sf_dir, "embeddings").withColumn("gate", F.concat_ws(":", F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")))
+    return cosine_topk(v.where("vec_id % 100 = 0"), v, k=25, same="gate", prior="vec_id").select("q", "vec_id", F.round("sim", 6).alias("sim"))
+
+
 @query("knn_confidence", _NEAR + """, a AS (SELECT q, max(sim) AS best, avg(sim) AS mean, max(sim) - min(sim) AS spread, avg(1 - sim) AS distance, count(*) / 10e0 AS coverage FROM t GROUP BY q)
 SELECT q, round(best, 6) AS best, round(mean, 6) AS mean, round(1 - least(1.0, spread / distance), 6) AS agreement, round(least(0.99, (0.6 * best + 0.4 * mean) * (0.5 + 0.25 * (1 - least(1.0, spread / distance)) + 0.25 * coverage)), 6) AS confidence FROM a""")
 def knn_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
