@@ -54,6 +54,73 @@ def test_bsd_texts_differ():
             assert [g[0] for a, b in licenses.candidates(t) for g in s.scan(t[a:b])] == [name]
 
 
+def plainly(text, templates):
+    """The scan of a text of one window, by brute force: every template on every stretch, with new compressors each time."""
+    import zstandard as zstd
+
+    kw = {"level": 12, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    size = lambda data, **d: len(zstd.ZstdCompressor(**kw, **d).compress(data))
+    words = lambda t: [m.group().lower() for m in licenses._WORD.finditer(t)]
+    out, todo = [], [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        part, options = text[a:b], []
+        for k, (name, t) in enumerate(sorted(templates, key=lambda t: (-len(t[1]), t))):
+            wide = 1
+            while wide < int(len(t) * 1.3) + 40:
+                wide *= 2
+            raw = zstd.ZstdCompressionDict(t.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            own = size(t.lower().encode()) - size(b"")
+            for p in range(0, max(1, len(part) - wide), wide):
+                data = part[p : p + 2 * wide].lower().encode()
+                if (saved := size(data) - size(data, dict_data=raw)) >= 0.3 * own:
+                    options.append((-saved, k, p, name, words(t), part[p : p + 2 * wide]))
+        for _, _, p, name, want, stretch in sorted(options):
+            have = [(m.group().lower(), *m.span()) for m in licenses._WORD.finditer(stretch)]
+            hit = [i for i in range(len(have)) if [w for w, _, _ in have[i : i + len(want)]] == want]
+            if hit:
+                s, e = a + p + have[hit[0]][1], a + p + have[hit[0] + len(want) - 1][2]
+                out.append((name, s, e))
+                todo += [(a, s), (e, b)]
+                break
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_license_scan_against_brute_force(spark, sf):
+    """All documents of a table and mixed blocks: all templates, all stretches, exact wording."""
+    s = licenses.Scanner(licenses.TEMPLATES)
+    texts = [r.text or "" for r in table(spark, sf, "documents").collect()]
+    some = [t for _, t in licenses.TEMPLATES]
+    texts += [" ".join([some[k], "The permission of a license holder.", some[(k * 7 + 3) % len(some)]]) for k in range(0, len(some), 5)]
+    for t in texts:
+        for a, b in licenses.candidates(t):
+            if b - a < 3 * s.longest:
+                assert [g[:3] for g in s.scan(t[a:b])] == plainly(t[a:b], licenses.TEMPLATES), t[a:b]
+
+
+def test_license_named_by_compression(monkeypatch):
+    """Savings rank templates that the wording allows alike, and decide whether words that are there are a notice."""
+    body = "the holder of this license may copy share and sell the work in {} form to any person at any price without further permission"
+    two = [("A", body.format("printed")), ("B", body.format("digital"))]
+    for name, text in two:
+        assert [g[0] for g in licenses.Scanner(two).scan(text)] == [name]
+    other = licenses.Scanner(two)
+    best_first = other.ranked
+    other.ranked = lambda part: best_first(part)[::-1]
+    assert [g[0] for g in other.scan(two[0][1])] == ["B"]
+    apart = "The copyright notice: GNU\t*\tGPL\t*\tv2."
+    assert licenses.Scanner(licenses.TEMPLATES).scan(apart) == []
+    monkeypatch.setattr(licenses, "LEAST_SAVED", -99)
+    assert [g[0] for g in licenses.Scanner(licenses.TEMPLATES).scan(apart)] == ["GPL-2.0"]
+
+
+def test_license_of_another_version():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    three = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 100)
+    assert [(g[0], g[4]) for g in s.scan(three.replace("version 3", "version 2"))] == [("GPL-2.0", [])]
+    assert s.scan(three.replace("version 3", "version 7")) == []
+
+
 def test_pipeline_stages(spark, sf):
     d = table(spark, sf, "documents")
     rows = {}

@@ -2,21 +2,23 @@
 
 A candidate block is a run of sentences around words that licenses use (at most ``GAP`` sentences without any of them
 in between, and as many after the last). A block is scanned in windows of a few times the longest template, which
-overlap by more than the longest notice, so how long a block is decides nothing. Its parts are compressed alone and
-with every template as zstandard raw dictionary, on stretches of twice the template's length; the bytes that a template
-saves, as a share of what it takes itself, rank the templates. Those that save ``LEAST_SAVED`` of it are compared word by
-word with the stretch: the part that fits best must differ from the template in at most ``TOLERANCE`` of the template's words, and the words that differ are part of the
-result. The confirmed template with the fewest differing words, then the longest, names the license of that stretch;
-what the window has before and after it is scanned again, so several notices in one block are all found.
+overlap by more than the longest notice, so how long a block is decides nothing. Stretches of a window are compressed
+alone and with every template as zstandard raw dictionary. The bytes that a template saves rank all pairs of template and
+stretch; a pair that saves less than ``LEAST_SAVED`` of what the template takes itself is out, whatever its words are. The
+first of the ranking names the license, unless the wording refutes it: the part of the stretch that fits best must differ
+from the template in at most ``TOLERANCE`` of the template's words, and not have another number in place of one of its
+numbers; the words that differ are part of the result. If it does, the next of the ranking is looked at. What the window has before and after a notice is scanned again, so several notices
+in one block are all found.
 
 Defined results: null, empty and unlicensed texts have no rows; repeated notices and repeated rows give rows each; equal
-savings go to the longer template, then to the first by name; a null doc_id stays null; other columns of the input are
+savings go to the longer template, then to the first by name, then to the first stretch; a null doc_id stays null; other columns of the input are
 not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -72,8 +74,9 @@ TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
 SIGNS = ("licens", "licenc", "copyright", "rights reserved", "redistribut", "permission", "public domain", "spdx", "creative commons", "free software", "gnu gpl")
 GAP = 1
 TOLERANCE = 0.1
-#: Share of a template's own compressed size that it has to save of a stretch of twice its length.
-LEAST_SAVED = 0.2
+#: Share of a template's own compressed size that it has to save of a stretch.
+LEAST_SAVED = 0.3
+LEVEL = 12
 #: Bytes of blocks whose notices a task remembers.
 MEMORY = 32 << 20
 
@@ -110,37 +113,47 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.templates = sorted(templates, key=lambda t: (-len(t[1]), t))
         self.words = [[w for w, _, _ in _words(t)] for _, t in self.templates]
-        make = lambda **kw: zstd.ZstdCompressor(level=12, write_content_size=False, write_checksum=False, write_dict_id=False, **kw)
+        make = lambda **kw: zstd.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **kw)
         self.plain = make()
-        self.given = [make(dict_data=zstd.ZstdCompressionDict(t.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)) for _, t in self.templates]
+        dictionaries = [zstd.ZstdCompressionDict(t.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT) for _, t in self.templates]
+        for d in dictionaries:
+            d.precompute_compress(level=LEVEL)
+        self.given = [make(dict_data=d) for d in dictionaries]
         self.frame = len(self.plain.compress(b""))
         # what each template takes by itself, and the longest notice that can be one
         self.own = [max(1, len(self.plain.compress(t.lower().encode())) - self.frame) for _, t in self.templates]
         self.reach = [int(len(t) * (1 + 3 * TOLERANCE)) + 40 for _, t in self.templates]
         self.longest = max(self.reach)
+        # templates of similar reach share stretches, and what those take alone
+        self.widths: dict[int, list[int]] = {}
+        for k, r in enumerate(self.reach):
+            self.widths.setdefault(1 << (r - 1).bit_length(), []).append(k)
         self.seen: dict[str, list[tuple]] = {}
         self.held = 0
 
-    def saved(self, block: str, templates: list[int]) -> list[tuple[float, int, int, int]]:
-        """(share of a template's own size that it saves of a stretch, template, stretch), best first.
+    def ranked(self, part: str) -> list[tuple[int, int, int, int]]:
+        """(bytes saved, template, stretch) of all pairs that save enough, best first.
 
-        Each template is tried on stretches of twice its longest notice, which overlap by one.
+        Stretches are two reaches long and overlap by one, so every notice is whole in one of them.
         """
         out = []
-        for k in templates:
-            wide = self.reach[k]
-            for p in range(0, max(1, len(block) - wide), wide):
-                data = block[p : p + 2 * wide].lower().encode("utf-8", "replace")
-                share = (len(self.plain.compress(data)) - len(self.given[k].compress(data))) / self.own[k]
-                if share >= LEAST_SAVED:
-                    out.append((share, -k, p, min(len(block), p + 2 * wide)))
-        return [(s, -k, p, q) for s, k, p, q in sorted(out, reverse=True)]
+        for wide, templates in self.widths.items():
+            for p in range(0, max(1, len(part) - wide), wide):
+                data = part[p : p + 2 * wide].lower().encode("utf-8", "replace")
+                alone = len(self.plain.compress(data))
+                for k in templates:
+                    saved = alone - len(self.given[k].compress(data))
+                    if saved >= LEAST_SAVED * self.own[k]:
+                        out.append((saved, k, p, min(len(part), p + 2 * wide)))
+        return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
 
     def confirm(self, block: list[tuple[str, int, int]], k: int) -> tuple[int, int, list[str]] | None:
         """(first word, end, differing words) of the stretch that words template k, if it is near enough."""
         want, have = self.words[k], [w for w, _, _ in block]
-        pairs = [b for b in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if b.size]
         allowed = int(TOLERANCE * len(want))
+        if (Counter(want) - Counter(have)).total() > allowed:  # words that are nowhere differ wherever the stretch lies
+            return None
+        pairs = [b for b in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if b.size]
         best = None
         for i in range(len(pairs)):  # a stretch from one common run to another
             for j in range(i, len(pairs)):
@@ -156,6 +169,9 @@ class Scanner:
         inside = [p for r in run for p in range(r.a, r.a + r.size)]
         there = {p for r in run for p in range(r.b, r.b + r.size)}
         diff = ["+" + have[p] for p in range(a, b) if p not in set(inside)] + ["-" + w for p, w in enumerate(want) if p not in there]
+        # another number is another version
+        if {"+", "-"} == {w[0] for w in diff if any(c.isdigit() for c in w)}:
+            return None
         return a, b, diff
 
     def scan(self, block: str) -> list[tuple[str, int, int, float, list[str], str]]:
@@ -189,19 +205,13 @@ class Scanner:
         out, todo = [], [(0, len(window))]
         while todo:
             a, b = todo.pop()
-            there = {w for w, _, _ in _words(window[a:b])}
-            able = [k for k, want in enumerate(self.words) if sum(w not in there for w in want) <= int(TOLERANCE * len(want))]
-            found = None
-            for share, k, p, q in self.saved(window[a:b], able):
+            for saved, k, p, q in self.ranked(window[a:b]):
                 words = _words(window[a + p : a + q])
                 if hit := self.confirm(words, k):
-                    rank = (len(hit[2]), -len(self.words[k]))
-                    if found is None or rank < found[0]:
-                        found = (rank, share, k, a + p + words[hit[0]][1], a + p + words[hit[1] - 1][2], hit[2])
-            if found:
-                _, share, k, s, e, diff = found
-                out.append((self.templates[k][0], s, e, share, diff, self.templates[k][1]))
-                todo += [(a, s), (e, b)]
+                    s, e = a + p + words[hit[0]][1], a + p + words[hit[1] - 1][2]
+                    out.append((self.templates[k][0], s, e, saved / self.own[k], hit[2], self.templates[k][1]))
+                    todo += [(a, s), (e, b)]
+                    break
         return out
 
 
