@@ -196,8 +196,9 @@ def test_fingerprint_contract(spark, sf):
         exact.append(rows[i].near_next - (len(a & c) / len(a | c)))
         # the estimates are exactly those of the two fingerprints
         x, y, z = (set(zip(*[iter(f)] * 16)) for f in (rows[i].fingerprint, rows[i].edited_fingerprint, rows[order[(k + 1) % len(order)]].fingerprint))
-        assert rows[i].near_edited == (1 if x == y else len(x & y) / len(x | y))
-        assert rows[i].near_next == (1 if x == z else len(x & z) / len(x | z))
+        # of two empty ones only the same shingles are alike
+        assert rows[i].near_edited == (len(x & y) / len(x | y) if x | y else a == b)
+        assert rows[i].near_next == (len(x & z) / len(x | z) if x | z else a == c)
         assert all("".join(w) < f"{(2**63 - 1) // fingerprint.SCALE:016x}" for w in x | y)
     assert np.mean(np.abs(errors)) < 0.06 and abs(np.mean(errors)) < 0.02 and np.mean(np.abs(exact)) < 0.02
     same = {}
@@ -213,7 +214,7 @@ def fingerprint_query(spark, sf):
 def test_fingerprint_next_over_ranges(spark, rows, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", rows)
     ids = [None, *random.Random(1).sample(range(10**12), 40), 5, 5, -(1 << 62)]
-    d = docs(spark, [f"t{k}" for k in range(len(ids))], ids)
+    d = docs(spark, [f"t{k}" for k in range(len(ids))], ids).withColumn("next", F.lit("given"))
     got = {r.text: r.next.text for r in fingerprint.with_next(d, "doc_id", ["text"]).collect()}
     low = -(1 << 63)
     order = sorted(((i if i is not None else low, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (-x[0], x[1]))
@@ -234,7 +235,13 @@ def test_fingerprint_awkward(spark):
     got = {r.text: r.s for r in d.collect()}
     assert got[None] == got[""] == got["   \n\t "] == [] and len(got["One."]) <= 1
     pair = spark.createDataFrame([(AWKWARD[6], AWKWARD[6]), ("", ""), ("", " ".join(f"a{k}" for k in range(200))), (LONG, LONG + " and more of it"), ("a b c d e f g", "a b c d e f h")], "x string, y string")
-    near = [r[0] for r in pair.select(fingerprint.likeness(fingerprint.sketch(F.col("x")), fingerprint.sketch(F.col("y")))).collect()]
+    same = fingerprint.same_shingles(F.col("x"), F.col("y"))
+    near = [r[0] for r in pair.select(fingerprint.likeness(fingerprint.sketch(F.col("x")), fingerprint.sketch(F.col("y")), same=same)).collect()]
     assert near[:3] == [1.0, 1.0, 0.0] and near[3] > 0.95 and 0 <= near[4] <= 1
+    # short texts, many of them without a kept hash: unlike ones are never alike
+    few = spark.createDataFrame([(f"a{k}", f"b{k} c", f"A{k} ") for k in range(60)], "x string, y string, z string")
+    of = lambda o: fingerprint.likeness(fingerprint.sketch(F.col("x")), fingerprint.sketch(F.col(o)), same=fingerprint.same_shingles(F.col("x"), F.col(o)))
+    got = few.select(of("y"), of("z"), F.size(fingerprint.sketch(F.col("x")))).collect()
+    assert {r[0] for r in got} == {0.0} and {r[1] for r in got} == {1.0} and {r[2] for r in got} == {0, 1}
     part = pair.limit(4).select(fingerprint.likeness(fingerprint.sketch(F.lit(LONG[:100_000])), fingerprint.sketch(F.lit(LONG)), containment=True)).first()[0]
     assert part > 0.95

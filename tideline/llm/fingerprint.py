@@ -7,12 +7,13 @@ sketches are the sketches of the intersection and union, whatever the two sizes:
 likeness (shared / joint hashes) and containment (shared / own hashes) are estimated from them without bias.
 
 Nothing else decides what is kept, so the sketch of a short text can be empty (one of 5 shingles with a chance of a
-quarter); two equal sketches, empty ones too, are alike with 1.
+quarter). Two empty sketches say nothing of their texts: those are alike with 1 if they have the same shingles, which
+``same_shingles`` tells, and with 0 if not.
 
 The text that follows another in descending doc_id is found in ranges of doc_id: each range is one sorted window, and
 the first row of a range is also dealt to the range above it as its last.
 
-Defined results: null and blank texts have the empty fingerprint, which is like any other but an empty one with 0; a null doc_id comes last; rows with equal doc_id follow each other by text.
+Defined results: null and blank texts have the empty fingerprint, and are alike with 1 among each other and with 0 else; a null doc_id comes last; rows with equal doc_id follow each other by text.
 """
 
 from __future__ import annotations
@@ -56,15 +57,25 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column, containment: bool = False) -> Column:
-    """Estimated share of the joint shingles (or with ``containment`` of those of ``a``) that both texts have, 0 to 1."""
+def same_shingles(a: Column, b: Column, size: int = SHINGLE) -> Column:
+    """Whether two texts have the same distinct shingles."""
+    of = lambda text: F.array_sort(F.array_distinct(shingle_hashes(text, size)))
+    return (a == b) | (of(a) == of(b))
+
+
+def likeness(a: Column, b: Column, containment: bool = False, same: Column | None = None) -> Column:
+    """Estimated share of the joint shingles (or with ``containment`` of those of ``a``) that both texts have, 0 to 1.
+
+    ``same`` is looked at only where both sketches are empty; without it the estimate is 0 there.
+    """
     both = F.size(F.array_intersect(a, b))
 
     def of(n: Column) -> Column:
         all_ = F.size(a) + (F.lit(0) if containment else F.size(b) - n)
         return F.when(all_ > 0, n / all_).otherwise(F.lit(0.0))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(_let(both, of))
+    empty = F.when(F.coalesce(same, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0)) if same is not None else F.lit(0.0)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), empty).when(a == b, F.lit(1.0)).otherwise(_let(both, of))
 
 
 def as_string(kept: Column) -> Column:
@@ -72,10 +83,13 @@ def as_string(kept: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``docs`` with a struct ``next`` of the columns of the next row in descending order of ``key``; after the last comes the first."""
+    """``docs`` with a struct ``next`` of the columns of the next row in descending order of ``key``; after the last comes the first.
+
+    A given column ``next`` gives way.
+    """
     k_, coarse_, range_, above_, in_ = fresh(docs, "k", "coarse", "range", "above", "in")
     k = F.col(k_)
-    docs = docs.withColumn(k_, F.coalesce(F.col(key), F.lit(-(1 << 63))))
+    docs = docs.drop("next").withColumn(k_, F.coalesce(F.col(key), F.lit(-(1 << 63))))
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
     cuts = sorted(set(docs.agg(F.percentile_approx(k_, [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 4 * ranges))).first()[0] or []))
@@ -107,6 +121,6 @@ def op6_fingerprint(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
         F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), same=same_shingles(F.col("text"), F.col("edited"))).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch"), same=same_shingles(F.col("text"), F.col("next.text"))).alias("near_next"),
     )
