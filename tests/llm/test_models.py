@@ -77,6 +77,7 @@ def test_language_id_brute_force(spark, sf):
         n = grams(r.text)
         z = [np.log(docs_of[l] / sum(docs_of.values())) + sum(c * np.float64(np.float32(np.log((counts[l][g] + 0.5) / totals[l]))) for g, c in n.items()) for l in langs]
         top = sorted(z)[-2:]
+        assert got[r.doc_id].score >= 1 / len(langs) - 1e-9  # the score is that of its own distribution's best
         if top[1] - top[0] > 1e-3:
             assert got[r.doc_id].lang_pred == langs[int(np.argmax(z))] and got[r.doc_id].held_out == r.out
 
@@ -92,6 +93,35 @@ def test_quality_held_out(spark, sf):
     assert got.score.between(0, 1).all()
 
 
+def test_quality_brute_force(spark, sf):
+    """Every row of op1_quality again, one block and text at a time, with compressors made for it."""
+    import zlib
+
+    import zstandard as zstd
+
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = held_out(F.col("doc_id"))
+    model = quality.train(d.where(~out), labels.where(~out))
+    a, b = model["curve"]
+    made = []
+    for q in (0, 1):
+        raw = zstd.ZstdCompressionDict(model["dicts"][q])
+        raw.precompute_compress(level=3)
+        made.append(zstd.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
+    bad, good = made
+    got = {r.doc_id: r for r in quality.op1_quality(spark, sf).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in d.collect()}
+    assert got.keys() == texts.keys()
+    for i, data in texts.items():
+        more = 0
+        for p in range(0, len(data), 2048):
+            block = data[p : p + 2048]
+            more += len(bad.compress(block)) - len(good.compress(block))
+        want = 1 / (1 + np.exp(-np.clip(a + b * more / len(data), -30, 30))) if data else model["share"]
+        assert abs(got[i].score - want) < 1e-9, i
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_quality_awkward(spark):
     d = docs(spark, AWKWARD, AWKWARD_IDS)
     labels = spark.createDataFrame([(1, 1), (3, 1), (3, None), (4, 0), (5, 0), (6, 1), (None, 0), (99, 1)], "doc_id long, quality int")

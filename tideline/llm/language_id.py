@@ -22,7 +22,8 @@ from tideline.llm.common import bounded, column, fresh, held_out, slices, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: N-grams that evidence is scaled to for the score, not the prediction: neighbouring n-grams overlap, so their sum is too sure.
+#: N-grams that evidence of longer texts is scaled to: neighbouring n-grams overlap, so their sum is too sure. One factor
+#: scales all languages of a text, prior included, so the predicted language is the best one of the score as well.
 EVIDENCE = 64
 CHARS = 1 << 18
 UNDETERMINED = "und"
@@ -116,7 +117,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                 np.add.at(sums, k, np.add.reduceat(total, bounds.ravel(), axis=0, dtype=np.float64)[::2])
                 np.add.at(n, k, (bounds[:, 1] - bounds[:, 0]) * len(ORDERS))
             best = (prior + sums).argmax(1)
-            z = prior + sums * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
+            z = (prior + sums) * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             for i, k in enumerate(at):
