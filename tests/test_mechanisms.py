@@ -53,6 +53,23 @@ def test_signal_states_by_hand(spark):
     assert signals.signal_states(spark.createDataFrame([], SIGNAL), F.lit(DAY)).count() == 0
 
 
+def test_six_digits_are_those_of_the_sql(spark):
+    draw = random.Random(7)
+    # halves at the seventh digit and sums that end beside them, as stability has them
+    some = [0.6365014999999999, 0.5201815, 0.41730849999999997, 0.5000195, -0.1234565] + [0.35 * draw.randrange(4) / 4 + 0.25 * min(1, draw.randrange(4) / 3) + 0.3 * (draw.randrange(10**6) / 1e6) + 0.1 for _ in range(20000)]
+    got = [r.y for r in spark.createDataFrame([(x,) for x in some], "x double").select(signals.six(F.col("x")).alias("y")).collect()]
+    assert got == [duckdb_round for (duckdb_round,) in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [some]).fetchall()]
+
+
+@pytest.mark.parametrize("layered", [False])
+def test_signal_states_are_exactly_those_of_the_sql(spark, layered):
+    name, sf = "signal_states" + "_layered" * layered, "/root/testdata/sf0.01"
+    rows = lambda df: sorted(df[["scope", "signal_key", "strength", "confidence", "weight", "stability"]].itertuples(index=False, name=None))
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+        assert rows(registry.QUERIES[name](spark, sf).toPandas()) == rows(c.sql(registry.ORACLES[name]).df())
+
+
 def test_layers_of_dependencies():
     assert signals.layers({"a": ("b",), "b": ("c",), "d": ("x",)}) == [["b", "d"], ["a"]]
     with pytest.raises(ValueError, match="circle"):

@@ -59,9 +59,14 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def six(x: Column) -> Column:
+    """Six digits by the double a million times ``x``, half away from zero; ``F.round`` goes by the decimal text of ``x``, which decides other halves."""
+    return F.round(x * 1e6) / 1e6
+
+
 def settled(x: Column) -> Column:
     """Confidence and weight as they are kept: 0 to 1, six digits."""
-    return F.round(clamp(x), 6)
+    return six(clamp(x))
 
 
 def signal_key(name: Column) -> Column:
@@ -90,7 +95,7 @@ def first_states(signals: DataFrame, as_of: Column) -> DataFrame:
     expired = F.coalesce(F.col("expires_at") <= as_of, F.lit(False))
     inactive = (F.col("confidence") <= LEAST_CONFIDENCE) | (F.col("strength") <= 0)
     weak = (F.col("confidence") < WEAK_CONFIDENCE) | (F.col("strength") < WEAK_STRENGTH)
-    left = lambda c: F.when(expired, F.lit(0.0)).otherwise(F.round(c, 6))
+    left = lambda c: F.when(expired, F.lit(0.0)).otherwise(six(c))
     coverage, sources = F.coalesce(F.col("coverage").cast("double"), F.lit(0.5)), F.coalesce(F.col("sources").cast("int"), F.lit(1))
     state = F.struct(
         F.col("signal_id"),
@@ -99,9 +104,9 @@ def first_states(signals: DataFrame, as_of: Column) -> DataFrame:
         (~expired & ~inactive).alias("active"),
         expired.alias("expired"),
         (weak & ~expired).alias("weak"),
-        F.round("strength", 6).alias("base_strength"),
-        F.round("confidence", 6).alias("base_confidence"),
-        F.round("weight", 6).alias("base_weight"),
+        six(F.col("strength")).alias("base_strength"),
+        six(F.col("confidence")).alias("base_confidence"),
+        six(F.col("weight")).alias("base_weight"),
         left(F.col("strength")).alias("strength"),
         left(F.col("confidence")).alias("confidence"),
         left(F.col("weight")).alias("weight"),
@@ -159,7 +164,7 @@ def depend(states: Column, dependencies: dict[str, tuple[str, ...]], before: Col
         effect = lambda p: F.when(~there(p), ABSENT - 1).when(~before[p]["active"], INACTIVE - 1).otherwise((sure(p) - 0.5) * 0.2)
         confidence = settled(s["confidence"] * F.aggregate(parents, F.lit(1.0), lambda acc, p: acc * factor(p)))
         weak = s["weak"] | (s["active"] & (confidence < WEAK_CONFIDENCE))
-        edges = F.transform(parents, lambda p: F.struct(p.alias("parent"), relation(p).alias("relation"), F.round(effect(p), 6).alias("effect")))
+        edges = F.transform(parents, lambda p: F.struct(p.alias("parent"), relation(p).alias("relation"), six(effect(p)).alias("effect")))
         status = F.when(weak & s["active"], "weak").otherwise(s["status"])
         return _changed(s, confidence=confidence, weak=weak, status=status, edges=edges, stability=stability(confidence, s["coverage"], s["sources"], 0.0, s["expired"]))
 
@@ -224,8 +229,8 @@ def summary(states: DataFrame, most: int = 8) -> DataFrame:
         listed(F.col("state.expired")).alias("expired"),
         listed(F.size("state.conflicts_with") > 0).alias("conflicting"),
         listed(F.size("state.reinforced_by") > 0).alias("reinforced"),
-        F.round(F.avg("state.stability") + 1e-9, 6).alias("stability"),  # halves go up, whatever the order of the sum
-        F.round(F.avg("state.confidence") + 1e-9, 6).alias("confidence"),
+        six(F.avg("state.stability") + 1e-9).alias("stability"),  # halves go up, whatever the order of the sum
+        six(F.avg("state.confidence") + 1e-9).alias("confidence"),
     )
     order = lambda sign: F.transform(F.slice(F.array_sort(F.transform("active", lambda x: F.struct((sign * x["pull"]).alias("p"), x["signal_key"].alias("k")))), 1, most), lambda x: x["k"])
     return out.select("scope", order(-1).alias("strongest"), order(1).alias("weakest"), "expired", "conflicting", "reinforced", "stability", "confidence")
