@@ -61,7 +61,7 @@ def test_six_digits_are_those_of_the_sql(spark):
     assert got == [duckdb_round for (duckdb_round,) in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [some]).fetchall()]
 
 
-@pytest.mark.parametrize("layered", [False])
+@pytest.mark.parametrize("layered", [False, True])
 def test_signal_states_are_exactly_those_of_the_sql(spark, layered):
     name, sf = "signal_states" + "_layered" * layered, "/root/testdata/sf0.01"
     rows = lambda df: sorted(df[["scope", "signal_key", "strength", "confidence", "weight", "stability"]].itertuples(index=False, name=None))
