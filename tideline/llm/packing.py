@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import durable, gathered, table
+from tideline.llm.common import durable, frugal, gathered, table
 from tideline.llm.tokens import encoder, release
 
 CAP = 1024
@@ -47,36 +47,44 @@ MOST = 3
 LOOSE = (3, 1, 0)
 END = 2
 SALT_ROWS = 50_000
+#: Bytes of text that are encoded at a time.
+GATHER = 12 << 20
+
+
+def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, cap: int = CAP, end: int = END, size: int = GATHER) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches (doc_id, text), about ``size`` bytes of text encoded at a time, which takes up to 30 times that in memory."""
+    enc = encoder(tokenizer, spaced=True)
+    for b in gathered(batches, "text", size):
+        flat, at = enc.encode(b.column(1))
+        ids = np.insert(flat, at[1:], end).astype("<u4")
+        n = np.diff(at) + 1
+        begin = np.cumsum(n) - n
+        first = (n - 1) % cap + 1
+        parts = (n - 1) // cap + 1
+        whose = np.repeat(np.arange(len(n)), parts)
+        piece = np.arange(len(whose)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.where(piece == 0, 0, first[whose] + (piece - 1) * cap)
+        length = np.where(piece == 0, first[whose], cap)
+        raw = memoryview(ids).cast("B")
+        crc = [zlib.crc32(raw[4 * s : 4 * (s + l)]) for s, l in zip((begin[whose] + start).tolist(), length.tolist(), strict=True)]
+        columns = [b.column(0).take(pa.array(whose)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", cap: int = CAP, end: int = END, reuse: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document.
 
-    ``reuse``: a Python worker keeps its word table for later tasks (about 200 MB); else each task lets it go.
+    ``reuse``: a Python worker keeps its word table for later tasks (about 200 MB); else each task lets it go, starts
+    without the free memory of stages before it and encodes less text at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaced=True)
-        for b in gathered(batches, "text"):
-            flat, at = enc.encode(b.column(1))
-            ids = np.insert(flat, at[1:], end).astype("<u4")
-            n = np.diff(at) + 1
-            begin = np.cumsum(n) - n
-            first = (n - 1) % cap + 1
-            parts = (n - 1) // cap + 1
-            whose = np.repeat(np.arange(len(n)), parts)
-            piece = np.arange(len(whose)) - np.repeat(np.cumsum(parts) - parts, parts)
-            start = np.where(piece == 0, 0, first[whose] + (piece - 1) * cap)
-            length = np.where(piece == 0, first[whose], cap)
-            raw = memoryview(ids).cast("B")
-            crc = [zlib.crc32(raw[4 * s : 4 * (s + l)]) for s, l in zip((begin[whose] + start).tolist(), length.tolist(), strict=True)]
-            columns = [b.column(0).take(pa.array(whose)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        yield from cut(batches, tokenizer, cap, end, GATHER if reuse else GATHER // 4)
         if not reuse:
-            del enc
             release()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run if reuse else frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Pricing:
