@@ -71,8 +71,10 @@ class _Model:
 
     def _renew(self) -> None:
         """Shares of the classes, of 1024, and what is below each."""
-        for c in self.seen:
-            self.count[c, self.which] += 4
+        if self.seen:
+            lanes = len(self.which)
+            place = np.stack(self.seen) * np.int64(lanes) + self.which
+            self.count += 4 * np.bincount(place.ravel(), minlength=CLASSES * lanes).astype(np.int32).reshape(CLASSES, lanes)
         self.seen = []
         share = 1 + (self.count * ((1024 - CLASSES) / self.count.sum(0))).astype(np.int16)
         self.below = np.zeros((CLASSES + 1, len(self.which)), np.int16)

@@ -99,7 +99,8 @@ class Encoder:
         if self.spaced:
             return len(run.encode())
         if run.isascii():
-            return len(run) if run.isalnum() else sum(map(len, run.split()))
+            word = run[1:] if run[0] == " " else run
+            return len(word) if word.isalnum() else sum(map(len, run.split()))
         return len("".join(unicodedata.normalize("NFC", run).lower().split()).encode())
 
     def _learn(self, runs: list[str]) -> pa.Array:
