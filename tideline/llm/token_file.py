@@ -37,83 +37,78 @@ BLOCK = 4096
 SEGMENT = 8 << 20
 PART = 24 << 20
 END = 2
-MAGIC = b"TIDE2"
+MAGIC = b"TIDE3"
 CLASSES = 32
-RENEW = 32
+RENEW = 64
 _SLOTS = 10  # bits of a table's size
-_AHEAD = 64  # rows of the encoder that are prepared at a time
 _U = np.uint64
-#: What a wrong (first four) or right prediction does to an entry of each confidence, unless it loses its place.
-_MOVE = np.array([0, 0, -2, -2, 1, 1, 1, 0], np.int32)
+_LEAST = _U(1 << 44)  # of a range
 
 
-def _hash1(last: np.ndarray) -> np.ndarray:
-    return last * 40503 >> 4 & ((1 << _SLOTS) - 1)
+def _slots(before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of order 2 and 1 in a table, of ids as unsigned 32 bits."""
+    last = last * np.uint32(40503)
+    return before * np.uint32(2654435761) + last >> np.uint32(7) & np.uint32((1 << _SLOTS) - 1), last >> np.uint32(4) & np.uint32((1 << _SLOTS) - 1)
 
 
-def _hash2(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (before * 2654435761 + last * 40503 >> 7) & ((1 << _SLOTS) - 1)
+def _turned(rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``out`` as the transpose of ``rows``, some at a time that stay in the cache."""
+    for p in range(0, len(rows), 64):
+        for q in range(0, len(out), 64):
+            out[q : q + 64, p : p + 64] = rows[p : p + 64, q : q + 64].T
+    return out
 
 
 class _Model:
-    """State of all blocks of a segment, one lane each."""
+    """State of all blocks of a segment, one lane each; pairs of rows are order 2 and order 1."""
 
     def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
-        self.one = np.zeros(lanes << _SLOTS, np.int32)  # id and 2 bits of confidence
-        self.two = np.zeros(lanes << _SLOTS, np.int32)
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.tables = np.zeros(2 * lanes << _SLOTS, np.int32)  # id and 2 bits of confidence
         self.rate = np.full(lanes * 8, 1 << 14, np.int32)  # how often each confidence of either order is right, of 65536
-        self.lane = np.arange(lanes, dtype=np.int64) * 8
+        self.lane = np.arange(lanes, dtype=np.int64) * 8 + np.array([[0], [4]])
         self.count = np.full((CLASSES, lanes), 2, np.int32)  # of each class, in quarters of an id
         self.which = np.arange(lanes, dtype=np.int64)
-        self.seen: list[np.ndarray] = []
-        self._renew()
-
-    def _renew(self) -> None:
-        """Shares of the classes, of 1024, and what is below each."""
-        if self.seen:
-            lanes = len(self.which)
-            place = np.stack(self.seen) * np.int64(lanes) + self.which
-            self.count += 4 * np.bincount(place.ravel(), minlength=CLASSES * lanes).astype(np.int32).reshape(CLASSES, lanes)
-        self.seen = []
+        self.shares(None)
+
+    def shares(self, places: np.ndarray | None) -> None:
+        """Shares of the classes, of 1024, and what is below each, after the ids of which class and lane are ``places``."""
+        lanes = len(self.which)
+        if places is not None:
+            self.count += 4 * np.bincount(places.ravel(), minlength=CLASSES * lanes).astype(np.int32).reshape(CLASSES, lanes)
         share = 1 + (self.count * ((1024 - CLASSES) / self.count.sum(0))).astype(np.int16)
-        self.below = np.zeros((CLASSES + 1, len(self.which)), np.int16)
+        self.below = np.zeros((CLASSES + 1, lanes), np.int16)
         np.cumsum(share, axis=0, dtype=np.int16, out=self.below[1:])
         self.below[CLASSES] = 1024  # the last class has what is left over
-        self.flat = self.below.ravel()
-
-    def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of order 2 and 1, and their shares of 1024; at least 15 are left."""
-        self.at1, self.at2 = at1, at2
-        self.e1, self.e2 = self.one.take(at1), self.two.take(at2)
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.r1, self.r2 = self.lane + self.c1, self.lane + self.c2
-        self.r1 += 4
-        self.q1, self.q2 = self.rate.take(self.r1), self.rate.take(self.r2)
-        a = self.q2 * 1006 >> 16
-        b = (1007 - a) * (self.q1 >> 2) >> 14
+        self.flat = (self.below[:-1].astype(np.int64) | np.diff(self.below, axis=0).astype(np.int64) << 16).ravel()
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of order 2 and 1 and their shares of 1024, at least 15 are left; ``at``: their places in the tables."""
+        self.at, self.e = at, self.tables.take(at)
+        self.c = self.e & 3
+        self.r = self.lane + self.c
+        self.q = self.rate.take(self.r)
+        a = self.q[0] * 1006 >> 16
+        b = (1007 - a) * (self.q[1] >> 2) >> 14
         a += 1
         b += 1
-        return self.e2 >> 2, self.e1 >> 2, a, b
-
-    def learn(self, ids: np.ndarray, classes: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``ids`` as int32; hit1: order 1 is right, whatever order 2 is."""
-        new = ids << 2
-        h2, h1 = hit2.view(np.int8).astype(np.int32), hit1.view(np.int8).astype(np.int32)
-        self.rate[self.r2] = self.q2 + ((h2 << 16) - self.q2 >> 5)
-        self.rate[self.r1] = self.q1 + np.where(hit2, 0, (h1 << 16) - self.q1 >> 5)
+        return self.e >> 2, a, b
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """``ids`` as int32; hit: whether order 2 and 1 are right, whatever the other is."""
+        move = (hit.view(np.int8).astype(np.int32) << 16) - self.q >> 5
+        move[1] *= ~hit[0]
+        move += self.q
+        self.rate[self.r] = move
         # a wrong prediction loses its confidence first and its place then
-        for table_, at, e, c, h in ((self.one, self.at1, self.e1, self.c1, h1), (self.two, self.at2, self.e2, self.c2, h2)):
-            kind = (h << 2) + c
-            table_[at] = np.where(kind < 2, new, e + _MOVE.take(kind))
-        self.seen.append(classes)
-        if len(self.seen) == RENEW:
-            self._renew()
+        self.tables[self.at] = np.where(hit, self.e + (self.c < 3), np.where(self.c < 2, ids << 2, self.e - 2))
 
 
 def _prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their shares of 65536, at least 1 each."""
-    names, n = np.unique(ids, return_counts=True)
+    n = sum(np.bincount(ids[k : k + (1 << 20)], minlength=int(ids.max()) + 1) for k in range(0, len(ids), 1 << 20))
+    names = np.flatnonzero(n)
+    n = n[names]
     share = 1 + (n * (65536 - len(names)) // n.sum())
     share[n.argmax()] += 65536 - share.sum()
     return names, share
@@ -140,139 +135,142 @@ def _classes(prior: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1], out[2]
 
 
+def _facts(prior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each distinct id: 20 bits of its share of 65536 in its class, 20 of what is below it there, its class."""
+    cls, share, begin = _classes(prior)
+    return share | begin << 20 | cls << 40
+
+
 def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     names = prior[0]
-    facts = np.zeros((3, names[-1] + 1), np.int32)
-    facts[:, names] = _classes(prior)
+    facts = np.zeros(names[-1] + 1, np.int64)
+    facts[names] = _facts(prior)
     lanes = -(-len(ids) // BLOCK)
     rows = np.full(lanes * BLOCK, names[0], np.int32)
     rows[: len(ids)] = ids
-    rows = np.ascontiguousarray(rows.reshape(lanes, BLOCK).T)
+    rows = _turned(rows.reshape(lanes, BLOCK), np.empty((BLOCK, lanes), np.int32))
     model, low, wide = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
-    out, used = np.zeros((lanes, 2 * BLOCK + 8), np.uint16), np.zeros(lanes, np.int64)
+    room = 2 * BLOCK + 8
+    out, first = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
+    to = first.copy()
 
     def put(k: np.ndarray) -> None:
         """The upper 16 of 60 bits of lanes k; a carry goes into what is out already."""
-        over = k[low[k] >= _U(1 << 60)]
-        if len(over):
-            low[over] -= _U(1 << 60)
-            p = used[over] - 1
-            while len(over):
-                out[over, p] += 1
-                on = out[over, p] == 0
-                over, p = over[on], p[on] - 1
-        out[k, used[k]] = (low[k] >> _U(44)).astype(np.uint16)
-        used[k] += 1
-        low[k] = (low[k] & _U((1 << 44) - 1)) << _U(16)
-
-    last = np.zeros((2, lanes), np.int64)
-    for p in range(0, BLOCK, _AHEAD):
-        some = rows[p : p + _AHEAD]
-        cls, share, begin = facts[:, some]
-        past = np.concatenate([last, some])
-        at1, at2 = model.base + _hash1(past[1:-1]), model.base + _hash2(past[:-2], past[1:-1])
+        now, p = low.take(k), to.take(k)
+        over = p[now >= _U(1 << 60)] - 1
+        while len(over):
+            out[over] += 1
+            over = over[out[over] == 0] - 1
+        out[p] = (now >> _U(44)).astype(np.uint16)
+        to[k] = p + 1
+        low[k] = (now & _U((1 << 44) - 1)) << _U(16)
+
+    last = np.zeros((2, lanes), np.uint32)
+    for p in range(0, BLOCK, RENEW):
+        some = rows[p : p + RENEW]
+        fact = facts.take(some)
+        share, begin, place = fact & 0xFFFFF, fact >> 20 & 0xFFFFF, (fact >> 40) * lanes + model.which
+        past = np.concatenate([last, some.view(np.uint32)])
+        at = np.stack(_slots(past[:-2], past[1:-1]), 1) * np.int64(2 * lanes) + model.base
         last = past[-2:]
-        place = cls * np.int64(lanes) + model.which
         for i, now in enumerate(some):
-            p2, p1, a, b = model.predict(at1[i], at2[i])
-            hit2, hit1 = p2 == now, p1 == now
-            under = model.flat.take(place[i]).astype(np.int64)
-            size = model.flat.take(place[i] + lanes) - under
-            rest = (1024 - a - b).astype(np.int64)
-            part = np.where(hit2, a << np.int64(26), np.where(hit1, b << np.int64(26), rest * size * share[i]))
-            below = np.where(hit2, 0, np.where(hit1, a << np.int64(26), (a + b << np.int64(26)) + rest * ((under << np.int64(16)) + size * begin[i])))
+            guess, a, b = model.predict(at[i])
+            hit = guess == now
+            of = model.flat.take(place[i])
+            under, size = of & 0xFFFF, of >> 16
+            a, b = a << np.int64(26), b << np.int64(26)
+            ab = a + b
+            rest = (1 << 10) - (ab >> 26)
+            part = np.where(hit[0], a, np.where(hit[1], b, rest * size * share[i]))
+            below = np.where(hit[0], 0, np.where(hit[1], a, ab + rest * ((under << 16) + size * begin[i])))
             step = wide >> _U(36)
             low += step * below.view(_U)
             wide = step * part.view(_U)
-            for _ in range(3):
-                k = np.flatnonzero(wide < _U(1 << 44))
-                if not len(k):
-                    break
+            k = np.flatnonzero(wide < _LEAST)
+            while len(k):
                 put(k)
-                wide[k] <<= _U(16)
-            model.learn(now, cls[i], hit2, hit1)
+                left = wide.take(k) << _U(16)
+                wide[k] = left
+                k = k[left < _LEAST]
+            model.learn(now, hit)
+        model.shares(place)
     for _ in range(4):
         put(np.arange(lanes))
-    return [out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def _quotient(x: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """x // step, below 2 ** 36, of x below 2 ** 60: by floats, which are off by one at most."""
-    q = (x / step).astype(np.int64)
-    left = x - q * step
-    q -= left < 0
-    q += left >= step
-    return np.minimum(q, (1 << 36) - 1)
+    return [out[a:b].astype("<u2").tobytes() for a, b in zip(first.tolist(), to.tolist(), strict=True)]
 
 
 def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     names = prior[0]
-    classes, share, begin = _classes(prior)
-    order = np.lexsort((begin, classes))
+    facts = _facts(prior)
+    classes, share = facts >> 40, facts & 0xFFFFF
+    order = np.argsort(facts >> 20)  # by class and what is below
     held = np.bincount(classes, minlength=CLASSES)
     table_ = np.zeros((CLASSES, 65536), np.int32)  # which distinct id has each place of each class
     table_[held > 0] = np.repeat(order, share[order]).reshape(-1, 65536)
     table_ = table_.ravel()
-    names = names.astype(np.int32)
-    class_of = np.zeros(names[-1] + 1, np.int32)
+    class_of = np.zeros(names[-1] + 1, np.int64)
     class_of[names] = classes
+    facts = facts & (1 << 40) - 1 | names << 40  # now with the id in place of its class
     lanes = len(blocks)
+    # the first word holds the upper 16 of 60 bits, so that words are needed 4 bits late
     words = np.zeros((lanes, max(len(b) for b in blocks) // 2 + 8), np.uint16)
     for k, b in enumerate(blocks):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    wide_row, words = words.shape[1], words.ravel()
+    late = words >> 4
+    late[:, 1:] |= words[:, :-1] << 12
+    at = np.arange(lanes, dtype=np.int64) * words.shape[1] + 4
+    words = late.ravel()
     x = np.zeros(lanes, _U)
-    at = np.arange(lanes, dtype=np.int64) * wide_row
     for k in range(4):
-        x = (x << _U(16)) | words[at + k]
-    at += 4
-    # the first word holds the upper 16 of 60 bits, so that the last of four words is 4 bits short
-    x, rest4 = x >> _U(4), x & _U(15)
+        x = (x << _U(16)) | words[at - 4 + k]
     model, wide = _Model(lanes), np.full(lanes, 1 << 60, _U)
     rows = np.empty((BLOCK, lanes), np.int32)
-    before = last = np.zeros(lanes, np.int64)
-    for row in rows:
-        p2, p1, a, b = model.predict(model.base + _hash1(last), model.base + _hash2(before, last))
+    slots = np.empty((2, lanes), np.int64)
+    before = last = np.zeros(lanes, np.uint32)
+    for p, row in enumerate(rows):
+        slots[0], slots[1] = _slots(before, last)
+        guess, a, b = model.predict(slots * (2 * lanes) + model.base)
         step = wide >> _U(36)
-        v = _quotient(x.view(np.int64), step.view(np.int64))
+        v = np.minimum(x // step, _U((1 << 36) - 1)).view(np.int64)
+        a, b = a << np.int64(26), b << np.int64(26)
         ab = a + b
-        top = (v >> np.int64(26)).astype(np.int32)
-        hit2 = top < a
-        hit1 = (top < ab) & ~hit2
-        rest = (1024 - ab).astype(np.int64)
+        hit2 = v < a
+        hit1 = (v < ab) & ~hit2
+        rest = (1 << 10) - (ab >> 26)
         # quotients of numbers below 2 ** 36, which floats give exactly
-        u = (np.maximum(v - (ab << np.int64(26)), 0) / rest).astype(np.int64)  # of 1024 * 65536
+        u = (np.maximum(v - ab, 0) / rest).astype(np.int64)  # of 1024 * 65536
         c = np.add.reduce((model.below[1:CLASSES] <= (u >> 16).astype(np.int16)).view(np.int8), 0, np.int8).astype(np.int64)
-        place = c * lanes + model.which
-        under = model.flat.take(place).astype(np.int64)
-        size = model.flat.take(place + lanes) - under
-        inside = np.minimum(((u - (under << np.int64(16))) / size).astype(np.int64), 65535)
-        found = table_.take((c << np.int64(16)) + inside)
-        id0, share0, begin0 = names.take(found), share.take(found), begin.take(found)
-        row[:] = np.where(hit2, p2, np.where(hit1, p1, id0))
-        part = np.where(hit2, a << np.int64(26), np.where(hit1, b << np.int64(26), rest * size * share0))
-        below = np.where(hit2, 0, np.where(hit1, a << np.int64(26), (ab << np.int64(26)) + rest * ((under << np.int64(16)) + size * begin0)))
+        of = model.flat.take(c * lanes + model.which)
+        under, size = (of & 0xFFFF) << 16, of >> 16
+        inside = np.minimum(((u - under) / size).astype(np.int64), 65535)
+        fact = facts.take(table_.take((c << 16) + inside))
+        row[:] = np.where(hit2, guess[0], np.where(hit1, guess[1], fact >> 40))
+        part = np.where(hit2, a, np.where(hit1, b, rest * size * (fact & 0xFFFFF)))
+        below = np.where(hit2, 0, np.where(hit1, a, ab + rest * (under + size * (fact >> 20 & 0xFFFFF))))
         x -= step * below.view(_U)
         wide = step * part.view(_U)
+        k = np.flatnonzero(wide < _LEAST)
         for _ in range(3):
-            k = np.flatnonzero(wide < _U(1 << 44))
             if not len(k):
                 break
-            w = words[np.minimum(at[k], len(words) - 1)].astype(_U)  # a damaged block can run on
-            x[k] = (x[k] << _U(16)) | (rest4[k] << _U(12)) | (w >> _U(4))
-            rest4[k] = w & _U(15)
-            at[k] += 1
-            wide[k] <<= _U(16)
+            now = at.take(k)
+            x[k] = (x.take(k) << _U(16)) | words.take(now, mode="clip")  # a damaged block can run on
+            at[k] = now + 1
+            left = wide.take(k) << _U(16)
+            wide[k] = left
+            k = k[left < _LEAST]
         np.minimum(row, names[-1], out=row)  # a damaged block can name any id
-        model.learn(row, class_of.take(row), hit2, p1 == row)
-        before, last = last, row.astype(np.int64)
-    return rows.T.ravel()[:n].astype(np.int64)
+        model.learn(row, guess == row)
+        before, last = last, row.view(np.uint32)
+        if p % RENEW == RENEW - 1:
+            model.shares(class_of.take(rows[p + 1 - RENEW : p + 1]) * lanes + model.which)
+    return _turned(rows, np.empty((lanes, BLOCK), np.int32)).ravel()[:n]
 
 
 def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     prior = _prior(ids)
     blocks = encode_blocks(ids, prior)
-    heads = b"".join(struct.pack("<II", len(b), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4"))) for k, b in enumerate(blocks))
+    heads = b"".join(struct.pack("<II", len(b), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4", copy=False))) for k, b in enumerate(blocks))
     has = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
     parts = [MAGIC, struct.pack("<QQII", len(doc_ids), len(ids), len(prior[0]), len(blocks)), has, docs, lengths.astype("<u8"), prior[0].astype("<u4"), prior[1].astype("<u4"), heads]
@@ -307,7 +305,7 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
         p += size
     ids = decode_blocks(blocks, n, prior)
     for k, crc in enumerate(heads[:, 1].tolist()):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4")) != crc:
+        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4", copy=False)) != crc:
             raise ValueError(f"block {k} fails its checksum")
     return [d if h else None for h, d in zip(has.tolist(), docs.tolist(), strict=True)], lengths, ids
 
@@ -359,7 +357,7 @@ def read(files: DataFrame, ids: bool = True) -> DataFrame:
             for shard, seq, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 docs, n, got = read_segment(data)
                 ends = np.cumsum(n)
-                raw = got.astype("<u4")
+                raw = got.astype("<u4", copy=False)
                 crc = [zlib.crc32(raw[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 columns = [pa.array([shard] * len(docs), pa.int32()), pa.array([seq] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())]
                 if ids:

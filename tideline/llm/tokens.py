@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUNS = 800_000
+RUNS = 1_000_000
 #: New runs in one call.
 CALL = 256
 _RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\v\f\r")
@@ -37,10 +37,20 @@ for _a in range(1, 7):
     for _b in range(1, 7):
         _blank = (_a in (_WHITE, _SPACE), _b in (_WHITE, _SPACE))
         _CUT[_a * 8 + _b] = {(False, True): 1, (True, True): 2, (True, False): int(_a == _WHITE), (False, False): int(_a != _b and _GLUE not in (_a, _b))}[_blank]
+_WHITE_END = np.array([chr(_c).isspace() for _c in range(128)] + [False] * 128)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def _mapped(buf: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``by[buf]`` of bytes, which may not be written to."""
+    return np.frombuffer(buf.tobytes().translate(by.tobytes().ljust(256, b"\0")), np.uint8)
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Table:
     """Ids of distinct runs, one after another."""
 
@@ -49,23 +59,20 @@ class _Table:
         self.flat = np.zeros(1 << 20, np.int32)
         self.starts = np.zeros(1, np.int64)
 
-    def add(self, runs: list[str], rows: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
-        """Runs with their ids and the number of each; the runs as an array."""
+    def add(self, runs: pa.Array, rows: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Runs with their ids and the number of each."""
         ids, used = np.concatenate(rows), self.starts[-1]
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[used : used + len(ids)] = ids
         self.starts = np.concatenate([self.starts, used + np.cumsum(np.concatenate(sizes))])
-        new = pa.array(runs, pa.string())
-        self.known = pa.concat_arrays([self.known, new])
-        return new
+        self.known = pa.concat_arrays([self.known, runs])
 
     def gather(self, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered runs one after another, and the number of each."""
-        n = self.starts[no + 1] - self.starts[no]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[no] - (ends - n), n)
-        return self.flat[at], n
+        lists = pa.LargeListArray.from_arrays(pa.array(self.starts), pa.array(self.flat))
+        taken = lists.take(pa.array(no))
+        return taken.values.to_numpy(), np.diff(taken.offsets.to_numpy())
 
 
 class Encoder:
@@ -75,7 +82,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, self.plain, self.spaced = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced
+        normal = self.tokenizer.normalizer
+        if normal and not spaced and all(normal.normalize_str(f"a{c}a") == f"a{c}a" for c in map(chr, set(_LOWER[:128].tolist())) if not c.isspace()):
+            self.plain.normalizer = None  # leaves runs of lower-case ASCII as they are
         added = self.tokenizer.get_added_tokens_decoder()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # that each token spells
@@ -94,75 +104,94 @@ class Encoder:
             self.letters[c] = n != "" and len(self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + n)) == 1
         return self.letters[c]
 
-    def _length(self, run: str) -> int:
-        """Bytes that the tokens of a run spell."""
+    def _lengths(self, runs: pa.Array) -> np.ndarray:
+        """Bytes that the tokens of each run spell."""
         if self.spaced:
-            return len(run.encode())
-        if run.isascii():
-            word = run[1:] if run[0] == " " else run
-            return len(word) if word.isalnum() else sum(map(len, run.split()))
-        return len("".join(unicodedata.normalize("NFC", run).lower().split()).encode())
-
-    def _learn(self, runs: list[str]) -> pa.Array:
+            return pc.binary_length(runs).to_numpy().astype(np.int64)
+        word = pc.ascii_trim_whitespace(runs)
+        n = pc.binary_length(word).to_numpy().astype(np.int64)
+        other = pc.invert(pc.ascii_is_alnum(word))
+        n[other.to_numpy(zero_copy_only=False)] = [len("".join(unicodedata.normalize("NFC", r).lower().split()).encode()) for r in _strings(runs.filter(other))]
+        return n
+
+    def _learn(self, runs: pa.Array) -> pa.Array:
         """Adds distinct runs; they come back in the order of their places.
 
         In a call each begins with a space or, where a space is part of tokens, ends at a line end.
         """
-        order: list[str] = []
+        order: list[pa.Array] = []
         rows: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
-        def alone(some: list[str]) -> None:
-            got = [self._one(r) for r in some]
-            order.extend(some)
+        def alone(some: pa.Array) -> None:
+            got = [self._one(r) for r in _strings(some)]
+            order.append(some)
             rows.append(np.array([x for r in got for x in r], np.int32))
             sizes.append(np.array([len(r) for r in got], np.int64))
 
-        def together(some: list[str], before: str, after: str) -> None:
+        def together(which: np.ndarray, tokenizer, before: str, after: str) -> None:  # noqa: ANN001
+            some = runs.filter(pa.array(which))
+            lengths = self._lengths(some)
+            joined = pc.binary_join_element_wise(before, some, after, "")
+            _, offsets, data = joined.buffers()
+            offsets, data = np.frombuffer(offsets, np.int32, len(some) + 1, 4 * joined.offset).tolist() if len(some) else [0], memoryview(data or b"")
             for i in range(0, len(some), 64 * CALL):
-                calls = [some[k : k + CALL] for k in range(i, min(i + 64 * CALL, len(some)), CALL)]
-                got = self.tokenizer.encode_batch_fast(["".join(before + r + after for r in c) for c in calls], add_special_tokens=False)
-                for c, e in zip(calls, got, strict=True):
+                ends_at = [min(k, len(some)) for k in range(i, min(i + 64 * CALL, len(some)) + CALL, CALL)]
+                calls = [(a, b) for a, b in zip(ends_at, ends_at[1:], strict=False) if a < b]
+                got = tokenizer.encode_batch_fast([str(data[offsets[a] : offsets[b]], "utf-8") for a, b in calls], add_special_tokens=False)
+                for (a, b), e in zip(calls, got, strict=True):
                     ids = np.array(e.ids, np.int32)
                     ends = np.concatenate(([0], np.cumsum(self.bytes[ids])))
-                    n = np.array([self._length(r) for r in c])
+                    n = lengths[a:b]
                     to = np.cumsum(n + len(after)) - len(after)
-                    a, b = np.searchsorted(ends, to - n), np.searchsorted(ends, to)
-                    if ends[-1] != to[-1] + len(after) or (ends[np.minimum(a, len(ends) - 1)] != to - n).any() or (ends[np.minimum(b, len(ends) - 1)] != to).any():
-                        alone(c)  # some character changes its size
+                    first, end = np.searchsorted(ends, to - n), np.searchsorted(ends, to)
+                    if ends[-1] != to[-1] + len(after) or (ends[np.minimum(first, len(ends) - 1)] != to - n).any() or (ends[np.minimum(end, len(ends) - 1)] != to).any():
+                        alone(some[a:b])  # some character changes its size
                         continue
-                    order.extend(c)
-                    sizes.append(b - a)
-                    rows.append(ids[np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)])
-
-        some = [r for r in runs if not r[-1].isspace()]
-        alone([r for r in runs if r[-1].isspace()])
-        together([r for r in some if not self.spaced or r[0] == " "], "" if self.spaced else " ", "")
-        if self.spaced:
-            together([r for r in some if r[0] != " "], "", "\n")
-        return self.runs.add(order, rows, sizes)
+                    n = end - first
+                    order.append(some[a:b])
+                    sizes.append(n)
+                    rows.append(ids[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)])
+
+        offsets, data = np.frombuffer(runs.buffers()[1], np.int32, len(runs) + 1, 4 * runs.offset), np.frombuffer(runs.buffers()[2], np.uint8)
+        final, spaced = data[offsets[1:] - 1], data[offsets[:-1]] == 32
+        white = _WHITE_END[final]
+        white[final >= 0x80] = [r[-1].isspace() for r in _strings(runs.filter(pa.array(final >= 0x80)))]
+        # a capital stays one before a character that is not ASCII
+        plain = pc.and_(pc.string_is_ascii(runs), pc.equal(pc.ascii_lower(runs), runs)).to_numpy(zero_copy_only=False)
+        alone(runs.filter(pa.array(white)))
+        for which, tokenizer in ((plain & ~white, self.plain), (~plain & ~white, self.tokenizer)):
+            if self.spaced:
+                together(which & spaced, tokenizer, "", "")
+                together(which & ~spaced, tokenizer, "", "\n")
+            else:
+                together(which, tokenizer, " ", "")
+        learnt = pa.concat_arrays(order)
+        self.runs.add(learnt, rows, sizes)
+        return learnt
 
     def _numbers(self, runs: pa.Array) -> np.ndarray:
         """Places of runs in the table, into which new ones go first."""
         no = pc.index_in(runs, value_set=self.runs.known)
         if no.null_count:
-            new = runs.filter(no.is_null()).unique()
+            unknown = no.is_null()
+            missed = runs.filter(unknown)
+            new = missed.unique()
             if len(self.runs.known) + len(new) > RUNS and len(self.runs.known):
                 self.runs = _Table()
                 return self._numbers(runs)
             before = len(self.runs.known)
-            learnt = self._learn(new.to_pylist())
-            at = np.flatnonzero(no.is_null())
+            learnt = self._learn(new)
             out = no.fill_null(0).to_numpy().astype(np.int64)
-            out[at] = before + pc.index_in(runs.take(pa.array(at)), value_set=learnt).to_numpy()
+            out[unknown.to_numpy(zero_copy_only=False)] = before + pc.index_in(missed, value_set=learnt).to_numpy()
             return out
         return no.to_numpy().astype(np.int64)
 
     def _cuts(self, buf: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
         """Where runs begin in the joined bytes of texts, which begin at ``begin``."""
-        kind = _KIND[buf]
+        kind = _mapped(buf, _KIND)
         cut = np.zeros(size + 1, np.uint8)
-        cut[1:size] = _CUT[kind[:-1] * 8 + kind[1:]]
+        cut[1:size] = _mapped(kind[:-1] * np.uint8(8) + kind[1:], _CUT)
         edge = np.zeros(size + 1, bool)
         edge[begin] = edge[size] = True
         before_last = np.flatnonzero(cut == 2)
@@ -170,14 +199,14 @@ class Encoder:
         cut[before_last] = ~edge[after] & (kind[np.minimum(after, size - 1)] != _WHITE) & (kind[np.minimum(after, size - 1)] != _SPACE)
         cut[edge] = 1
         cut[size] = 0
-        at = np.flatnonzero(cut)
+        at = np.flatnonzero(cut.view(bool))
         wide = buf >= 0x80
         if wide.any():
             inner = at[~edge[at]]
             # a cut beside white space needs no letter
             inner = inner[(kind[inner - 1] < _WHITE) & (kind[inner] < _WHITE) & (wide[inner - 1] | wide[inner])]
             cut[inner[~(self._letters(buf, inner, size, True) & self._letters(buf, inner, size, False))]] = 0
-            at = np.flatnonzero(cut)
+            at = np.flatnonzero(cut.view(bool))
         return at
 
     def _letters(self, buf: np.ndarray, at: np.ndarray, size: int, before: bool) -> np.ndarray:
@@ -206,8 +235,9 @@ class Encoder:
         if size:
             buf = np.frombuffer(part.buffers()[2], np.uint8, size, int(offsets[0]))
             if not self.spaced:
-                low = _LOWER[buf]  # as its normaliser does; fewer distinct runs
+                low = _mapped(buf, _LOWER)  # as its normaliser does; fewer distinct runs
                 if (wide := np.flatnonzero(buf >= 0x80)).size:  # what follows may be a mark, with which a capital composes otherwise
+                    low = low.copy()
                     low[wide - 1] = buf[wide - 1]
                 buf = low
             begin = offsets - offsets[0]
