@@ -35,6 +35,15 @@ def test_encoder_any_text(name, texts):
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_encoder_capitals_beside_other_characters(name):
+    """Such runs of ASCII are not in lower case when the library sees them."""
+    e, t = ENCODERS[name]
+    texts = ["A", "\xa0", "Ab B\xa0c", "x Y\u3000Z", "I É", "it'S漢 A1é", "\x1cA\x1f"]
+    ids, at = e.encode(texts)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_encoder_begins_anew(monkeypatch):
     import tideline.llm.tokens as tokens
 

@@ -150,19 +150,17 @@ def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list
     rows[: len(ids)] = ids
     rows = _turned(rows.reshape(lanes, BLOCK), np.empty((BLOCK, lanes), np.int32))
     model, low, wide = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
-    room = 2 * BLOCK + 8
-    out, first = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
-    to = first.copy()
+    out, to = np.zeros((2 * BLOCK + 8) * lanes, np.uint16), np.arange(lanes, dtype=np.int64)  # the first word of each lane, the second, ...
 
     def put(k: np.ndarray) -> None:
         """The upper 16 of 60 bits of lanes k; a carry goes into what is out already."""
         now, p = low.take(k), to.take(k)
-        over = p[now >= _U(1 << 60)] - 1
+        over = p[now >= _U(1 << 60)] - lanes
         while len(over):
             out[over] += 1
-            over = over[out[over] == 0] - 1
+            over = over[out[over] == 0] - lanes
         out[p] = (now >> _U(44)).astype(np.uint16)
-        to[k] = p + 1
+        to[k] = p + lanes
         low[k] = (now & _U((1 << 44) - 1)) << _U(16)
 
     last = np.zeros((2, lanes), np.uint32)
@@ -196,7 +194,10 @@ def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list
         model.shares(place)
     for _ in range(4):
         put(np.arange(lanes))
-    return [out[a:b].astype("<u2").tobytes() for a, b in zip(first.tolist(), to.tolist(), strict=True)]
+    used = to // lanes
+    words = out[: used.max() * lanes].reshape(-1, lanes)
+    words = _turned(words, np.empty(words.shape[::-1], "<u2"))
+    return [w[:n].tobytes() for w, n in zip(words, used.tolist(), strict=True)]
 
 
 def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -57,20 +57,20 @@ class _Table:
     def __init__(self) -> None:
         self.known = pa.array([], pa.string())
         self.flat = np.zeros(1 << 20, np.int32)
-        self.starts = np.zeros(1, np.int64)
+        self.starts = np.zeros(1, np.int32)
 
     def add(self, runs: pa.Array, rows: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         """Runs with their ids and the number of each."""
-        ids, used = np.concatenate(rows), self.starts[-1]
+        ids, used = np.concatenate(rows), int(self.starts[-1])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[used : used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, used + np.cumsum(np.concatenate(sizes))])
+        self.starts = np.concatenate([self.starts, (used + np.cumsum(np.concatenate(sizes))).astype(np.int32)])
         self.known = pa.concat_arrays([self.known, runs])
 
     def gather(self, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered runs one after another, and the number of each."""
-        lists = pa.LargeListArray.from_arrays(pa.array(self.starts), pa.array(self.flat))
+        lists = pa.ListArray.from_arrays(pa.array(self.starts), pa.array(self.flat))
         taken = lists.take(pa.array(no))
         return taken.values.to_numpy(), np.diff(taken.offsets.to_numpy())
 
@@ -82,9 +82,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain, self.spaced = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.plain = self.tokenizer
         normal = self.tokenizer.normalizer
         if normal and not spaced and all(normal.normalize_str(f"a{c}a") == f"a{c}a" for c in map(chr, set(_LOWER[:128].tolist())) if not c.isspace()):
+            self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = None  # leaves runs of lower-case ASCII as they are
         added = self.tokenizer.get_added_tokens_decoder()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -182,10 +184,10 @@ class Encoder:
                 return self._numbers(runs)
             before = len(self.runs.known)
             learnt = self._learn(new)
-            out = no.fill_null(0).to_numpy().astype(np.int64)
+            out = no.fill_null(0).to_numpy().copy()
             out[unknown.to_numpy(zero_copy_only=False)] = before + pc.index_in(missed, value_set=learnt).to_numpy()
             return out
-        return no.to_numpy().astype(np.int64)
+        return no.to_numpy()
 
     def _cuts(self, buf: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
         """Where runs begin in the joined bytes of texts, which begin at ``begin``."""
@@ -199,15 +201,13 @@ class Encoder:
         cut[before_last] = ~edge[after] & (kind[np.minimum(after, size - 1)] != _WHITE) & (kind[np.minimum(after, size - 1)] != _SPACE)
         cut[edge] = 1
         cut[size] = 0
-        at = np.flatnonzero(cut.view(bool))
         wide = buf >= 0x80
         if wide.any():
-            inner = at[~edge[at]]
+            inner = np.flatnonzero(cut.view(bool)[1:size] & (wide[1:] | wide[:-1])) + 1
             # a cut beside white space needs no letter
-            inner = inner[(kind[inner - 1] < _WHITE) & (kind[inner] < _WHITE) & (wide[inner - 1] | wide[inner])]
+            inner = inner[~edge[inner] & (kind[inner - 1] < _WHITE) & (kind[inner] < _WHITE)]
             cut[inner[~(self._letters(buf, inner, size, True) & self._letters(buf, inner, size, False))]] = 0
-            at = np.flatnonzero(cut.view(bool))
-        return at
+        return np.flatnonzero(cut.view(bool))
 
     def _letters(self, buf: np.ndarray, at: np.ndarray, size: int, before: bool) -> np.ndarray:
         """Whether the character before or after each place is ASCII or a letter."""
