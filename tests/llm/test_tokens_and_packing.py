@@ -56,6 +56,28 @@ def test_encoder_begins_anew(monkeypatch):
         texts = [x + "z" for x in texts]
 
 
+def test_new_words_are_learnt_together(monkeypatch):
+    """The normaliser in Python was called for every new run with a character that is not ASCII."""
+    import tideline.llm.tokens as tokens
+
+    name, calls, normalize = "word_bpe_49k.json", [], tokens.unicodedata.normalize
+    monkeypatch.setattr(tokens.unicodedata, "normalize", lambda *a: calls.append(a) or normalize(*a))
+    e, t = Encoder(public_tokenizers.path(name), False), ENCODERS[name][1]
+    letters = [chr(c) for c in range(0xC0, 0x180)] + list("azAZ")
+    texts = [f"{x}{y}{x} {y}q{x}.\t{x}{y} É{x}" for x in letters for y in letters[::5]]
+    ids, at = e.encode(texts)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert len(e.runs.known) > 10_000 and len(calls) < 50
+    assert ENCODERS["byte_bpe_50k.json"][0].words is None
+
+
+@pytest.mark.parametrize("names", [1 << 13, (1 << 13) + 1])
+def test_coder_with_as_many_ids_as_16_bits_take(names):
+    rng = np.random.default_rng(names)
+    for ids in (rng.permutation(names * 2) % names, np.sort(rng.permutation(names * 3) % names) * 5 + 7):
+        assert (token_file.read_segment(token_file.write_segment([1], np.array([len(ids)]), ids))[2] == ids).all()
+
+
 @pytest.mark.parametrize("n", [1, 5, token_file.BLOCK, 3 * token_file.BLOCK + 17])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

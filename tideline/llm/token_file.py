@@ -37,18 +37,21 @@ BLOCK = 4096
 SEGMENT = 8 << 20
 PART = 24 << 20
 END = 2
-MAGIC = b"TIDE3"
+MAGIC = b"TIDE4"
 CLASSES = 32
 RENEW = 64
 _SLOTS = 10  # bits of a table's size
+_FACTORS = np.uint32(2654435761), np.uint32(40503)
+_LAST_SLOT = np.uint32((1 << _SLOTS) - 1)
+_STEPS = 8  # that are looked up together when writing
 _U = np.uint64
 _LEAST = _U(1 << 44)  # of a range
 
 
 def _slots(before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of order 2 and 1 in a table, of ids as unsigned 32 bits."""
-    last = last * np.uint32(40503)
-    return before * np.uint32(2654435761) + last >> np.uint32(7) & np.uint32((1 << _SLOTS) - 1), last >> np.uint32(4) & np.uint32((1 << _SLOTS) - 1)
+    """Places of order 2 and 1 in a table, of ranks as unsigned 32 bits."""
+    last = last * _FACTORS[1]
+    return (before * _FACTORS[0] + last) >> 7 & _LAST_SLOT, last >> 4 & _LAST_SLOT
 
 
 def _turned(rows: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -60,11 +63,12 @@ def _turned(rows: np.ndarray, out: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """State of all blocks of a segment, one lane each; pairs of rows are order 2 and order 1."""
+    """State of all blocks of a segment, one lane each; pairs of rows are order 2 and order 1. Ids are their ranks among the
+    distinct ids of the segment, of type ``kind``, in which a rank and 2 bits more have room."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, kind: type) -> None:
         self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
-        self.tables = np.zeros(2 * lanes << _SLOTS, np.int32)  # id and 2 bits of confidence
+        self.tables = np.zeros(2 * lanes << _SLOTS, kind)  # id and 2 bits of confidence
         self.rate = np.full(lanes * 8, 1 << 14, np.int32)  # how often each confidence of either order is right, of 65536
         self.lane = np.arange(lanes, dtype=np.int64) * 8 + np.array([[0], [4]])
         self.count = np.full((CLASSES, lanes), 2, np.int32)  # of each class, in quarters of an id
@@ -82,26 +86,62 @@ class _Model:
         self.below[CLASSES] = 1024  # the last class has what is left over
         self.flat = (self.below[:-1].astype(np.int64) | np.diff(self.below, axis=0).astype(np.int64) << 16).ravel()
 
-    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of order 2 and 1 and their shares of 1024, at least 15 are left; ``at``: their places in the tables."""
+    def look(self, at: np.ndarray) -> np.ndarray:
+        """Ids of order 2 and 1, whose rates go to ``q``; ``at``: their places in the tables."""
         self.at, self.e = at, self.tables.take(at)
         self.c = self.e & 3
         self.r = self.lane + self.c
         self.q = self.rate.take(self.r)
-        a = self.q[0] * 1006 >> 16
-        b = (1007 - a) * (self.q[1] >> 2) >> 14
-        a += 1
-        b += 1
-        return self.e >> 2, a, b
+        return self.e >> 2
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        """``ids`` as int32; hit: whether order 2 and 1 are right, whatever the other is."""
-        move = (hit.view(np.int8).astype(np.int32) << 16) - self.q >> 5
+        """hit: whether order 2 and 1 are right, whatever the other is."""
+        one = hit.view(np.int8)
+        move = np.left_shift(one, 16, dtype=np.int32)
+        move -= self.q
+        move >>= 5
         move[1] *= ~hit[0]
         move += self.q
         self.rate[self.r] = move
         # a wrong prediction loses its confidence first and its place then
-        self.tables[self.at] = np.where(hit, self.e + (self.c < 3), np.where(self.c < 2, ids << 2, self.e - 2))
+        sure = np.minimum(np.maximum(self.c + (3 * one - 2), 0), 3)
+        ids = ids << 2
+        self.tables[self.at] = (ids ^ ((ids ^ self.e) & -(self.c >> 1) & -4)) + sure
+
+
+def _shares(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of 1024 of order 2 and 1 by their rates, rows of which are pairs; at least 15 are left."""
+    a = q[..., 0, :] * 1006 >> 16
+    b = (1007 - a) * (q[..., 1, :] >> 2) >> 14
+    a += 1
+    b += 1
+    return a, b
+
+
+def _interval(a: np.ndarray, b: np.ndarray, k: np.ndarray, two: np.ndarray, part: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of 2 ** 36 and what is below them. k: which ids are predicted; two: whether by order 2; ``part`` and ``below``:
+    the same of 2 ** 26 in order 0. All are flat."""
+    ab = (a + b).astype(np.int64)
+    rest = (1 << 10) - ab
+    part *= rest
+    below *= rest
+    below += ab << 26
+    a = a.take(k)
+    part[k] = np.where(two, a, b.take(k)).astype(np.int64) << 26
+    below[k] = np.where(two, 0, a).astype(np.int64) << 26
+    return part.view(_U), below.view(_U)
+
+
+def _kind(prior: tuple[np.ndarray, np.ndarray]) -> type:
+    return np.int16 if len(prior[0]) <= 1 << 13 else np.int32
+
+
+def _mapped(by: np.ndarray, places: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``by.take(places)`` in the first places of ``out``, some at a time."""
+    for k in range(0, len(places), 1 << 18):
+        some = places[k : k + (1 << 18)]
+        out[k : k + len(some)] = by.take(some)
+    return out
 
 
 def _prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +182,13 @@ def _facts(prior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
-    names = prior[0]
-    facts = np.zeros(names[-1] + 1, np.int64)
-    facts[names] = _facts(prior)
+    names, facts, kind = prior[0], _facts(prior), _kind(prior)
+    rank = np.zeros(names[-1] + 1, kind)
+    rank[names] = np.arange(len(names))
     lanes = -(-len(ids) // BLOCK)
-    rows = np.full(lanes * BLOCK, names[0], np.int32)
-    rows[: len(ids)] = ids
-    rows = _turned(rows.reshape(lanes, BLOCK), np.empty((BLOCK, lanes), np.int32))
-    model, low, wide = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
+    rows = _mapped(rank, ids, np.zeros(lanes * BLOCK, kind))
+    rows = _turned(rows.reshape(lanes, BLOCK), np.empty((BLOCK, lanes), kind))
+    model, low, wide = _Model(lanes, kind), np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
     out, to = np.zeros((2 * BLOCK + 8) * lanes, np.uint16), np.arange(lanes, dtype=np.int64)  # the first word of each lane, the second, ...
 
     def put(k: np.ndarray) -> None:
@@ -164,34 +203,37 @@ def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list
         low[k] = (now & _U((1 << 44) - 1)) << _U(16)
 
     last = np.zeros((2, lanes), np.uint32)
-    for p in range(0, BLOCK, RENEW):
-        some = rows[p : p + RENEW]
+    place = np.empty((RENEW, lanes), np.int64)
+    hit, rates = np.empty((_STEPS, 2, lanes), bool), np.empty((_STEPS, 2, lanes), np.int32)
+    for p in range(0, BLOCK, _STEPS):
+        some = rows[p : p + _STEPS]
         fact = facts.take(some)
-        share, begin, place = fact & 0xFFFFF, fact >> 20 & 0xFFFFF, (fact >> 40) * lanes + model.which
-        past = np.concatenate([last, some.view(np.uint32)])
+        places = place[p % RENEW : p % RENEW + _STEPS]
+        np.add((fact >> 40) * lanes, model.which, out=places)
+        past = np.concatenate([last, some.astype(np.uint32)])
         at = np.stack(_slots(past[:-2], past[1:-1]), 1) * np.int64(2 * lanes) + model.base
         last = past[-2:]
         for i, now in enumerate(some):
-            guess, a, b = model.predict(at[i])
-            hit = guess == now
-            of = model.flat.take(place[i])
-            under, size = of & 0xFFFF, of >> 16
-            a, b = a << np.int64(26), b << np.int64(26)
-            ab = a + b
-            rest = (1 << 10) - (ab >> 26)
-            part = np.where(hit[0], a, np.where(hit[1], b, rest * size * share[i]))
-            below = np.where(hit[0], 0, np.where(hit[1], a, ab + rest * ((under << 16) + size * begin[i])))
+            np.equal(model.look(at[i]), now, out=hit[i])
+            rates[i] = model.q
+            model.learn(now, hit[i])
+        of = model.flat.take(places.ravel())
+        size, fact = of >> 16, fact.ravel()
+        k = (hit[:, 0] | hit[:, 1]).ravel().nonzero()[0]
+        a, b = _shares(rates)
+        part, below = _interval(a.ravel(), b.ravel(), k, hit[:, 0].ravel().take(k), size * (fact & 0xFFFFF), ((of & 0xFFFF) << 16) + size * (fact >> 20 & 0xFFFFF))
+        for mine, under in zip(part.reshape(-1, lanes), below.reshape(-1, lanes), strict=True):
             step = wide >> _U(36)
-            low += step * below.view(_U)
-            wide = step * part.view(_U)
-            k = np.flatnonzero(wide < _LEAST)
+            low += step * under
+            wide = step * mine
+            k = (wide < _LEAST).nonzero()[0]
             while len(k):
                 put(k)
                 left = wide.take(k) << _U(16)
                 wide[k] = left
                 k = k[left < _LEAST]
-            model.learn(now, hit)
-        model.shares(place)
+        if (p + _STEPS) % RENEW == 0:
+            model.shares(place)
     for _ in range(4):
         put(np.arange(lanes))
     used = to // lanes
@@ -201,17 +243,14 @@ def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list
 
 
 def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    names = prior[0]
-    facts = _facts(prior)
-    classes, share = facts >> 40, facts & 0xFFFFF
+    names, facts, kind = prior[0], _facts(prior), _kind(prior)
+    class_of, share = facts >> 40, facts & 0xFFFFF
     order = np.argsort(facts >> 20)  # by class and what is below
-    held = np.bincount(classes, minlength=CLASSES)
-    table_ = np.zeros((CLASSES, 65536), np.int32)  # which distinct id has each place of each class
+    held = np.bincount(class_of, minlength=CLASSES)
+    table_ = np.zeros((CLASSES, 65536), kind)  # which distinct id has each place of each class
     table_[held > 0] = np.repeat(order, share[order]).reshape(-1, 65536)
     table_ = table_.ravel()
-    class_of = np.zeros(names[-1] + 1, np.int64)
-    class_of[names] = classes
-    facts = facts & (1 << 40) - 1 | names << 40  # now with the id in place of its class
+    facts &= (1 << 40) - 1
     lanes = len(blocks)
     # the first word holds the upper 16 of 60 bits, so that words are needed 4 bits late
     words = np.zeros((lanes, max(len(b) for b in blocks) // 2 + 8), np.uint16)
@@ -224,33 +263,34 @@ def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarr
     x = np.zeros(lanes, _U)
     for k in range(4):
         x = (x << _U(16)) | words[at - 4 + k]
-    model, wide = _Model(lanes), np.full(lanes, 1 << 60, _U)
-    rows = np.empty((BLOCK, lanes), np.int32)
+    model, wide = _Model(lanes, kind), np.full(lanes, 1 << 60, _U)
+    rows = np.empty((BLOCK, lanes), kind)
     slots = np.empty((2, lanes), np.int64)
+    hit, above = np.empty((2, lanes), bool), np.empty((CLASSES - 1, lanes), bool)
     before = last = np.zeros(lanes, np.uint32)
     for p, row in enumerate(rows):
         slots[0], slots[1] = _slots(before, last)
-        guess, a, b = model.predict(slots * (2 * lanes) + model.base)
+        guess = model.look(slots * (2 * lanes) + model.base)
+        a, b = _shares(model.q)
+        ab = a + b
         step = wide >> _U(36)
         v = np.minimum(x // step, _U((1 << 36) - 1)).view(np.int64)
-        a, b = a << np.int64(26), b << np.int64(26)
-        ab = a + b
-        hit2 = v < a
-        hit1 = (v < ab) & ~hit2
-        rest = (1 << 10) - (ab >> 26)
+        k = (v < ab.astype(np.int64) << 26).nonzero()[0]
+        two = v.take(k) < a.take(k).astype(np.int64) << 26
         # quotients of numbers below 2 ** 36, which floats give exactly
-        u = (np.maximum(v - ab, 0) / rest).astype(np.int64)  # of 1024 * 65536
-        c = np.add.reduce((model.below[1:CLASSES] <= (u >> 16).astype(np.int16)).view(np.int8), 0, np.int8).astype(np.int64)
+        u = (np.maximum(v - (ab.astype(np.int64) << 26), 0).astype(np.float64) / ((1 << 10) - ab)).astype(np.int64)  # of 1024 * 65536
+        np.less_equal(model.below[1:CLASSES], (u >> 16).astype(np.int16), out=above)
+        c = np.add.reduce(above.view(np.int8), 0, np.int8).astype(np.int64)
         of = model.flat.take(c * lanes + model.which)
         under, size = (of & 0xFFFF) << 16, of >> 16
-        inside = np.minimum(((u - under) / size).astype(np.int64), 65535)
-        fact = facts.take(table_.take((c << 16) + inside))
-        row[:] = np.where(hit2, guess[0], np.where(hit1, guess[1], fact >> 40))
-        part = np.where(hit2, a, np.where(hit1, b, rest * size * (fact & 0xFFFFF)))
-        below = np.where(hit2, 0, np.where(hit1, a, ab + rest * (under + size * (fact >> 20 & 0xFFFFF))))
-        x -= step * below.view(_U)
-        wide = step * part.view(_U)
-        k = np.flatnonzero(wide < _LEAST)
+        inside = np.minimum(((u - under).astype(np.float64) / size).astype(np.int64), 65535)
+        row[:] = table_.take((c << 16) + inside)
+        fact = facts.take(row)
+        row[k] = np.where(two, guess[0].take(k), guess[1].take(k))
+        part, below = _interval(a, b, k, two, size * (fact & 0xFFFFF), under + size * (fact >> 20))
+        x -= step * below
+        wide = step * part
+        k = (wide < _LEAST).nonzero()[0]
         for _ in range(3):
             if not len(k):
                 break
@@ -260,12 +300,13 @@ def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarr
             left = wide.take(k) << _U(16)
             wide[k] = left
             k = k[left < _LEAST]
-        np.minimum(row, names[-1], out=row)  # a damaged block can name any id
-        model.learn(row, guess == row)
-        before, last = last, row.view(np.uint32)
+        np.equal(guess, row, out=hit)
+        model.learn(row, hit)
+        before, last = last, row.astype(np.uint32)
         if p % RENEW == RENEW - 1:
             model.shares(class_of.take(rows[p + 1 - RENEW : p + 1]) * lanes + model.which)
-    return _turned(rows, np.empty((lanes, BLOCK), np.int32)).ravel()[:n]
+    rows = _turned(rows, np.empty((lanes, BLOCK), kind)).ravel()[:n]
+    return _mapped(names.astype(np.int32), rows, np.empty(len(rows), np.int32))
 
 
 def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:

@@ -12,7 +12,9 @@ encoded as a whole. The tests compare with encoding whole texts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -40,6 +42,8 @@ for _a in range(1, 7):
 _WHITE_END = np.array([chr(_c).isspace() for _c in range(128)] + [False] * 128)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: Letters of one or two bytes that are in lower case and never compose with each other.
+_LETTERS = "a-zß-öø-ÿ"
 
 
 def _mapped(buf: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -88,6 +92,7 @@ class Encoder:
         if normal and not spaced and all(normal.normalize_str(f"a{c}a") == f"a{c}a" for c in map(chr, set(_LOWER[:128].tolist())) if not c.isspace()):
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = None  # leaves runs of lower-case ASCII as they are
+        self.words = None if spaced else self._for_words(path)
         added = self.tokenizer.get_added_tokens_decoder()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # that each token spells
@@ -96,6 +101,22 @@ class Encoder:
         self.letters: dict[str, bool] = {}
         self.runs = _Table()
 
+    def _for_words(self, path: str):  # noqa: ANN202
+        """The library's tokenizer of this file without what does nothing to words of ``_LETTERS``: its normaliser, and its
+        expression for words, in place of which it splits at white space; none if the file does something to them."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        if [x["type"] for x in (made["pre_tokenizer"] or {}).get("pretokenizers", ())[:1]] != ["Split"]:
+            return None
+        made["normalizer"], made["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+        words, normal = Tokenizer.from_str(json.dumps(made)), self.tokenizer.normalizer
+        text = " ".join(f" {c} a{c}a" for c in map(chr, range(ord("a"), 0x100)) if re.fullmatch(f"[{_LETTERS}]", c))
+        normalised = " ".join(text.split())
+        pieces = [[w for w, _ in t.pre_tokenizer.pre_tokenize_str(normalised)] for t in (words, self.tokenizer)]
+        return words if pieces[0] == pieces[1] and (normal is None or normal.normalize_str(normalised) == normalised) else None
+
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -112,27 +133,33 @@ class Encoder:
             return pc.binary_length(runs).to_numpy().astype(np.int64)
         word = pc.ascii_trim_whitespace(runs)
         n = pc.binary_length(word).to_numpy().astype(np.int64)
-        other = pc.invert(pc.ascii_is_alnum(word))
-        n[other.to_numpy(zero_copy_only=False)] = [len("".join(unicodedata.normalize("NFC", r).lower().split()).encode()) for r in _strings(runs.filter(other))]
+        other = np.flatnonzero(~pc.string_is_ascii(word).to_numpy(zero_copy_only=False))
+        if len(other):
+            lower = unicodedata.normalize("NFC", " ".join(_strings(word.take(pa.array(other))))).lower()
+            parts = lower.split(" ")
+            if len(parts) != len(other) or len(lower.split()) != len(other):  # there is other white space in a run
+                parts = ["".join(unicodedata.normalize("NFC", r).lower().split()) for r in _strings(word.take(pa.array(other)))]
+            n[other] = pc.binary_length(pa.array(parts, pa.string())).to_numpy()
         return n
 
-    def _learn(self, runs: pa.Array) -> pa.Array:
-        """Adds distinct runs; they come back in the order of their places.
+    def _learn(self, runs: pa.Array) -> np.ndarray:
+        """Adds distinct runs; which of them each new place has.
 
         In a call each begins with a space or, where a space is part of tokens, ends at a line end.
         """
-        order: list[pa.Array] = []
+        order: list[np.ndarray] = []
         rows: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
-        def alone(some: pa.Array) -> None:
-            got = [self._one(r) for r in _strings(some)]
+        def alone(some: np.ndarray) -> None:
+            got = [self._one(r) for r in _strings(runs.take(pa.array(some)))]
             order.append(some)
             rows.append(np.array([x for r in got for x in r], np.int32))
             sizes.append(np.array([len(r) for r in got], np.int64))
 
         def together(which: np.ndarray, tokenizer, before: str, after: str) -> None:  # noqa: ANN001
-            some = runs.filter(pa.array(which))
+            places = np.flatnonzero(which)
+            some = runs.take(pa.array(places))
             lengths = self._lengths(some)
             joined = pc.binary_join_element_wise(before, some, after, "")
             _, offsets, data = joined.buffers()
@@ -148,10 +175,10 @@ class Encoder:
                     to = np.cumsum(n + len(after)) - len(after)
                     first, end = np.searchsorted(ends, to - n), np.searchsorted(ends, to)
                     if ends[-1] != to[-1] + len(after) or (ends[np.minimum(first, len(ends) - 1)] != to - n).any() or (ends[np.minimum(end, len(ends) - 1)] != to).any():
-                        alone(some[a:b])  # some character changes its size
+                        alone(places[a:b])  # some character changes its size
                         continue
                     n = end - first
-                    order.append(some[a:b])
+                    order.append(places[a:b])
                     sizes.append(n)
                     rows.append(ids[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)])
 
@@ -161,31 +188,35 @@ class Encoder:
         white[final >= 0x80] = [r[-1].isspace() for r in _strings(runs.filter(pa.array(final >= 0x80)))]
         # a capital stays one before a character that is not ASCII
         plain = pc.and_(pc.string_is_ascii(runs), pc.equal(pc.ascii_lower(runs), runs)).to_numpy(zero_copy_only=False)
-        alone(runs.filter(pa.array(white)))
-        for which, tokenizer in ((plain & ~white, self.plain), (~plain & ~white, self.tokenizer)):
+        words = np.zeros(len(runs), bool)
+        if self.words:
+            words |= pc.match_substring_regex(runs, f"^[ \\t-\\r]?[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        alone(np.flatnonzero(white))
+        for which, tokenizer in ((words, self.words), (plain & ~white & ~words, self.plain), (~plain & ~white & ~words, self.tokenizer)):
             if self.spaced:
                 together(which & spaced, tokenizer, "", "")
                 together(which & ~spaced, tokenizer, "", "\n")
             else:
                 together(which, tokenizer, " ", "")
-        learnt = pa.concat_arrays(order)
-        self.runs.add(learnt, rows, sizes)
-        return learnt
+        places = np.concatenate(order)
+        self.runs.add(runs.take(pa.array(places)), rows, sizes)
+        return places
 
     def _numbers(self, runs: pa.Array) -> np.ndarray:
         """Places of runs in the table, into which new ones go first."""
         no = pc.index_in(runs, value_set=self.runs.known)
         if no.null_count:
             unknown = no.is_null()
-            missed = runs.filter(unknown)
-            new = missed.unique()
+            missed = runs.filter(unknown).dictionary_encode()
+            new = missed.dictionary
             if len(self.runs.known) + len(new) > RUNS and len(self.runs.known):
                 self.runs = _Table()
                 return self._numbers(runs)
             before = len(self.runs.known)
-            learnt = self._learn(new)
+            place = np.empty(len(new), np.int32)
+            place[self._learn(new)] = np.arange(before, before + len(new))
             out = no.fill_null(0).to_numpy().copy()
-            out[unknown.to_numpy(zero_copy_only=False)] = before + pc.index_in(missed, value_set=learnt).to_numpy()
+            out[unknown.to_numpy(zero_copy_only=False)] = place[missed.indices.to_numpy()]
             return out
         return no.to_numpy()
 
