@@ -84,7 +84,10 @@ class _Model:
         self.below = np.zeros((CLASSES + 1, lanes), np.int16)
         np.cumsum(share, axis=0, dtype=np.int16, out=self.below[1:])
         self.below[CLASSES] = 1024  # the last class has what is left over
-        self.flat = (self.below[:-1].astype(np.int64) | np.diff(self.below, axis=0).astype(np.int64) << 16).ravel()
+        self.flat = np.diff(self.below, axis=0).astype(np.int32)
+        self.flat <<= 16
+        self.flat |= self.below[:-1]
+        self.flat = self.flat.ravel()
 
     def look(self, at: np.ndarray) -> np.ndarray:
         """Ids of order 2 and 1, whose rates go to ``q``; ``at``: their places in the tables."""
@@ -96,15 +99,17 @@ class _Model:
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         """hit: whether order 2 and 1 are right, whatever the other is."""
-        one = hit.view(np.int8)
-        move = np.left_shift(one, 16, dtype=np.int32)
+        move = hit.astype(np.int32) << 16
         move -= self.q
         move >>= 5
         move[1] *= ~hit[0]
         move += self.q
         self.rate[self.r] = move
         # a wrong prediction loses its confidence first and its place then
-        sure = np.minimum(np.maximum(self.c + (3 * one - 2), 0), 3)
+        sure = hit.astype(ids.dtype) * 3
+        sure += self.c
+        sure -= 2
+        sure = np.minimum(np.maximum(sure, 0), 3)
         ids = ids << 2
         self.tables[self.at] = (ids ^ ((ids ^ self.e) & -(self.c >> 1) & -4)) + sure
 
@@ -118,10 +123,9 @@ def _shares(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _interval(a: np.ndarray, b: np.ndarray, k: np.ndarray, two: np.ndarray, part: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of 2 ** 36 and what is below them. k: which ids are predicted; two: whether by order 2; ``part`` and ``below``:
-    the same of 2 ** 26 in order 0. All are flat."""
-    ab = (a + b).astype(np.int64)
+def _interval(a: np.ndarray, b: np.ndarray, ab: np.ndarray, k: np.ndarray, two: np.ndarray, part: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of 2 ** 36 and what is below them. ab: a and b as 64 bits; k: which ids are predicted; two: whether by order 2;
+    ``part`` and ``below``: the same of 2 ** 26 in order 0. All are flat."""
     rest = (1 << 10) - ab
     part *= rest
     below *= rest
@@ -217,11 +221,11 @@ def encode_blocks(ids: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list
             np.equal(model.look(at[i]), now, out=hit[i])
             rates[i] = model.q
             model.learn(now, hit[i])
-        of = model.flat.take(places.ravel())
+        of = model.flat.take(places.ravel()).astype(np.int64)
         size, fact = of >> 16, fact.ravel()
         k = (hit[:, 0] | hit[:, 1]).ravel().nonzero()[0]
-        a, b = _shares(rates)
-        part, below = _interval(a.ravel(), b.ravel(), k, hit[:, 0].ravel().take(k), size * (fact & 0xFFFFF), ((of & 0xFFFF) << 16) + size * (fact >> 20 & 0xFFFFF))
+        a, b = (x.ravel() for x in _shares(rates))
+        part, below = _interval(a, b, (a + b).astype(np.int64), k, hit[:, 0].ravel().take(k), size * (fact & 0xFFFFF), ((of & 0xFFFF) << 16) + size * (fact >> 20 & 0xFFFFF))
         for mine, under in zip(part.reshape(-1, lanes), below.reshape(-1, lanes), strict=True):
             step = wide >> _U(36)
             low += step * under
@@ -272,30 +276,36 @@ def decode_blocks(blocks: list[bytes], n: int, prior: tuple[np.ndarray, np.ndarr
         slots[0], slots[1] = _slots(before, last)
         guess = model.look(slots * (2 * lanes) + model.base)
         a, b = _shares(model.q)
-        ab = a + b
+        ab = (a + b).astype(np.int64)
         step = wide >> _U(36)
         v = np.minimum(x // step, _U((1 << 36) - 1)).view(np.int64)
-        k = (v < ab.astype(np.int64) << 26).nonzero()[0]
+        past = ab << 26
+        k = (v < past).nonzero()[0]
         two = v.take(k) < a.take(k).astype(np.int64) << 26
         # quotients of numbers below 2 ** 36, which floats give exactly
-        u = (np.maximum(v - (ab.astype(np.int64) << 26), 0).astype(np.float64) / ((1 << 10) - ab)).astype(np.int64)  # of 1024 * 65536
+        u = (np.maximum(v - past, 0) / ((1 << 10) - ab)).astype(np.int64)  # of 1024 * 65536
         np.less_equal(model.below[1:CLASSES], (u >> 16).astype(np.int16), out=above)
         c = np.add.reduce(above.view(np.int8), 0, np.int8).astype(np.int64)
-        of = model.flat.take(c * lanes + model.which)
+        of = model.flat.take(c * lanes + model.which).astype(np.int64)
         under, size = (of & 0xFFFF) << 16, of >> 16
-        inside = np.minimum(((u - under).astype(np.float64) / size).astype(np.int64), 65535)
+        inside = np.minimum(((u - under) / size).astype(np.int64), 65535)
         row[:] = table_.take((c << 16) + inside)
         fact = facts.take(row)
         row[k] = np.where(two, guess[0].take(k), guess[1].take(k))
-        part, below = _interval(a, b, k, two, size * (fact & 0xFFFFF), under + size * (fact >> 20))
+        part, below = _interval(a, b, ab, k, two, size * (fact & 0xFFFFF), under + size * (fact >> 20))
         x -= step * below
         wide = step * part
+        one = (wide < _LEAST).astype(_U)
+        x <<= one << _U(4)
+        x |= words.take(at, mode="clip").astype(_U) * one  # a damaged block can run on
+        at += one.view(np.int64)
+        wide <<= one << _U(4)
         k = (wide < _LEAST).nonzero()[0]
-        for _ in range(3):
+        for _ in range(2):
             if not len(k):
                 break
             now = at.take(k)
-            x[k] = (x.take(k) << _U(16)) | words.take(now, mode="clip")  # a damaged block can run on
+            x[k] = (x.take(k) << _U(16)) | words.take(now, mode="clip")
             at[k] = now + 1
             left = wide.take(k) << _U(16)
             wide[k] = left
