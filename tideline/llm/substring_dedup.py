@@ -17,14 +17,17 @@ of rows with the same doc_id and place all stay, as none ranks before another; a
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded, durable, fresh, table
+from tideline.llm.common import bounded, durable, fresh, frugal, table
 
 UNITS = {
     "sentence": re.compile(r"[^\n.!?。！？｡]+[.!?。！？｡]*"),
@@ -92,19 +95,21 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows, starts, ends, his, los = [], [], [], [], [], []
-            for k, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            counts, starts, ends, his, los = [], array("i"), array("i"), array("q"), array("q")
+            for t in b.column(1).to_pylist():
+                before = len(starts)
                 for a, e, norm in units_of(t or "", unit, min_words):
                     d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
-                    ids.append(k)
-                    rows.append(h)
                     starts.append(a)
                     ends.append(e)
                     his.append((d >> 64) - (1 << 63))
                     los.append((d & (2**64 - 1)) - (1 << 63))
-            yield pa.RecordBatch.from_pydict({"k": pa.array(ids, pa.int64()), "h": pa.array(rows, pa.int64()), "a": pa.array(starts, pa.int32()), "b": pa.array(ends, pa.int32()), "hi": pa.array(his, pa.int64()), "lo": pa.array(los, pa.int64())})
+                counts.append(len(starts) - before)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            cols = [b.column(0).take(row), b.column(2).take(row), *(pa.array(np.asarray(x)) for x in (starts, ends, his, los))]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "h", "a", "b", "hi", "lo"])
 
-    units = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t is not null").mapInArrow(run, "k long, h long, a int, b int, hi long, lo long")
+    units = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t is not null").mapInArrow(frugal(run), "k long, h long, a int, b int, hi long, lo long")
     rank = F.struct(F.col("k").isNull().alias("late"), F.col("k").alias("k"), F.col("a").alias("a"))
     # a table of its own: Spark splits a hot digest's rows only where both sides of the join come straight from a shuffle
     first = durable(units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first"), "repeated")
@@ -136,12 +141,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str =
     spans = repeats(docs, key, text, unit, min_words).select(F.col("k").alias(k_), F.col("h").alias(h_), F.col("spans").alias(spans_))
     joined = docs.join(spans, docs[key].cast("long").eqNullSafe(F.col(k_)) & (F.xxhash64(docs[text]) == F.col(h_)), "left")
 
-    @F.pandas_udf("string")
-    def kept(texts, spans):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([t if t is None or s is None else cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
-
+    def run(batches):  # noqa: ANN001, ANN202
+        for texts, spans in batches:
+            a, b = (x.to_pylist() for x in spans.flatten().flatten())
+            out, p = [], 0
+            for t, n in zip(texts.to_pylist(), pc.list_value_length(spans).to_pylist(), strict=True):
+                out.append(t if t is None or n is None else cut(t, list(zip(a[p : p + n], b[p : p + n], strict=True))))
+                p += n or 0
+            yield pa.array(out, pa.string())
+
+    @F.arrow_udf("string")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from frugal(run)(batches)
+
+    # nondeterministic, or a filter on the kept text would be pushed below and evaluate it again, in one more worker a task
+    kept = kept.asNondeterministic()
     none = F.array().cast("array<struct<a:int,b:int>>")
     done = joined.withColumn(kept_, kept(F.col(text), spans_))
     return done.select(*[F.col(kept_).alias(c) if c == text else docs[c] for c in docs.columns], F.coalesce(spans_, none).alias("removed"))
