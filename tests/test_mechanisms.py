@@ -1,4 +1,4 @@
-"""Signals, versions, reasoning, clubs, search, leagues, cells, replay, the publication log and the lifecycle stream on awkward rows and against plain Python."""
+"""Signals, trends, versions, reasoning, clubs, search, leagues, cells, replay, the publication log and the lifecycle stream on awkward rows and against plain Python."""
 
 import datetime as dt
 import math
@@ -76,6 +76,30 @@ def test_layers_of_dependencies():
         signals.layers({"a": ("b",), "b": ("a",)})
 
 
+# trends
+def watchers_and_their_sql(spark, at, rows):
+    """Rows of the query on a file that holds ``rows`` in their order, and those of its SQL, by one thread, on the same in order of events."""
+    rows = [(m, e, DAY + dt.timedelta(minutes=e), "view", v, k) for m, e, v, k in rows]
+    spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, event_type string, value double, props string").coalesce(1).write.parquet(f"{at}/events.parquet")
+    with duckdb.connect() as c:
+        c.sql("SET threads = 1")
+        c.sql(f"CREATE TABLE events AS SELECT * FROM '{at}/events.parquet/*.parquet' ORDER BY event_id")
+        return sorted(tuple(r) for r in registry.QUERIES["trend_watchers"](spark, at).collect()), sorted(c.sql(registry.ORACLES["trend_watchers"]).fetchall())
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_watchers_do_not_depend_on_the_order_of_a_file(spark, tmp_path, step):
+    """Means of exactly 0.2, which the order of a sum puts on one side or the other."""
+    rows = [(m, e, 50.0, '{"k": 5}') for m, ids in ((1, (74, 86, 93)), (2, (60, 63, 89))) for e in ids]
+    got, want = watchers_and_their_sql(spark, str(tmp_path), rows[::step])
+    assert got == want and [r[4] for r in got] == [True, False]
+
+
+def test_watchers_pass_over_missing_ends(spark, tmp_path):
+    got, want = watchers_and_their_sql(spark, str(tmp_path), [(1, 1, None, None), (1, 2, 10.0, '{"k": 5}'), (1, 3, 90.0, '{"k": 45}'), (1, 4, None, None), (2, 5, None, None)])
+    assert got == want == [(1, True, False, True, True), (2, None, None, None, True)]
+
+
 # versions
 def test_as_of_brute_force(spark):
     rng = random.Random(4)

@@ -184,9 +184,12 @@ sql_query("trend_text_template", "O-144: evidence to a sentence by the template
 SELECT match_id, event_id, trend_type, CASE trend_type WHEN 'pressure_building' THEN concat('Pressure builds in match ', CAST(match_id AS [[STRING||VARCHAR]])) WHEN 'momentum_shift' THEN concat('Momentum turns ', CASE WHEN direction > 0 THEN 'home' ELSE 'away' END) ELSE concat([[initcap||]](replace(trend_type, '_', ' ')), '.') END AS title
 FROM d WHERE trend_type IN ('pressure_building', 'momentum_shift')""")
 
+# A mean of 0.2 is decided by the order in which its sentiments are added: Spark adds them by event, as the SQL does where one
+# thread reads the table, however the files are split. The SQL passes over prices and measures that are null; so do the filters.
 sql_query("trend_watchers", "O-184, O-229: market drift, weighted risk, growth and narrative over half-hour grids of the last days.", WIDE + """,
 m AS (SELECT max(ts) AS latest FROM x),
-w AS (SELECT match_id, max_by(p, (ts, event_id)) - min_by(p, (ts, event_id)) AS drift, sum(CASE WHEN book = 'error' THEN 3 WHEN book = 'purchase' THEN 1 ELSE 0 END) + 0.25 * max(value) / 100 + 2 * max(CASE WHEN minute >= 75 THEN 1 ELSE 0 END) AS risk, max_by(k, (ts, event_id)) - min_by(k, (ts, event_id)) AS growth, avg(sentiment) AS narrative FROM x CROSS JOIN m WHERE ts >= latest - INTERVAL '72' HOUR GROUP BY match_id)
+[[t AS (SELECT *, avg(sentiment) OVER (PARTITION BY match_id ORDER BY event_id) AS mean FROM x CROSS JOIN m WHERE ts >= latest - INTERVAL '72' HOUR),
+||]]w AS (SELECT match_id, max_by(p, (ts, event_id))[[ FILTER (WHERE p IS NOT NULL)||]] - min_by(p, (ts, event_id))[[ FILTER (WHERE p IS NOT NULL)||]] AS drift, sum(CASE WHEN book = 'error' THEN 3 WHEN book = 'purchase' THEN 1 ELSE 0 END) + 0.25 * max(value) / 100 + 2 * max(CASE WHEN minute >= 75 THEN 1 ELSE 0 END) AS risk, max_by(k, (ts, event_id))[[ FILTER (WHERE k IS NOT NULL)||]] - min_by(k, (ts, event_id))[[ FILTER (WHERE k IS NOT NULL)||]] AS growth, [[max_by(mean, event_id)||avg(sentiment)]] AS narrative FROM [[t||x CROSS JOIN m WHERE ts >= latest - INTERVAL '72' HOUR]] GROUP BY match_id)
 SELECT match_id, abs(drift) >= 0.03 AS market_drift, risk >= 4 AS risk_watch, growth >= 10 AS possession_growth, abs(narrative) >= 0.2 AS narrative_watch FROM w""")
 
 sql_query("trend_meta", "O-72: rates by team and type of closed trends; the recurrences of O-175 are in trend_meta_recurrences.", """
